@@ -1,13 +1,15 @@
 """The study from extracts to comparison, as functions over lazily read tables.
 
 ``tables`` maps the schema names of the extracts (``patients``, ``vent_start``,
-``locations`` ...) to DataFrames. Nothing is collected: lists of ids stay key sets.
+``locations`` ...) to DataFrames. Nothing is collected: lists of ids stay key sets. Tables
+that several steps read (episodes, stays, cohort, unit span, exposure) are computed once
+and written to the shared folder; each is small next to the extracts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from cohortline.functions.columns import (
 )
 from cohortline.operators import codes, compare, episodes, exposure, features, funnel, joins
 from cohortline.plans import fixed_values as fv
+from cohortline.session import materialize
 
 KEY = "pie_id"
 Tables = Mapping[str, DataFrame]
@@ -121,6 +124,28 @@ def first_day(rows: DataFrame, span: DataFrame, ts: str) -> DataFrame:
     return joins.within_span(rows, day, KEY, ts, "arrival", "until")
 
 
+@dataclass(frozen=True)
+class StudyCohort:
+    """The screened encounters, what was derived to judge them, and who is left."""
+
+    vent: DataFrame
+    stays: DataFrame
+    funnel: funnel.Funnel
+    keys: DataFrame
+    span: DataFrame
+
+
+def study_cohort(tables: Tables, units: StudyUnits = StudyUnits()) -> StudyCohort:
+    """Screen, include and exclude."""
+    screened = materialize(screen(tables["patients"]), "screened")
+    vent = materialize(vent_episodes(tables, screened), "vent")
+    stays = materialize(location_stays(tables), "stays")
+    judged = study_funnel(tables, screened, vent, stays, units)
+    judged = replace(judged, status=materialize(judged.status, "status"))
+    keys = judged.cohort_keys()
+    return StudyCohort(vent, stays, judged, keys, materialize(unit_span(keys, stays, units), "span"))
+
+
 def first_weight_height(tables: Tables, cohort: DataFrame) -> DataFrame:
     def measured(name: str, unit: str):
         return (F.col("measure") == name) & (F.col("measure_units") == unit)
@@ -158,7 +183,7 @@ def home_meds(tables: Tables, cohort: DataFrame) -> DataFrame:
 def severity_inputs(tables: Tables, ages: DataFrame, span: DataFrame) -> DataFrame:
     """Worst values of the first day: min and max of every severity measure."""
     labs = tables["labs"].withColumn("lab", F.lower("lab"))
-    gases = tables["labs_abg"].withColumnRenamed("lab_result", "result")
+    gases = tables["labs_abg"].withColumnRenamed("lab_result", "result").withColumn("lab", F.lower("lab"))
     all_labs = joins.add_missing(labs, gases, [KEY, "lab_datetime", "lab"])
     all_labs = all_labs.withColumn("lab", clean.relabel("lab", fv.LAB_RELABEL))
     day_labs = first_day(all_labs, span, "lab_datetime").withColumn("result", clean.to_number("result"))
@@ -218,28 +243,27 @@ class StudyFeatures:
     assessments: DataFrame
 
 
-def study_features(
-    tables: Tables, cohort: DataFrame, vent: DataFrame, stays: DataFrame, units: StudyUnits = StudyUnits()
-) -> StudyFeatures:
+def study_features(tables: Tables, chosen: StudyCohort) -> StudyFeatures:
     """All feature tables of a cohort.
 
     Demographics are inner-joined step by step: an encounter without a weight, height,
     episode or assessment row leaves the demographics, as in the study.
     """
-    span = unit_span(cohort, stays, units)
-    vent_total = vent.withColumnRenamed("vent_duration", "duration_hours")
+    cohort, span = chosen.keys, chosen.span
+    vent_total = chosen.vent.withColumnRenamed("vent_duration", "duration_hours")
     vent_total = episodes.total_duration(joins.keep_in(vent_total, cohort, KEY), KEY, "vent_duration")
     people = tables["demographics"]
     if {"visit_type", "facility"} <= set(people.columns):
         people = drop_between(people, "visit_type", "facility")
-    measured = (
+    measured = materialize(
         people.join(span.select(KEY, "unit_length_stay"), KEY)
         .join(vent_total, KEY)
         .join(first_weight_height(tables, cohort), KEY)
-        .join(liver_flags(tables, cohort, span), KEY)
+        .join(liver_flags(tables, cohort, span), KEY),
+        "measured",
     )
-    given = sedatives(tables, measured, span)
-    daily = assessments(tables, span)
+    given = materialize(sedatives(tables, measured, span), "sedatives")
+    daily = materialize(assessments(tables, span), "assessments")
     delirium = features.any_positive(daily, KEY, "num_cam_icu_pos", "cam_icu_pos")
     members = measured.join(delirium, KEY)
     exposed = funnel.exposure_group(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,14 +43,25 @@ def local_session(app: str = "cohortline", cores: str | None = None, **extra: st
     return spark
 
 
-def cut_lineage(df: DataFrame, fallback_dir: str | None = None) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all machines share for intermediate tables: ``spark.checkpoint.dir``.
 
-    ``fallback_dir`` is for tests only: it is used when the session names no folder.
+    Only a single-machine session without that setting gets a temporary folder.
     """
-    spark = df.sparkSession
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None and fallback_dir is None:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback_dir was given")
-    spark.sparkContext.setCheckpointDir(configured or fallback_dir)
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="cohortline-")
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Compute a table once, write it to the shared folder and read it back.
+
+    Later steps start from the files: lost executors cost no recomputation, scans are
+    pruned to the columns used, and the known size lets Spark choose join strategies.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
