@@ -1,7 +1,7 @@
 """Runs of equal consecutive events, and unit stays built from location rows.
 
-A plain window over an entity would sort all its rows in one task. Here rows are windowed
-per ``(entity, time slot)``. Runs that lie wholly inside a slot are finished there; only
+A plain window over an entity would sort all its rows in one task. Here copies of a row
+are merged first, on the map side, and rows are then windowed per ``(entity, time slot)``. Runs that lie wholly inside a slot are finished there; only
 the first and the last two runs of each slot, at most three rows, go on to a second,
 small window per entity that joins them across slot borders.
 """
@@ -31,27 +31,31 @@ def collapse_runs(
     """One row per run: ``key, event, first_ts, last_ts, next_last_ts`` and any ``maxima``.
 
     ``next_last_ts`` is the last timestamp of the following run (null on the last run).
-    Rows are ordered by ``ts`` and then ``tie`` (by default the event itself); rows with
-    a null timestamp or event are dropped. ``maxima`` maps output names to columns whose
+    Rows are ordered by ``ts``, then ``tie``, then the event itself; rows with a null
+    timestamp or event are dropped. ``maxima`` maps output names to columns whose
     per-run maximum is kept. ``ends``, one row per key, adds its columns to the runs that
     have no following run; the other runs carry nulls there.
     """
     maxima = dict(maxima or {})
-    order = [col(ts), *[col(t) for t in (tie or [event])]]
+    order = [ts, *[t for t in tie if t not in (event, ts)], event]
     in_slot = Window.partitionBy(key, "__slot").orderBy(*order)
 
     changed = F.lag(event).over(in_slot).isNull() | (F.lag(event).over(in_slot) != col(event))
-    numbered = (
+    # A row's copies belong to its run and change none of the results.
+    merged = (
         rows.filter(col(ts).isNotNull() & col(event).isNotNull())
-        .select(key, event, ts, *[t for t in tie if t not in (event, ts)], *maxima.values())
-        .withColumn("__slot", time_slot(ts, slot_hours))
+        .groupBy(key, *order)
+        .agg(F.count(F.lit(1)).alias("__copies"), *[F.max(c).alias(name) for name, c in maxima.items()])
+    )
+    numbered = (
+        merged.withColumn("__slot", time_slot(ts, slot_hours))
         .withColumn("__new", changed.cast("int"))
         .withColumn("__run", F.sum("__new").over(in_slot.rowsBetween(Window.unboundedPreceding, 0)))
     )
     pieces = numbered.groupBy(key, "__slot", "__run", event).agg(
         F.min(ts).alias("first_ts"),
         F.max(ts).alias("last_ts"),
-        *[F.max(c).alias(name) for name, c in maxima.items()],
+        *[F.max(name).alias(name) for name in maxima],
     )
     by_run = Window.partitionBy(key, "__slot").orderBy("__run")
     whole_slot = by_run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -67,16 +71,13 @@ def collapse_runs(
     # The following run may go on in the next slot unless it, too, ends inside this one.
     follower_known = F.col("__run") + 1 < F.col("__runs")
     edges = pieces.filter(~inside).withColumn("next_last_ts", F.when(follower_known, F.col("next_last_ts")))
-    merged = _join_edges(edges, key, event, maxima)
+    border = _join_edges(edges, key, event, maxima)
     if ends is not None:
         tail = [c for c in ends.columns if c != key]
-        # At most one run per key is open; every other run skips the lookup's columns.
-        looked_up = merged.join(ends, key, "left")
-        merged = looked_up.withColumns({c: F.when(F.col("next_last_ts").isNull(), F.col(c)) for c in tail})
+        looked_up = border.join(ends, key, "left")
+        border = looked_up.withColumns({c: F.when(F.col("next_last_ts").isNull(), F.col(c)) for c in tail})
         output = output + tail
-    return (
-        pieces.filter(inside).unionByName(merged, allowMissingColumns=True).select(*output)
-    )
+    return pieces.filter(inside).unionByName(border, allowMissingColumns=True).select(*output)
 
 
 def _join_edges(edges: DataFrame, key: str, event: str, maxima: Mapping[str, str]) -> DataFrame:

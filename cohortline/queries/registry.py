@@ -26,7 +26,9 @@ class Tables:
         self.spark, self.directory = spark, directory.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        setattr(self, name, table)
+        return table
 
 
 def query(name: str, sql: str | None = None):
