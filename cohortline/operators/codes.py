@@ -1,4 +1,10 @@
-"""Code sets and drug classes: from a short specification to entity flags."""
+"""Code sets and drug classes: from a short specification to entity flags.
+
+Code sets and class members carry no broadcast hint. They come from small files, whose
+size Spark checks: below its limit they are broadcast and the big side is joined in the
+scan, its repeated pairs combined before the only shuffle; above it the join is a sort
+merge that adaptive execution splits at a common code.
+"""
 
 from __future__ import annotations
 
@@ -41,9 +47,8 @@ def code_states(
     ``final_only`` is ``(column, value)``, such as ``("diag_type", "Final")``.
     """
     rows = diagnoses if final_only is None else diagnoses.filter(F.col(final_only[0]) == final_only[1])
-    # Distinct pairs first, on the map side: repeats of a common code never reach the join.
-    pairs = rows.select(key, F.col(code).alias("icd9_code")).distinct()
-    return pairs.join(codes, "icd9_code").select(key, "disease_state").distinct()
+    coded = rows.select(key, F.col(code).alias("icd9_code"))
+    return coded.join(codes, "icd9_code").select(key, "disease_state").distinct()
 
 
 def keys_with_codes(diagnoses: DataFrame, codes: DataFrame, key: str, code: str) -> DataFrame:
@@ -78,5 +83,5 @@ def class_members(
 def class_rows(rows: DataFrame, members: DataFrame, key: str, name: str, member: str = "med_name") -> DataFrame:
     """Distinct ``(key, class)`` of the rows whose name belongs to a class."""
     classes = [c for c in members.columns if c != member]
-    pairs = rows.select(key, F.col(name).alias(member)).distinct()
-    return pairs.join(members, member).select(key, *classes).distinct()
+    named = rows.select(key, F.col(name).alias(member))
+    return named.join(members, member).select(key, *classes).distinct()

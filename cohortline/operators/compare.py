@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cohortline.functions.clean import not_nan, ratio
 from cohortline.functions.pvalues import p_chi2, p_f, p_normal, p_t
 from cohortline.operators.ranks import exact_quantiles, tie_ranks
+from cohortline.session import materialize
 
 SHAPIRO_MAX_N = 5000
 ALPHA = 0.05
@@ -125,31 +126,31 @@ def mann_whitney(long: DataFrame, groups: tuple[str, str], by: Sequence[str] = (
 # ---------------------------------------------------------------- normality
 
 # Rational approximation of the normal quantile function (algorithm AS 241).
-_CENTRE_NUM = (
+CENTRE_NUM = (
     3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4,
     4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3,
 )
-_CENTRE_DEN = (
+CENTRE_DEN = (
     1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3,
     2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3,
 )
-_TAIL_NUM = (
+TAIL_NUM = (
     1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0,
     1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4,
 )
-_TAIL_DEN = (
+TAIL_DEN = (
     1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1,
     1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9,
 )
 
 # Polynomial coefficients, constant term first, of the normality test (AS R94).
-_LAST_WEIGHT = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
-_NEXT_WEIGHT = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
-_SMALL_GAMMA = (-2.273, 0.459)
-_SMALL_MEAN = (0.544, -0.39978, 0.025054, -6.714e-4)
-_SMALL_LOG_SD = (1.3822, -0.77857, 0.062767, -0.0020322)
-_LARGE_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
-_LARGE_LOG_SD = (-0.4803, -0.082676, 0.0030302)
+LAST_WEIGHT = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
+NEXT_WEIGHT = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+SMALL_GAMMA = (-2.273, 0.459)
+SMALL_MEAN = (0.544, -0.39978, 0.025054, -6.714e-4)
+SMALL_LOG_SD = (1.3822, -0.77857, 0.062767, -0.0020322)
+LARGE_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
+LARGE_LOG_SD = (-0.4803, -0.082676, 0.0030302)
 
 
 def _poly(coefficients: Sequence[float], x: Column) -> Column:
@@ -163,9 +164,9 @@ def normal_quantile(p: Column) -> Column:
     """Normal quantile as a column expression, for 1e-10 < p < 1 - 1e-10."""
     q = p - 0.5
     r = F.lit(0.180625) - q * q
-    centre = q * _poly(_CENTRE_NUM, r) / _poly(_CENTRE_DEN, r)
+    centre = q * _poly(CENTRE_NUM, r) / _poly(CENTRE_DEN, r)
     t = F.sqrt(-F.ln(F.least(p, 1 - p))) - 1.6
-    tail = F.signum(q) * _poly(_TAIL_NUM, t) / _poly(_TAIL_DEN, t)
+    tail = F.signum(q) * _poly(TAIL_NUM, t) / _poly(TAIL_DEN, t)
     return F.when(F.abs(q) <= 0.425, centre).otherwise(tail)
 
 
@@ -197,8 +198,8 @@ def shapiro_wilk(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
     s = s.withColumns({"m1": -score(F.lit(1)), "m2": -score(F.lit(2)), "u": 1 / F.sqrt(n)})
     s = s.withColumn("a1", F.when(n == 3, F.sqrt(F.lit(0.5))).otherwise(
-        F.col("m1") / F.sqrt("mm") + _poly(_LAST_WEIGHT, F.col("u"))))
-    s = s.withColumn("a2", F.when(n > 5, F.col("m2") / F.sqrt("mm") + _poly(_NEXT_WEIGHT, F.col("u"))))
+        F.col("m1") / F.sqrt("mm") + _poly(LAST_WEIGHT, F.col("u"))))
+    s = s.withColumn("a2", F.when(n > 5, F.col("m2") / F.sqrt("mm") + _poly(NEXT_WEIGHT, F.col("u"))))
     # Weights of the inner positions are the scores, scaled so that all squares sum to one.
     m_sq, a_sq = 2 * F.col("m1") * F.col("m1"), 2 * F.col("a1") * F.col("a1")
     inner = F.col("mx") - F.col("m1") * (F.col("y1") - F.col("x1"))
@@ -216,8 +217,8 @@ def shapiro_wilk(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     s = s.withColumn("w", F.least(ratio(slope * slope, F.col("ss")), F.lit(1.0)))
 
     log_gap, log_n = F.ln(1 - F.col("w")), F.ln(n)
-    small = (-F.ln(_poly(_SMALL_GAMMA, n) - log_gap) - _poly(_SMALL_MEAN, n)) / F.exp(_poly(_SMALL_LOG_SD, n))
-    large = (log_gap - _poly(_LARGE_MEAN, log_n)) / F.exp(_poly(_LARGE_LOG_SD, log_n))
+    small = (-F.ln(_poly(SMALL_GAMMA, n) - log_gap) - _poly(SMALL_MEAN, n)) / F.exp(_poly(SMALL_LOG_SD, n))
+    large = (log_gap - _poly(LARGE_MEAN, log_n)) / F.exp(_poly(LARGE_LOG_SD, log_n))
     exact = F.greatest(
         F.lit(6 / 3.141592653589793) * (F.asin(F.sqrt("w")) - F.asin(F.sqrt(F.lit(0.75)))), F.lit(0.0)
     )
@@ -243,10 +244,16 @@ def normality(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Normality test per key: Shapiro-Wilk up to 5000 values, Jarque-Bera above.
 
     Returns ``keys, n, method, statistic, p``; fewer than 3 or constant values have no p.
+
+    The moments are computed first and kept. They are one row per key, so Spark knows
+    from their size that it can broadcast the keys of the small samples, and the rows of
+    large samples are dropped in the scan instead of being ranked.
     """
-    jb = jarque_bera(long, keys)
-    w = shapiro_wilk(long, keys).drop("n")
-    both = jb.join(w, list(keys), "left")
+    keys = list(keys)
+    jb = materialize(jarque_bera(long, keys), "moments")
+    small = jb.filter(F.col("n").between(3, SHAPIRO_MAX_N)).select(*keys)
+    w = shapiro_wilk(long.join(small, keys, "left_semi"), keys).drop("n")
+    both = jb.join(w, keys, "left")
     big = F.col("n") > SHAPIRO_MAX_N
     return both.select(
         *keys,
@@ -311,6 +318,9 @@ def compare_numeric(long: DataFrame, groups: tuple[str, str], by: Sequence[str]
 
     Not normal in either group: Mann-Whitney. Normal with equal variances (F test
     p >= 0.05): pooled t. Normal with unequal variances: Welch t.
+
+    Ranking is the expensive step, so the choice is made first and only the variables
+    that need it are ranked.
     """
     keys = [*by, "variable"]
     long = long.filter(F.col("group").isin(*groups))
@@ -320,25 +330,22 @@ def compare_numeric(long: DataFrame, groups: tuple[str, str], by: Sequence[str]
         .groupBy(*keys)
         .agg(F.min("p").alias("p_normal"), F.bool_or(F.col("method") == "jarque-bera").alias("large"))
     )
-    ranks = mann_whitney(long, groups, by).select(*keys, "u_a", "z")
-    tested = (
-        stats.join(normal, keys, "left")
-        .join(ranks, keys, "left")
-        .withColumns(
-            {
-                "p_f": p_f("f", "df1", "df2"),
-                "p_pooled": p_t("t_pooled", "df_pooled"),
-                "p_welch": p_t("t_welch", "df_welch"),
-                "p_u": F.least(2 * p_normal(F.abs("z")), F.lit(1.0)),
-            }
-        )
+    chosen = stats.join(normal, keys, "left").withColumns(
+        {
+            "p_f": p_f("f", "df1", "df2"),
+            "p_pooled": p_t("t_pooled", "df_pooled"),
+            "p_welch": p_t("t_welch", "df_welch"),
+        }
     )
-    skewed, equal = F.col("p_normal") < ALPHA, F.col("p_f") >= ALPHA
+    chosen = materialize(chosen.withColumn("skewed", F.coalesce(F.col("p_normal") < ALPHA, F.lit(False))), "tests")
+    ranked = long.join(chosen.filter("skewed").select(*keys), keys, "left_semi")
+    ranks = mann_whitney(ranked, groups, by).select(*keys, "u_a", F.least(2 * p_normal(F.abs("z")), F.lit(1.0)).alias("p_u"))
+    equal = F.col("p_f") >= ALPHA
 
     def choose(u, pooled, welch) -> Column:
-        return F.when(skewed, u).when(equal, pooled).otherwise(welch)
+        return F.when(F.col("skewed"), u).when(equal, pooled).otherwise(welch)
 
-    return tested.select(
+    return chosen.join(ranks, keys, "left").select(
         *keys,
         choose(F.lit("mann-whitney"), F.lit("t pooled"), F.lit("t welch")).alias("test"),
         choose(F.col("u_a"), F.col("t_pooled"), F.col("t_welch")).alias("statistic"),

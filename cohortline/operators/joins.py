@@ -75,12 +75,14 @@ def within_span(
     ts: str,
     start: str,
     end: str,
-    slot_hours: float = 1.0,
+    slot_hours: float = 24.0,
 ) -> DataFrame:
     """Each event joined to each span of its key with ``start <= ts <= end``.
 
     Both sides are cut into time slots and joined on ``(key, slot)``: a key with a third
     of all events is spread over its slots, and a span meets only the events near it.
+    A span is repeated once per slot it touches, so slots should not be much shorter
+    than spans; a slot that is still too full is split by adaptive execution.
     """
     cut = (
         spans.filter(col(start) <= col(end))

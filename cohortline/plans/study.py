@@ -337,15 +337,12 @@ def review_tables(review: DataFrame, found: StudyFeatures) -> dict[str, DataFram
 
 
 def report_tables(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Table 1 with tests for each analysis table; medications are reported per drug."""
+    """Table 1 with tests for each of the given analysis tables; medications are reported per drug."""
     out = {}
-    for name in ("demographics", "pmh", "home_meds"):
-        numeric, categorical = _variables(tables[name], {KEY, "group", "diagnosis"})
-        out[name] = compare.table_one_with_p(tables[name], "group", fv.GROUP_LABELS, numeric, categorical)
-    numeric, _ = _variables(tables["sedatives"], {KEY, "med", "group"})
-    out["sedatives"] = compare.table_one_with_p(
-        tables["sedatives"], "group", fv.GROUP_LABELS, numeric, by=["med"]
-    )
+    for name, table in tables.items():
+        by = ["med"] if name == "sedatives" else []
+        numeric, categorical = _variables(table, {KEY, "group", "diagnosis", *by})
+        out[name] = compare.table_one_with_p(table, "group", fv.GROUP_LABELS, numeric, categorical, by)
     return out
 
 

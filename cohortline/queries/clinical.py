@@ -417,5 +417,13 @@ def study_review_sheet(t: Tables):
 def study_report(t: Tables):
     tables, found = _features(t)
     review = study.clean_review(tables["manual_review"], tables["identifiers"])
-    report = study.report_tables(study.review_tables(review, found))["demographics"]
+    report = study.report_tables({"demographics": study.review_tables(review, found)["demographics"]})["demographics"]
+    return rounded(report, 6, "pct", "mean", "sd", "statistic", "p")
+
+
+@query("study_report_sedatives")
+def study_report_sedatives(t: Tables):
+    tables, found = _features(t)
+    review = study.clean_review(tables["manual_review"], tables["identifiers"])
+    report = study.report_tables({"sedatives": study.review_tables(review, found)["sedatives"]})["sedatives"]
     return rounded(report, 6, "pct", "mean", "sd", "statistic", "p")
