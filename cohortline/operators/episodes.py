@@ -40,7 +40,7 @@ def collapse_runs(
     order = [ts, *[t for t in tie if t not in (event, ts)], event]
     in_slot = Window.partitionBy(key, "__slot").orderBy(*order)
 
-    changed = F.lag(event).over(in_slot).isNull() | (F.lag(event).over(in_slot) != col(event))
+    changed = ~F.lag(event).over(in_slot).eqNullSafe(col(event))
     # A row's copies belong to its run and change none of the results.
     merged = (
         rows.filter(col(ts).isNotNull() & col(event).isNotNull())

@@ -167,28 +167,37 @@ def history(tables: Tables, cohort: DataFrame) -> DataFrame:
     """Past medical history: one boolean per disease state."""
     spec = codes.lookup_frame(cohort.sparkSession, fv.HISTORY_CODES, ("disease_state", "type", "code"))
     wanted = codes.expand_codes(spec, tables["ccs_crosswalk"])
-    states = codes.code_states(tables["diagnosis"], wanted, KEY, "diag_code", ("diag_type", "Final"))
+    rows = joins.keep_in(tables["diagnosis"], cohort, KEY)
+    states = codes.code_states(rows, wanted, KEY, "diag_code", ("diag_type", "Final"))
     return features.indicator_matrix(states, cohort, KEY, "disease_state", fv.HISTORY_STATES)
 
 
 def home_meds(tables: Tables, cohort: DataFrame) -> DataFrame:
     """Home medications: one boolean per class."""
     members = codes.class_members(tables["drug_class_members"], fv.HOME_MED_TIERS)
-    rows = tables["home_meds"].withColumn("home_med", F.lower("home_med"))
+    rows = joins.keep_in(tables["home_meds"], cohort, KEY).withColumn("home_med", F.lower("home_med"))
     taken = codes.class_rows(rows, members, KEY, "home_med")
     taken = taken.withColumn("med_class", clean.canonical("med_class", fv.HOME_MED_MERGE))
     return features.indicator_matrix(taken, cohort, KEY, "med_class", fv.HOME_MED_LEVELS)
 
 
 def severity_inputs(tables: Tables, ages: DataFrame, span: DataFrame) -> DataFrame:
-    """Worst values of the first day: min and max of every severity measure."""
-    labs = tables["labs"].withColumn("lab", F.lower("lab"))
-    gases = tables["labs_abg"].withColumnRenamed("lab_result", "result").withColumn("lab", F.lower("lab"))
-    all_labs = joins.add_missing(labs, gases, [KEY, "lab_datetime", "lab"])
-    all_labs = all_labs.withColumn("lab", clean.relabel("lab", fv.LAB_RELABEL))
-    day_labs = first_day(all_labs, span, "lab_datetime").withColumn("result", clean.to_number("result"))
+    """Worst values of the first day: min and max of every severity measure.
+
+    Blood gases are added where the labs lack them. That match is on encounter, time and
+    name, so both tables are cut down to the first day and the wanted names before it.
+    """
+    wanted = [*fv.SEVERITY_LABS, *fv.LAB_RELABEL]
+    gases = tables["labs_abg"].withColumnRenamed("lab_result", "result")
+    labs, gases = (
+        first_day(rows.withColumn("lab", F.lower("lab")).filter(F.col("lab").isin(*wanted)), span, "lab_datetime")
+        for rows in (tables["labs"], gases)
+    )
+    day_labs = joins.add_missing(labs, gases, [KEY, "lab_datetime", "lab"]).withColumns(
+        {"lab": clean.relabel("lab", fv.LAB_RELABEL), "result": clean.to_number("result")}
+    )
     vitals = tables["vitals"].withColumn("vital", clean.canonical("vital", fv.VITAL_RULES))
-    day_vitals = first_day(vitals, span, "vital_datetime")
+    day_vitals = first_day(vitals.filter(F.col("vital").isin(*fv.SEVERITY_VITALS)), span, "vital_datetime")
     wide = (
         ages.select(KEY, "age")
         .join(features.worst_values(day_labs, KEY, "lab", "result", fv.SEVERITY_LABS), KEY)
@@ -203,9 +212,10 @@ def sedatives(tables: Tables, weights: DataFrame, span: DataFrame) -> DataFrame:
     bolus = tables["meds_bolus"].withColumn("med", F.lower("med"))
     # The weight rides on the span, one row per encounter, so it costs no join of its own.
     weighed = span.select(KEY, "arrival", "leave").join(weights.select(KEY, "weight"), KEY)
-    samples = joins.within_span(
-        exposure.not_also_bolus(cont, bolus, "event_id"), weighed, KEY, "med_datetime", "arrival", "leave"
-    ).withColumn("rate", exposure.convert_rate("med", "rate_unit", "rate", "weight"))
+    inside = joins.within_span(cont, weighed, KEY, "med_datetime", "arrival", "leave")
+    samples = exposure.not_also_bolus(inside, bolus, "event_id").withColumn(
+        "rate", exposure.convert_rate("med", "rate_unit", "rate", "weight")
+    )
     running = (
         exposure.rate_exposure(samples, [KEY, "med"], "med_datetime", "rate", "rate_unit", "event_id")
         .join(weights.select(KEY, "weight"), KEY)
@@ -270,7 +280,7 @@ def study_features(tables: Tables, chosen: StudyCohort) -> StudyFeatures:
         members, given, KEY, funnel.listed_drug_given("med", "cont_duration", fv.EXPOSURE_DRUGS), fv.GROUP_LABELS
     ).select(KEY, F.col("exposed").alias("bzd"))
     return StudyFeatures(
-        demographics=members.join(exposed, KEY),
+        demographics=materialize(members.join(exposed, KEY), "demographics"),
         history=history(tables, cohort),
         home_meds=home_meds(tables, cohort),
         severity=severity_inputs(tables, measured, span),

@@ -17,6 +17,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+_local_folders: list[tempfile.TemporaryDirectory] = []
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session that somebody else created."""
@@ -46,14 +48,17 @@ def local_session(app: str = "cohortline", cores: str | None = None, **extra: st
 def shared_folder(spark: SparkSession) -> str:
     """The folder all machines share for intermediate tables: ``spark.checkpoint.dir``.
 
-    Only a single-machine session without that setting gets a temporary folder.
+    Only a single-machine session without that setting gets a temporary folder, which
+    lasts as long as the Python process.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="cohortline-")
+    if not _local_folders:
+        _local_folders.append(tempfile.TemporaryDirectory(prefix="cohortline-"))
+    return _local_folders[0].name
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
