@@ -28,9 +28,10 @@ def collapse_runs(
     maxima: Mapping[str, str] | None = None,
     ends: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per run: ``key, event, first_ts, last_ts, next_last_ts`` and any ``maxima``.
+    """One row per run: its first and last timestamp, those of the run after it, ``maxima``.
 
-    ``next_last_ts`` is the last timestamp of the following run (null on the last run).
+    Returns ``key, event, first_ts, last_ts, next_first_ts, next_last_ts`` and the maxima;
+    the ``next_`` columns are null on an entity's last run.
     Rows are ordered by ``ts``, then ``tie``, then the event itself; rows with a null
     timestamp or event are dropped. ``maxima`` maps output names to columns whose
     per-run maximum is kept. ``ends``, one row per key, adds its columns to the runs that
@@ -62,15 +63,18 @@ def collapse_runs(
     pieces = pieces.withColumns(
         {
             "__runs": F.max("__run").over(whole_slot),
+            "next_first_ts": F.lead("first_ts").over(by_run),
             "next_last_ts": F.lead("last_ts").over(by_run),
         }
     )
     inside = (F.col("__run") >= 2) & (F.col("__run") <= F.col("__runs") - 2)
-    output = [key, event, "first_ts", "last_ts", "next_last_ts", *maxima]
+    output = [key, event, "first_ts", "last_ts", "next_first_ts", "next_last_ts", *maxima]
 
     # The following run may go on in the next slot unless it, too, ends inside this one.
     follower_known = F.col("__run") + 1 < F.col("__runs")
-    edges = pieces.filter(~inside).withColumn("next_last_ts", F.when(follower_known, F.col("next_last_ts")))
+    edges = pieces.filter(~inside).withColumns(
+        {c: F.when(follower_known, F.col(c)) for c in ("next_first_ts", "next_last_ts")}
+    )
     border = _join_edges(edges, key, event, maxima)
     if ends is not None:
         tail = [c for c in ends.columns if c != key]
@@ -90,12 +94,16 @@ def _join_edges(edges: DataFrame, key: str, event: str, maxima: Mapping[str, str
     merged = grouped.groupBy(key, "__group", event).agg(
         F.min("first_ts").alias("first_ts"),
         F.max("last_ts").alias("last_ts"),
+        F.max("next_first_ts").alias("next_first_ts"),
         F.max("next_last_ts").alias("next_last_ts"),
         *[F.max(name).alias(name) for name in maxima],
     )
     by_group = Window.partitionBy(key).orderBy("__group")
-    return merged.withColumn(
-        "next_last_ts", F.coalesce(F.col("next_last_ts"), F.lead("last_ts").over(by_group))
+    return merged.withColumns(
+        {
+            "next_first_ts": F.coalesce(F.col("next_first_ts"), F.lead("first_ts").over(by_group)),
+            "next_last_ts": F.coalesce(F.col("next_last_ts"), F.lead("last_ts").over(by_group)),
+        }
     ).drop("__group")
 
 
@@ -108,13 +116,17 @@ def run_episodes(
     end_time: DataFrame | Column | None = None,
     tie: Sequence[str] = (),
     slot_hours: float = 1.0,
+    stop_at: str = "last",
 ) -> DataFrame:
     """Episodes that begin with a run of ``start_event`` and stop with the run after it.
 
     Returns ``key, start_datetime, stop_datetime, duration_hours``. The stop is the last
-    timestamp of the next run. An open episode keeps a null stop; its duration runs to
+    timestamp of the next run, or its first with ``stop_at="first"``. An open episode keeps a null stop; its duration runs to
     ``end_time``: a fixed timestamp column, or a frame ``(key, end_datetime)``.
     """
+    if stop_at not in ("first", "last"):
+        raise ValueError(f"stop_at must be 'first' or 'last', not {stop_at!r}")
+    stop = f"next_{stop_at}_ts"
     per_key = end_time if isinstance(end_time, DataFrame) else None
     if per_key is not None:
         per_key = per_key.select(key, "end_datetime")
@@ -126,8 +138,8 @@ def run_episodes(
     return runs.filter(F.col(event) == start_event).select(
         key,
         F.col("first_ts").alias("start_datetime"),
-        F.col("next_last_ts").alias("stop_datetime"),
-        hours_between("first_ts", F.coalesce(F.col("next_last_ts"), fallback)).alias("duration_hours"),
+        F.col(stop).alias("stop_datetime"),
+        hours_between("first_ts", F.coalesce(F.col(stop), fallback)).alias("duration_hours"),
     )
 
 

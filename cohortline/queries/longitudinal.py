@@ -52,6 +52,18 @@ def episode_min_duration(t: Tables):
     return episodes.keys_with_long_episode(found, "user_id", 24)
 
 
+@query("episodes_to_first_stop", f"""
+WITH {RUNS_SQL},
+starts AS (SELECT *, lead(first_ts) OVER (PARTITION BY user_id ORDER BY run) AS stop_first FROM runs)
+SELECT user_id, first_ts AS start_datetime, stop_first AS stop_datetime,
+       round(date_diff('microsecond', first_ts, stop_first) / 3.6e9, 6) AS duration_hours
+FROM starts WHERE event_type = 'view'
+""")
+def episodes_to_first_stop(t: Tables):
+    out = episodes.run_episodes(t.events, "user_id", "event_type", "ts", "view", stop_at="first")
+    return rounded(out, 6, "duration_hours")
+
+
 @query("episode_total_duration", f"""
 WITH {RUNS_SQL}
 SELECT user_id,

@@ -36,6 +36,11 @@ def test_episodes(frame, slot_hours):
         ("C", ts("03-01"), ts("03-01 10:00"), 10.0),
     ]
     assert rows(episodes.keys_with_long_episode(found, "pie_id", 24)) == [("A",), ("B",)]
+    first = episodes.run_episodes(
+        events, "pie_id", "vent_event", "vent_datetime", s, ends, slot_hours=slot_hours, stop_at="first"
+    )
+    assert rows(first)[0] == ("A", ts("01-01"), ts("01-02"), 24.0)
+    assert [r[3] for r in rows(first)[1:]] == [36.0, 36.0, 10.0]
 
 
 @pytest.mark.parametrize("slot_hours", [0.5, 2, 24])

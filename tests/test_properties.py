@@ -30,7 +30,7 @@ def sample_events(seed, n=400, hot_share=0.4, minutes=60 * 24 * 5):
 SCHEMA = "id long, k string, ev string, t timestamp_ntz, r double, u string"
 
 
-def brute_episodes(data, start_event):
+def brute_episodes(data, start_event, stop=2):
     out = []
     for key in {d[1] for d in data}:
         mine = sorted((d for d in data if d[1] == key), key=lambda d: (d[3], d[0]))
@@ -42,7 +42,7 @@ def brute_episodes(data, start_event):
                 runs.append([ev, at, at])
         for i, (ev, first, _) in enumerate(runs):
             if ev == start_event:
-                out.append((key, first, runs[i + 1][2] if i + 1 < len(runs) else None))
+                out.append((key, first, runs[i + 1][stop] if i + 1 < len(runs) else None))
     return sorted(out, key=str)
 
 
@@ -74,6 +74,9 @@ def test_episodes_equal_brute_force(frame, seed, slot_hours, parts):
     out = episodes.run_episodes(df, "k", "ev", "t", "S", tie=["id"], slot_hours=slot_hours)
     got = sorted((tuple(r) for r in out.select("k", "start_datetime", "stop_datetime").collect()), key=str)
     assert got == brute_episodes(data, "S")
+    out = episodes.run_episodes(df, "k", "ev", "t", "S", tie=["id"], slot_hours=slot_hours, stop_at="first")
+    got = sorted((tuple(r) for r in out.select("k", "start_datetime", "stop_datetime").collect()), key=str)
+    assert got == brute_episodes(data, "S", stop=1)
 
 
 @pytest.mark.parametrize("seed,slot_hours,parts", [(11, 1, 3), (12, 6, 7), (13, 24, 1), (14, 0.25, 5), (15, 2000, 4)])
