@@ -1,7 +1,8 @@
-"""Spark session settings the operators rely on."""
+"""Spark session settings the operators rely on, and the shared folder for intermediate tables."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -17,7 +18,7 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-_local_folders: list[tempfile.TemporaryDirectory] = []
+_written: list[tuple[object, str]] = []
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -29,14 +30,21 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def local_session(app: str = "cohortline", cores: str | None = None, **extra: str) -> SparkSession:
-    """A single-machine session for tests and the benchmark; a cluster brings its own."""
+    """A single-machine session for tests and the benchmark; a cluster brings its own.
+
+    It sets ``spark.checkpoint.dir`` itself, to a folder that goes when the process ends.
+    """
     cores = cores or os.environ.get("BENCH_CPUS", "8")
+    scratch = tempfile.TemporaryDirectory(prefix="cohortline-")
+    atexit.register(scratch.cleanup)
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
+        .config("spark.checkpoint.dir", f"file://{scratch.name}/shared")
+        .config("spark.sql.warehouse.dir", f"file://{scratch.name}/warehouse")
     )
     for key, value in {**RUNTIME_SETTINGS, **extra}.items():
         builder = builder.config(key, value)
@@ -48,17 +56,33 @@ def local_session(app: str = "cohortline", cores: str | None = None, **extra: st
 def shared_folder(spark: SparkSession) -> str:
     """The folder all machines share for intermediate tables: ``spark.checkpoint.dir``.
 
-    Only a single-machine session without that setting gets a temporary folder, which
-    lasts as long as the Python process.
+    Where that is unset it is a folder in the session's warehouse, which every machine of
+    a cluster reaches as well. A machine's temporary folder is never used.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+    if not warehouse:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not _local_folders:
-        _local_folders.append(tempfile.TemporaryDirectory(prefix="cohortline-"))
-    return _local_folders[0].name
+    return warehouse.rstrip("/") + "/_intermediate"
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder for one intermediate table; it is deleted when the process ends."""
+    top = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    _written.append((spark.sparkContext, top))
+    return f"{top}/{name}"
+
+
+@atexit.register
+def _delete_written() -> None:
+    for context, folder in _written:
+        try:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        except Exception:  # the session has ended: the shared folder's own clean-up takes it
+            return
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -67,6 +91,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Later steps start from the files: lost executors cost no recomputation, scans are
     pruned to the columns used, and the known size lets Spark choose join strategies.
     """
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}/{name}"
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
