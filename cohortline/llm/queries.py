@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import exact_dedup, mixing, packing, quality_rules
+from cohortline.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
 from cohortline.llm.text import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,10 +35,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagged.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.with_classes(table(spark, sf_dir, "documents")).drop("digest")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-CORPUS_QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_exact_dedup, op6_quality_rules)}
+CORPUS_QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_exact_dedup, op5_near_dedup, op6_quality_rules)}
 CORPUS_SQL: dict[str, str] = {}
