@@ -49,14 +49,12 @@ def cluster(
     hold two components go on, with ``block`` more leaders, then ``block`` times as many, until every pair of a bucket
     lies in one component or has been compared. So no link between candidates is lost.
 
-    ``fetch`` gives (id, body) for a table of ids; ``linked`` decides pairs of numbers of a list of bodies.
+    An id may come more than once, with the same bands. ``fetch`` gives (id, body) for a table of ids; ``linked`` decides
+    pairs of numbers of a list of bodies.
     """
     rows = items.select("id", F.explode("bands").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id")).alias("leader")).filter("n > 1")
-    members = materialize(rows.join(sizes, "bucket").select("bucket", "id", "leader", "n"), "members")
-    largest = members.agg(F.max("n")).first()[0]
-    if largest is None:
-        return items.select("id", F.col("id").alias("component")).limit(0)
+    shared = rows.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("other")).filter("leader != other")
+    members = materialize(rows.join(shared, "bucket").select("bucket", "id", "leader").distinct(), "members")
     bodies = materialize(fetch(members.select("id").distinct()), "bodies")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,7 +79,7 @@ def cluster(
         placed = members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
         left = materialize(placed.join(mixed.select("bucket"), "bucket", "left_semi"), "unsettled")
-        largest = left.agg(F.max("n")).first()[0]
+        largest = left.groupBy("bucket").count().agg(F.max("count")).first()[0]
         if largest is None or upto >= largest:
             return parts
         upto, block = upto + block, block * block

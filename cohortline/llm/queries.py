@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
+from cohortline.llm import exact_dedup, mixing, near_dedup, packing, quality_rules, substring_dedup
 from cohortline.llm.text import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,5 +44,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-CORPUS_QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_exact_dedup, op5_near_dedup, op6_quality_rules)}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return marked.select("doc_id", "n_paragraphs", "n_removed", substring_dedup.spans_text(F.col("spans")).alias("removed"))
+
+
+CORPUS_QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_exact_dedup, op5_near_dedup, op6_quality_rules, op9_substring_dedup)}
 CORPUS_SQL: dict[str, str] = {}
