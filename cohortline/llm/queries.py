@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import exact_dedup, mixing, near_dedup, packing, quality_rules, substring_dedup
+from cohortline.llm import exact_dedup, mixing, near_dedup, packing, pii, quality_rules, substring_dedup
 from cohortline.llm.text import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -49,5 +49,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_paragraphs", "n_removed", substring_dedup.spans_text(F.col("spans")).alias("removed"))
 
 
-CORPUS_QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_exact_dedup, op5_near_dedup, op6_quality_rules, op9_substring_dedup)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.digest_columns(pii.find_personal_data(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+CORPUS_QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_exact_dedup, op5_near_dedup, op6_quality_rules, op9_substring_dedup, op10_pii)}
 CORPUS_SQL: dict[str, str] = {}
