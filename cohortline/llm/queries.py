@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import exact_dedup, mixing, near_dedup, packing, pii, quality_rules, substring_dedup
+from cohortline.llm import exact_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, substring_dedup, toxicity, warc
 from cohortline.llm.text import table
+from cohortline.session import materialize, new_folder
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 WEIGHTS = {"domain": {"crawl": 4, "reference": 4, "community": 3}, "lang": {"en": 6, "de": 2, "fr": 2, "es": 2}}
@@ -35,6 +36,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagged.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.with_classes(table(spark, sf_dir, "documents")).drop("digest")
 
@@ -44,6 +49,25 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no addresses: a source is a host and its sections by language are its paths."""
+    path = F.concat_ws("/", "source", "lang")
+    return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), path)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "archives")
+    warc.write_captures(table(spark, sf_dir, "pages"), folder)
+    captures = warc.assemble(materialize(warc.read_records(spark, folder), "records"))
+    return captures.select(
+        F.col("metadata.fields")["pageid"].cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("type").alias("record_type"),
+        F.col("original")["pageid"].cast("long").alias("refers_to"),
+    )
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
     return marked.select("doc_id", "n_paragraphs", "n_removed", substring_dedup.spans_text(F.col("spans")).alias("removed"))
@@ -54,5 +78,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
-CORPUS_QUERIES = {f.__name__: f for f in (op1_mixing, op2_packing, op3_exact_dedup, op5_near_dedup, op6_quality_rules, op9_substring_dedup, op10_pii)}
+CORPUS_QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mixing,
+        op2_packing,
+        op3_exact_dedup,
+        op4_toxicity,
+        op5_near_dedup,
+        op6_quality_rules,
+        op7_quality_classifier,
+        op8_warc,
+        op9_substring_dedup,
+        op10_pii,
+    )
+}
 CORPUS_SQL: dict[str, str] = {}
