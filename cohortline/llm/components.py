@@ -11,19 +11,22 @@ from pyspark.sql import functions as F
 from cohortline.session import materialize
 
 
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether every ``a`` has one ``b`` that is no ``a`` itself; then ``b`` names the component."""
+    twice = edges.groupBy("a").count().filter("count > 1").select("a")
+    chained = edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a")
+    return twice.unionByName(chained).isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``id`` and ``component`` (least id reachable) of every id in the edges ``a``, ``b``, by alternating stars.
 
     A round links each vertex to the least neighbour of the vertices it touches, first upwards, then downwards; both
     are an aggregation and a join, so a vertex with very many neighbours is combined on the map side and its join can
-    be split. Each round is written to the shared folder. It ends when a round changes nothing.
+    be split. Each round is written to the shared folder. It ends when every component is a star.
     """
-    last, now = None, materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("a", "b"), 20))).first()
-        if mark == last:
-            break
-        last = mark
+    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
+    while not _is_forest_of_stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -74,13 +77,13 @@ def cluster(
 
     pairs = materialize(members.filter("id != leader").select(*ordered("id", "leader")).distinct(), "pairs")
     tested, links, upto = pairs, materialize(verified(pairs), "links"), 1
+    parts, left = connected_components(links), members.select("bucket", "id")
     while True:
-        parts = connected_components(links)
-        placed = members.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        left = materialize(placed.join(mixed.select("bucket"), "bucket", "left_semi"), "unsettled")
-        largest = left.groupBy("bucket").count().agg(F.max("count")).first()[0]
-        if largest is None or upto >= largest:
+        placed = left.select("bucket", "id").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
+        open_ = mixed.filter((F.col("low") < F.col("high")) & (F.col("n") > upto + 1)).select("bucket")
+        left = materialize(placed.join(open_, "bucket", "left_semi"), "unsettled")
+        if left.isEmpty():
             return parts
         upto, block = upto + block, block * block
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("id"), "id"))
@@ -88,4 +91,7 @@ def cluster(
         fresh = left.join(leaders, "bucket").filter("component != lead_component").select(*ordered("id", "lead")).distinct()
         fresh = materialize(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(fresh)
-        links = links.unionByName(materialize(verified(fresh), "links"))
+        found = materialize(verified(fresh), "links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            parts = connected_components(links)
