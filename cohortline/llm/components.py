@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortline.session import materialize
@@ -39,21 +40,29 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
+Elements = tuple[np.ndarray, np.ndarray]
+
+
 def cluster(
     items: DataFrame,
     fetch: Callable[[DataFrame], DataFrame],
-    linked: Callable[[list[str], list[tuple[int, int]]], list[bool]],
+    describe: Callable[[list[str]], list[Elements]],
+    close: Callable[[Elements, Elements], bool],
+    similarity: float,
     block: int = 8,
 ) -> DataFrame:
     """``id`` and ``component`` of the items of ``items`` (id, bands) that are linked to another one.
 
-    Items that share a bucket are candidates. All pairs of a bucket would grow with its square, so a bucket is settled
-    in rounds: its members are compared with one leader, links are closed to components, and only buckets that still
-    hold two components go on, with ``block`` more leaders, then ``block`` times as many, until every pair of a bucket
-    lies in one component or has been compared. So no link between candidates is lost.
+    Items that share a bucket are candidates. All pairs of a bucket would grow with its square, so each member is
+    compared with one leader, then in buckets that still hold two components with ``block`` more. What is left are
+    buckets of unlike items, such as texts around one common passage. Their items are compared exactly by prefixes:
+    take each item's elements from the rarest on. With shares a and b of two items from their first common element on,
+    neither kind of similarity exceeds 1 / (1/a + 1/b - 1), so only items of different components with a common element
+    at which this still reaches ``similarity`` are compared. No link between candidates is lost.
 
-    An id may come more than once, with the same bands. ``fetch`` gives (id, body) for a table of ids; ``linked`` decides
-    pairs of numbers of a list of bodies.
+    An id may come more than once, with the same bands. ``fetch`` gives (id, body) for a table of ids, ``describe`` the
+    ascending element hashes and weights of each body, and ``close`` decides a pair, by a similarity that
+    keeps this bound for numbers or weights of elements, as Jaccard and probability Jaccard similarity do.
     """
     rows = items.select("id", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("other")).filter("leader != other")
@@ -63,35 +72,73 @@ def cluster(
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = dict(zip(batch["a"], batch["body_a"])) | dict(zip(batch["b"], batch["body_b"]))
-            number = {id_: i for i, id_ in enumerate(texts)}
-            pairs = [(number[a], number[b]) for a, b in zip(batch["a"], batch["b"])]
-            yield batch.loc[linked(list(texts.values()), pairs), ["a", "b"]]
+            known = dict(zip(texts, describe(list(texts.values()))))
+            linked = [close(known[a], known[b]) for a, b in zip(batch["a"], batch["b"])]
+            yield batch.loc[linked, ["a", "b"]]
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            known = describe(batch["body"].tolist())
+            sizes = [len(e) for e, _ in known]
+            if sum(sizes):
+                again = np.repeat(np.arange(len(batch)), sizes)
+                element = np.concatenate([e for e, _ in known]).astype(np.int64)
+                weight = np.concatenate([np.asarray(w, float) for _, w in known])
+                yield batch[["id", "component"]].iloc[again].assign(element=element, weight=weight)
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = bodies.select(F.col("id").alias("a"), F.col("body").alias("body_a"))
         right = bodies.select(F.col("id").alias("b"), F.col("body").alias("body_b"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "body_a", "body_b").mapInPandas(check, "a bigint, b bigint")
+        found = pairs.join(left, "a").join(right, "b").select("a", "b", "body_a", "body_b").mapInPandas(check, "a bigint, b bigint")
+        return materialize(found, "links")
 
     def ordered(first: str, second: str) -> list:
         return [F.least(first, second).alias("a"), F.greatest(first, second).alias("b")]
 
-    pairs = materialize(members.filter("id != leader").select(*ordered("id", "leader")).distinct(), "pairs")
-    tested, links, upto = pairs, materialize(verified(pairs), "links"), 1
-    parts, left = connected_components(links), members.select("bucket", "id")
-    while True:
-        placed = left.select("bucket", "id").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    def unsettled(members: DataFrame, parts: DataFrame, compared: int) -> DataFrame:
+        """The members, with components, of buckets of several components with members that were not compared."""
+        placed = members.select("bucket", "id").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-        open_ = mixed.filter((F.col("low") < F.col("high")) & (F.col("n") > upto + 1)).select("bucket")
-        left = materialize(placed.join(open_, "bucket", "left_semi"), "unsettled")
-        if left.isEmpty():
-            return parts
-        upto, block = upto + block, block * block
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("id"), "id"))
-        leaders = left.withColumn("rank", rank).filter(F.col("rank") <= upto).select("bucket", F.col("id").alias("lead"), F.col("component").alias("lead_component"))
-        fresh = left.join(leaders, "bucket").filter("component != lead_component").select(*ordered("id", "lead")).distinct()
-        fresh = materialize(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(fresh)
-        found = materialize(verified(fresh), "links")
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            parts = connected_components(links)
+        open_ = mixed.filter((F.col("low") < F.col("high")) & (F.col("n") > compared + 1)).select("bucket")
+        return materialize(placed.join(open_, "bucket", "left_semi"), "unsettled")
+
+    tested = materialize(members.filter("id != leader").select(*ordered("id", "leader")).distinct(), "pairs")
+    links = verified(tested)
+    parts = connected_components(links)
+
+    left = unsettled(members, parts, 1)
+    if left.isEmpty():
+        return parts
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("id"), "id"))
+    leaders = left.withColumn("rank", rank).filter(F.col("rank") <= block).select("bucket", F.col("id").alias("lead"), F.col("component").alias("lead_component"))
+    fresh = left.join(leaders, "bucket").filter("component != lead_component").select(*ordered("id", "lead")).distinct()
+    fresh = materialize(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
+    found = verified(fresh)
+    if not found.isEmpty():
+        links = links.unionByName(found)
+        parts = connected_components(links)
+
+    left = unsettled(left, parts, block)
+    if left.isEmpty():
+        return parts
+    rest = bodies.join(left.select("id", "component").distinct(), "id")
+    each = materialize(rest.mapInPandas(spread, "id bigint, component bigint, element bigint, weight double"), "elements")
+    common = each.groupBy("element").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    item = Window.partitionBy("id")
+    rarest = item.orderBy("n", "element").rowsBetween(Window.unboundedPreceding, -1)
+    rest_of = {
+        "number": 1 - F.coalesce(F.count("*").over(rarest), F.lit(0)) / F.count("*").over(item),
+        "load": 1 - F.coalesce(F.sum("weight").over(rarest), F.lit(0.0)) / F.sum("weight").over(item),
+    }
+    prefix = each.join(common, "element").withColumns(rest_of).filter(F.greatest("number", "load") >= similarity - 1e-9)
+    prefix = prefix.filter("low < high").select("element", "id", "component", "number", "load")
+    other = prefix.select("element", *[F.col(c).alias(f"lead_{c}") for c in ("id", "component", "number", "load")])
+
+    def reachable(share: str) -> Column:
+        return 1 / F.col(share) + 1 / F.col(f"lead_{share}") - 1 <= 1 / similarity + 1e-9
+
+    near = (F.col("id") < F.col("lead_id")) & (F.col("component") != F.col("lead_component")) & (reachable("number") | reachable("load"))
+    met = prefix.join(other, "element").filter(near).select(*ordered("id", "lead_id")).distinct()
+    met = met.join(tested.unionByName(fresh), ["a", "b"], "left_anti")
+    found = verified(materialize(met, "pairs"))
+    return parts if found.isEmpty() else connected_components(links.unionByName(found))

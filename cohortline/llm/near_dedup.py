@@ -32,25 +32,23 @@ def signatures(texts: list[str], bands: int, rows: int) -> list[np.ndarray]:
     return out
 
 
-def similar(similarity: float):
-    """Pairs whose probability Jaccard or plain Jaccard similarity of five-word shingles reaches the limit."""
+def describe(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each text's distinct shingles, ascending, and their weights."""
+    out = []
+    for _, group in sh.batches(texts):
+        number, element, counts = sh.shingles(group)
+        cuts = np.searchsorted(number, np.arange(len(group) + 1))
+        out += [(element[i:j], weights(counts[i:j])) for i, j in zip(cuts[:-1], cuts[1:])]
+    return out
 
-    def linked(texts: list[str], pairs: list[tuple[int, int]]) -> list[bool]:
-        sets = []
-        for _, group in sh.batches(texts):
-            number, element, counts = sh.shingles(group)
-            cuts = np.searchsorted(number, np.arange(len(group) + 1))
-            sets += [(element[i:j], weights(counts[i:j])) for i, j in zip(cuts[:-1], cuts[1:])]
 
-        def close(i, j):
-            (a, wa), (b, wb) = sets[i], sets[j]
-            if min(len(a), len(b)) < 0.5 * similarity * max(len(a), len(b)):  # no weights make up for this
-                return sh.probability_jaccard(a, wa, b, wb) >= similarity
-            return sh.set_jaccard(a, b) >= similarity or sh.probability_jaccard(a, wa, b, wb) >= similarity
+def similar(similarity: float):
+    """Whether the probability Jaccard or the plain Jaccard similarity of two texts reaches the limit."""
 
-        return [close(i, j) for i, j in pairs]
+    def close(x, y):
+        return sh.set_jaccard(x[0], y[0]) >= similarity or sh.probability_jaccard(*x, *y) >= similarity
 
-    return linked
+    return close
 
 
 def with_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, rows: int = ROWS) -> DataFrame:
@@ -81,7 +79,7 @@ def with_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
         wanted = items.join(ids, "id").select("id", "digest")
         return slim.select("digest", "body").join(wanted, "digest").groupBy("id").agg(F.first("body").alias("body"))
 
-    parts = materialize(cluster(items.select("id", "bands"), fetch, similar(similarity)), "parts")
+    parts = materialize(cluster(items.select("id", "bands"), fetch, describe, similar(similarity), similarity), "parts")
     placed = signed.select("key", "digest", "row").join(items.select("digest", "id"), "digest").join(parts, "id", "left")
     placed = placed.select("key", "digest", "row", F.coalesce("component", "id").alias("component"))
     first = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), "row")).alias("first")

@@ -48,19 +48,19 @@ def describe(texts: list[str], bands: int, rows: int, min_words: int) -> tuple[n
     return np.concatenate(n_words or [np.zeros(0, int)]), np.concatenate(digests or [np.zeros(0, np.int64)]), keys
 
 
-def similar(similarity: float):
-    """Pairs of paragraphs whose five-word shingles have at least this Jaccard similarity."""
-
-    def linked(texts: list[str], pairs: list[tuple[int, int]]) -> list[bool]:
-        sets = []
-        for _, group in sh.batches(texts):
-            number, element, _ = sh.shingles(group)
-            cuts = np.searchsorted(number, np.arange(len(group) + 1))
-            sets += [element[i:j] for i, j in zip(cuts[:-1], cuts[1:])]
+def elements(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each paragraph's distinct five-word shingles, ascending, all of weight 1."""
+    out = []
+    for _, group in sh.batches(texts):
+        number, element, _ = sh.shingles(group)
+        cuts = np.searchsorted(number, np.arange(len(group) + 1))
+        out += [(element[i:j], np.ones(j - i)) for i, j in zip(cuts[:-1], cuts[1:])]
+    return out
 
-        return [sh.set_jaccard(sets[i], sets[j]) >= similarity for i, j in pairs]
 
-    return linked
+def similar(similarity: float):
+    """Whether the shingles of two paragraphs have at least this Jaccard similarity."""
+    return lambda x, y: sh.set_jaccard(x[0], y[0]) >= similarity
 
 
 def paragraph_table(docs: DataFrame, bands: int, rows: int, min_words: int, key: str, text: str) -> DataFrame:
@@ -120,7 +120,7 @@ def repeated_spans(
         return pulled.groupBy("id").agg(F.first("body").alias("body"))
 
     items = found.select(F.col("digest").alias("id"), "bands")
-    parts = materialize(cluster(items, fetch, similar(similarity)), "parts")
+    parts = materialize(cluster(items, fetch, elements, similar(similarity), similarity), "parts")
     groups = first.join(parts, first["digest"] == parts["id"], "left").withColumn("component", F.coalesce("component", "digest"))
     groups = groups.select("digest", "first", "copies", "component")
     keepers = groups.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("copies").alias("members")).filter("members > 1")
