@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import exact_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, substring_dedup, toxicity, warc
+from cohortline.llm import exact_dedup, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, sql, substring_dedup, toxicity, warc
 from cohortline.llm.text import table
 from cohortline.session import materialize, new_folder
 
@@ -93,4 +93,9 @@ CORPUS_QUERIES = {
         op10_pii,
     )
 }
-CORPUS_SQL: dict[str, str] = {}
+CORPUS_SQL = {
+    "op1_mixing": sql.mixing(mixing.LEVELS, WEIGHTS, MAX_EPOCHS, SEED),
+    "op3_exact_dedup": sql.EXACT_DEDUP,
+    "op6_quality_rules": sql.QUALITY_RULES,
+    "op8_warc": sql.WARC,
+}
