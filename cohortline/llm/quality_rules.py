@@ -84,17 +84,18 @@ def standard_rules(text: str = "text") -> list[Rule]:
 def order_rules(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
     """The rules in the order of rejections per unit of cost, each judged on what the ones before it let pass.
 
-    One aggregation over the sample: a row for each combination of verdicts (2^rules at most) with each rule's mean
-    cost there. An empty sample keeps the given order, which also breaks ties.
+    One aggregation over the sample: a row for each combination of verdicts (2^rules at most) with each rule's total
+    cost there; rows that fail the base are left out. An empty sample keeps the given order, which also breaks ties.
     """
     flags = [F.coalesce(r.rejects, F.lit(False)).alias(f"r{i}") for i, r in enumerate(rules)]
     costs = [r.cost.alias(f"c{i}") for i, r in enumerate(rules)]
     groups = (
-        sample.select(*flags, *costs)
-        .groupBy(*[f"r{i}" for i in range(len(rules))])
+        sample.select(base_failed().alias("base"), *flags, *costs)
+        .groupBy("base", *[f"r{i}" for i in range(len(rules))])
         .agg(F.count("*").alias("n"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(rules))])
         .collect()
     )
+    groups = [g for g in groups if not g["base"]]
     left, order = list(range(len(rules))), []
     while left:
         def gain(i):
@@ -126,7 +127,17 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: list[
     """
     rules = standard_rules(text) if rules is None else rules
     sample = docs.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < int(sample_share * 1_000_000))
-    ordered = order_rules(add_counts(sample, text).filter(~base_failed()), rules)
+    ordered = order_rules(add_counts(sample, text), rules)
     judged = add_counts(docs, text).withColumn("base_failed", base_failed())
     verdict = F.when(F.col("base_failed"), F.lit("base")).otherwise(first_failure(ordered))
     return judged.withColumn("failed_rule", verdict).withColumn("kept", F.col("failed_rule").isNull()).drop("words")
+
+
+def keep_good(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows that pass, with the columns of the input.
+
+    A filter on ``kept`` would be pushed below the counts, each count written out in it many times; exploding an array of
+    one row or none is evaluated after them.
+    """
+    judged = judge(docs.withColumn("__all", F.struct(*docs.columns)), text, key)
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("__all"))).alias("__all")).select("__all.*")

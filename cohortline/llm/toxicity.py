@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortline.llm.text import whole_text
 
-FIT_ROWS, FEATURES, MIN_DOCS = 4000, 4096, 5
+FIT_ROWS, FEATURES, MIN_DOCS = 2000, 4096, 5
 PREFIXES = (4, 5)
 SCALE = 50.0
 _WORD = re.compile(r"[^\W\d_]+")
@@ -121,7 +122,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, grade: str, key: str = "
     for row in sizes:
         chosen = chosen | ((F.col("grade") == row["grade"]) & (place < int(min(1.0, fit_rows / row["count"]) * 1_000_000)))
     joined = docs.join(known.filter(chosen), docs[key] == F.col("__key")).select("grade", "__key", whole_text(text).alias("text"))
-    return [(words_of(r["text"]), r["grade"]) for r in sorted(joined.collect(), key=lambda r: r["__key"])]
+    return [([sys.intern(w) for w in words_of(r["text"])], r["grade"]) for r in sorted(joined.collect(), key=lambda r: r["__key"])]
 
 
 def graded(rows: list[tuple[list[str], int]], levels: int = 3) -> list[tuple[list[str], int]]:

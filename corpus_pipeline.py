@@ -19,7 +19,7 @@ def _whole(docs: DataFrame) -> DataFrame:
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(_whole(docs)).filter("kept").select("__all.*")
+    return quality_rules.keep_good(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
