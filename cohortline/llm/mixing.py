@@ -50,7 +50,7 @@ def share_among_siblings(nodes: DataFrame, parent: list[str], name: str) -> Data
                 "b_left": F.col("budget") - F.coalesce(F.sum("capacity").over(before), zero),
             }
         )
-        .withColumn("short", F.col("capacity") * F.col("w_left") <= F.col("weight") * F.col("b_left"))
+        .withColumn("short", (F.col("weight") > 0) & (F.col("capacity") * F.col("w_left") <= F.col("weight") * F.col("b_left")))
         .withColumn("open", ~F.col("short"))
         .withColumns(
             {

@@ -45,7 +45,7 @@ class Model:
         total = 0.0
         known = self.vocabulary
         for word in found:
-            for form in (word, word[:4] + "-", word[:5] + "-"):
+            for form in forms(word):
                 i = known.get(form)
                 if i is not None:
                     total += self.weights[i]
