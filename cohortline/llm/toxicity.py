@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortline.llm.text import whole_text
 
-FIT_ROWS, FEATURES, MIN_DOCS = 2000, 4096, 5
+FIT_ROWS, FEATURES, MIN_DOCS = 2000, 1024, 5
 PREFIXES = (4, 5)
 SCALE = 50.0
 _WORD = re.compile(r"[^\W\d_]+")
@@ -52,11 +52,11 @@ class Model:
         return SCALE * total / max(len(found), 1)
 
 
-def fit(rows: list[tuple[list[str], int]], features: int = FEATURES, rounds: int = 400, ridge: float = 2e-5) -> Model:
+def fit(rows: list[tuple[list[str], int]], features: int = FEATURES, rounds: int = 300, ridge: float = 2e-4) -> Model:
     """The model for (distinct forms repeated as they occur, grade) rows; grades are 0, 1, ... without gaps.
 
     Features: the forms in at least five rows that best tell grade 0 from the others (log odds times root of support).
-    Full-batch gradient steps (Adam) on the mean negative log likelihood, each grade weighted to count alike.
+    Full-batch gradient steps (Adam) on the mean negative log likelihood.
     """
     grades = np.array([g for _, g in rows])
     cuts = int(grades.max()) if len(grades) else 1
@@ -82,8 +82,7 @@ def fit(rows: list[tuple[list[str], int]], features: int = FEATURES, rounds: int
         which += counts
         value += [SCALE * c / max(len(found), 1) for c in counts.values()]
     at, which, value = np.array(at, int), np.array(which, int), np.array(value, float)
-    share = np.bincount(grades, minlength=cuts + 1) if len(grades) else np.ones(cuts + 1)
-    importance = (1 / np.maximum(share, 1))[grades] / (cuts + 1) if len(grades) else np.zeros(0)
+    importance = 1 / max(len(rows), 1)
 
     params = np.concatenate([np.zeros(len(chosen)), [0.0], np.zeros(cuts - 1)])  # weights, first cut, log gaps
     mean, square = np.zeros_like(params), np.zeros_like(params)
