@@ -167,9 +167,8 @@ codes AS (
   UNION SELECT disease_state, icd9_code FROM spec JOIN crosswalk ON code = ccs WHERE type = 'CCS'),
 diagnoses AS (
   SELECT l_suppkey, p_brand AS diag_code, l_returnflag FROM lineitem JOIN part ON l_partkey = p_partkey
-  WHERE l_quantity > 49
   UNION ALL
-  SELECT l_suppkey, p_name, l_returnflag FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49),
+  SELECT l_suppkey, p_name, l_returnflag FROM lineitem JOIN part ON l_partkey = p_partkey),
 states AS (
   SELECT DISTINCT l_suppkey, disease_state FROM diagnoses JOIN codes ON diag_code = icd9_code
   WHERE l_returnflag = 'R')
@@ -179,7 +178,7 @@ states AS (
 def _code_states(t: Tables):
     spec = codes.lookup_frame(t.spark, CODE_SPEC, ("disease_state", "type", "code"))
     crosswalk = t.part.select(F.col("p_type").alias("ccs"), F.col("p_name").alias("icd9_code")).distinct()
-    lines = t.lineitem.filter("l_quantity > 49").select("l_suppkey", "l_partkey", "l_returnflag")
+    lines = t.lineitem.select("l_suppkey", "l_partkey", "l_returnflag")
     coded = lines.join(t.part.select("p_partkey", "p_brand", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     diagnoses = coded.unpivot(["l_suppkey", "l_returnflag"], ["p_brand", "p_name"], "system", "diag_code")
     return codes.code_states(
@@ -208,7 +207,7 @@ def code_set_matrix(t: Tables):
 
 
 @query("priority_class", """
-WITH membership AS (SELECT DISTINCT p_type AS med_class, p_name AS med_name FROM part WHERE p_brand < 'Brand#13'),
+WITH membership AS (SELECT DISTINCT p_type AS med_class, p_brand || ' ' || p_name AS med_name FROM part),
 first_tier AS (SELECT * FROM membership WHERE med_class IN ('PROMO', 'SMALL')),
 second_tier AS (
   SELECT * FROM membership WHERE med_class = 'LARGE' AND med_name NOT IN (SELECT med_name FROM first_tier))
@@ -216,14 +215,12 @@ SELECT DISTINCT med_class, lower(med_name) AS med_name FROM first_tier
 UNION SELECT DISTINCT med_class, lower(med_name) FROM second_tier
 """)
 def priority_class(t: Tables):
-    membership = t.part.filter("p_brand < 'Brand#13'").select(
-        F.col("p_type").alias("med_class"), F.col("p_name").alias("med_name")
-    )
+    membership = t.part.select(F.col("p_type").alias("med_class"), F.concat_ws(" ", "p_brand", "p_name").alias("med_name"))
     return codes.class_members(membership, {"PROMO": 0, "SMALL": 0, "LARGE": 1})
 
 
 @query("class_matrix", """
-WITH membership AS (SELECT DISTINCT p_type AS med_class, p_name AS med_name FROM part WHERE p_brand < 'Brand#13'),
+WITH membership AS (SELECT DISTINCT p_type AS med_class, p_brand || ' ' || p_name AS med_name FROM part),
 first_tier AS (SELECT * FROM membership WHERE med_class IN ('PROMO', 'SMALL')),
 members AS (
   SELECT DISTINCT med_class, lower(med_name) AS med_name FROM first_tier
@@ -231,13 +228,13 @@ members AS (
   WHERE med_class = 'LARGE' AND med_name NOT IN (SELECT med_name FROM first_tier)),
 taken AS (
   SELECT DISTINCT l_orderkey, med_class FROM lineitem JOIN part ON l_partkey = p_partkey
-  JOIN members ON lower(p_name) = med_name)
+  JOIN members ON lower(p_brand || ' ' || p_name) = med_name)
 SELECT o_orderkey AS l_orderkey, coalesce(bool_or(med_class = 'PROMO'), false) AS promo,
        coalesce(bool_or(med_class = 'SMALL'), false) AS small, coalesce(bool_or(med_class = 'LARGE'), false) AS "large"
 FROM orders LEFT JOIN taken ON o_orderkey = l_orderkey GROUP BY o_orderkey
 """)
 def class_matrix(t: Tables):
-    parts = t.part.select("p_partkey", F.lower("p_name").alias("home_med"))
+    parts = t.part.select("p_partkey", F.lower(F.concat_ws(" ", "p_brand", "p_name")).alias("home_med"))
     rows = t.lineitem.select("l_orderkey", "l_partkey").join(parts, F.col("l_partkey") == F.col("p_partkey"))
     taken = codes.class_rows(rows, priority_class(t), "l_orderkey", "home_med")
     cohort = t.orders.select(F.col("o_orderkey").alias("l_orderkey"))
@@ -250,11 +247,11 @@ SELECT c_custkey,
   coalesce(bool_or(o_orderpriority = '2-HIGH'), false) AS high,
   coalesce(bool_or(o_orderpriority = '5-LOW'), false) AS low,
   coalesce(bool_or(o_orderpriority = '6-NEVER'), false) AS never
-FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 200000
+FROM customer LEFT JOIN orders ON c_custkey = o_custkey
 WHERE c_acctbal > 0 GROUP BY c_custkey
 """)
 def indicator_matrix(t: Tables):
-    rows = t.orders.filter("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority")
+    rows = t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority")
     levels = {"1-URGENT": "urgent", "2-HIGH": "high", "5-LOW": "low", "6-NEVER": "never"}
     return features.indicator_matrix(
         rows, t.customer.filter("c_acctbal > 0"), "c_custkey", "o_orderpriority", levels

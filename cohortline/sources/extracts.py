@@ -87,7 +87,7 @@ HOME_MEDS = ExtractSpec(
 LABS = ExtractSpec(
     "labs",
     (_ID, (_EVENT, "lab", "text"), (_RESULT, "result", "text"), (_END, "lab_datetime", "datetime")),
-    prefix="labs[^_exclude]",
+    prefix="labs[^_]",
 )
 MEDS_CONT = ExtractSpec(
     "meds_cont",
@@ -145,9 +145,16 @@ MEASURES = tidy_spec(
 )
 
 
-def read_text_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
-    """CSV files (plain or gzipped) with a header, every column as text."""
-    reader = spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE")
+def read_text_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None, names: str | None = None) -> DataFrame:
+    """CSV files (plain or gzipped) with a header, every column as text.
+
+    Values may hold line breaks and doubled quotes, so a file is read by one task: land large ones once as Parquet.
+    A row that does not fit the header ends the read with an error.
+    """
+    reader = spark.read.option("header", True).option("inferSchema", False).option("mode", "FAILFAST")
+    reader = reader.option("multiLine", True).option("quote", '"').option("escape", '"')
+    if names is not None:
+        reader = reader.option("pathGlobFilter", names)
     if schema is not None:
         reader = reader.schema(schema).option("enforceSchema", False)
     return reader.csv(path if isinstance(path, str) else list(path))
@@ -158,8 +165,8 @@ def read_extract(spark: SparkSession, directory: str, spec: ExtractSpec, pattern
 
     ``pattern`` overrides the spec's file name prefix when one layout serves several files.
     """
-    path = f"{directory.rstrip('/')}/{pattern or spec.prefix or spec.name}*.csv*"
-    return spec.project(read_text_csv(spark, path, spec.text_schema()))
+    path = f"{directory.rstrip('/')}/{pattern or spec.prefix or spec.name}*"
+    return spec.project(read_text_csv(spark, path, spec.text_schema(), "*.csv*"))
 
 
 def read_lookup(spark: SparkSession, path: str) -> DataFrame:
@@ -189,7 +196,7 @@ def write_table(df: DataFrame, directory: str, name: str, fmt: str = "csv") -> s
     path = f"{directory.rstrip('/')}/{name}"
     writer = df.write.mode("overwrite")
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     elif fmt == "parquet":
         writer.parquet(path)
     else:

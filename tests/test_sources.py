@@ -69,6 +69,16 @@ def test_materialized_table_starts_a_new_plan(frame):
     assert "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
 
 
+def test_quotes_line_breaks_and_lab_files(spark, tmp_path):
+    head = "PowerInsight Encounter Id,Clinical Event,Clinical Event Result,Clinical Event End Date/Time\n"
+    for i, name in enumerate(["labs.csv", "labs1.csv", "labs-a.csv", "labs_exclude.csv", "labs.txt"]):
+        (tmp_path / name).write_text(head + f'{i},"two\nlines, ""quoted""",1,01/02/2015 03:04:05\n')
+    df = ex.read_extract(spark, str(tmp_path), ex.LABS)
+    assert sorted((r.pie_id, r.lab) for r in df.collect()) == [(str(i), 'two\nlines, "quoted"') for i in range(3)]
+    path = ex.write_table(df.select("pie_id", "lab"), str(tmp_path), "out")
+    assert ex.read_text_csv(spark, path).exceptAll(df.select("pie_id", "lab")).count() == 0
+
+
 def test_shared_folder_follows_the_setting():
     def session(master, **settings):
         conf = SimpleNamespace(get=lambda key, default=None: settings.get("folder", default))
