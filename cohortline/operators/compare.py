@@ -17,8 +17,9 @@ from cohortline.functions.pvalues import p_chi2, p_f, p_normal, p_t
 from cohortline.operators.ranks import exact_quantiles, tie_ranks
 from cohortline.session import materialize
 
-SHAPIRO_MAX_N = 5000
+NORMALITY_TESTS = ("shapiro-wilk", "jarque-bera")
 ALPHA = 0.05
+TIE_BLOCK = 4096
 
 
 def unpivot_numeric(df: DataFrame, group: str, variables: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -171,13 +172,18 @@ def normal_quantile(p: Column) -> Column:
 
 
 def shapiro_wilk(long: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Shapiro-Wilk W and its normal score per key, for 3 to 5000 known values.
+    """Shapiro-Wilk W and its normal score per key, for 3 known values or more.
 
-    Ties are expanded to their positions, which is bounded by the sample limit.
+    W is defined at any size; the approximation of its distribution, which gives z, was fitted to samples of
+    up to 5000 and is carried on beyond. Ties are expanded to blocks of positions first and those to positions after
+    they are dealt anew, so no array holds more than a block and a value that very many rows share is spread.
     """
     keys = list(keys)
-    ranked = tie_ranks(long, keys, "value").filter(F.col("total").between(3, SHAPIRO_MAX_N))
-    placed = ranked.withColumn("i", F.explode(F.sequence(F.col("below") + 1, F.col("below") + F.col("ties"))))
+    ranked = tie_ranks(long, keys, "value").filter(F.col("total") >= 3)
+    last = F.col("below") + F.col("ties")
+    blocks = ranked.withColumn("from", F.explode(F.sequence(F.col("below") + 1, last, F.lit(TIE_BLOCK).cast("long"))))
+    blocks = blocks.repartition(*keys, "from")
+    placed = blocks.withColumn("i", F.explode(F.sequence("from", F.least(F.col("from") + (TIE_BLOCK - 1), last))))
     n = F.col("n").cast("double")
 
     def score(i) -> Column:
@@ -240,28 +246,24 @@ def jarque_bera(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     return moments.withColumn("jb", F.col("n") / 6.0 * (s * s + k * k / 4.0))
 
 
-def normality(long: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Normality test per key: Shapiro-Wilk up to 5000 values, Jarque-Bera above.
+def normality(long: DataFrame, keys: Sequence[str], method: str = "shapiro-wilk") -> DataFrame:
+    """The named normality test (``NORMALITY_TESTS``) per key, the same at every sample size.
 
-    Returns ``keys, n, method, statistic, p``; fewer than 3 or constant values have no p.
-
-    The moments are computed first and kept. They are one row per key, so Spark knows
-    from their size that it can broadcast the keys of the small samples, and the rows of
-    large samples are dropped in the scan instead of being ranked.
+    Returns ``keys, n, method, statistic, p``, one row per key; fewer than 3 or constant values have no p. Shapiro-Wilk
+    ranks all values; Jarque-Bera needs one aggregation and suits samples too large to rank.
     """
     keys = list(keys)
-    jb = materialize(jarque_bera(long, keys), "moments")
-    small = jb.filter(F.col("n").between(3, SHAPIRO_MAX_N)).select(*keys)
-    w = shapiro_wilk(long.join(small, keys, "left_semi"), keys).drop("n")
-    both = jb.join(w, keys, "left")
-    big = F.col("n") > SHAPIRO_MAX_N
-    return both.select(
-        *keys,
-        "n",
-        F.when(big, F.lit("jarque-bera")).when(F.col("n") >= 3, F.lit("shapiro-wilk")).alias("method"),
-        F.when(big, F.col("jb")).otherwise(F.col("w")).alias("statistic"),
-        F.when(big, F.exp(-F.col("jb") / 2)).otherwise(F.coalesce("p_exact", p_normal("z"))).alias("p"),
-    )
+    if method not in NORMALITY_TESTS:
+        raise ValueError(f"method must be one of {NORMALITY_TESTS}")
+    if method == "jarque-bera":
+        known = F.col("n") >= 3
+        statistic = F.when(known, not_nan("jb"))
+        tested = jarque_bera(long, keys).withColumns({"statistic": statistic, "p": F.exp(-statistic / 2)})
+    else:
+        counts = long.groupBy(*keys).agg(F.count("value").alias("n"))
+        tested = counts.join(shapiro_wilk(long, keys).drop("n"), keys, "left")
+        tested = tested.withColumns({"statistic": F.col("w"), "p": F.coalesce("p_exact", p_normal("z"))})
+    return tested.select(*keys, "n", F.lit(method).alias("method"), "statistic", "p")
 
 
 # ---------------------------------------------------------------- chi-squared
@@ -276,11 +278,8 @@ def chi_squared(long: DataFrame, by: Sequence[str] = (), yates: bool = True) ->
     """
     keys = [*by, "variable"]
     cells = long.groupBy(*keys, "level", "group").agg(F.count(F.lit(1)).alias("o"))
-    # A level's cells are one row per group, so they travel as one small array.
-    levels = cells.groupBy(*keys, "level").agg(
-        F.sum("o").alias("level_n"), F.collect_list(F.struct("group", "o")).alias("cells")
-    )
-    parts = levels.select(*keys, "level_n", F.inline("cells")).groupBy(*keys, "group").agg(
+    levels = cells.groupBy(*keys, "level").agg(F.sum("o").alias("level_n"))
+    parts = cells.join(levels, [*keys, "level"]).groupBy(*keys, "group").agg(
         F.sum("o").alias("group_n"),
         F.sum(F.col("o") * F.col("o").cast("double") / F.col("level_n")).alias("part"),
     )
@@ -313,22 +312,24 @@ def chi_squared(long: DataFrame, by: Sequence[str] = (), yates: bool = True) ->
 # ---------------------------------------------------------------- chosen tests and tables
 
 
-def compare_numeric(long: DataFrame, groups: tuple[str, str], by: Sequence[str] = ()) -> DataFrame:
+def compare_numeric(
+    long: DataFrame, groups: tuple[str, str], by: Sequence[str] = (), normality_test: str = "shapiro-wilk"
+) -> DataFrame:
     """The test each numeric variable calls for, with statistic, df and p.
 
-    Not normal in either group: Mann-Whitney. Normal with equal variances (F test
-    p >= 0.05): pooled t. Normal with unequal variances: Welch t.
+    Both groups pass the normality test (p >= 0.05) and have equal variances (F test p >= 0.05): pooled t.
+    Both pass and variances differ: Welch t. Otherwise Mann-Whitney, also where a group has too few or only equal values
+    to be tested for normality. Where that has no p either, as a group is empty or all values are equal: "not testable".
 
-    Ranking is the expensive step, so the choice is made first and only the variables
-    that need it are ranked.
+    The choice is made first, and only the variables that need rank sums are ranked for them.
     """
     keys = [*by, "variable"]
     long = long.filter(F.col("group").isin(*groups))
     stats = f_statistics(t_statistics(two_group_moments(long, groups, by)))
     normal = (
-        normality(long, [*keys, "group"])
+        normality(long, [*keys, "group"], normality_test)
         .groupBy(*keys)
-        .agg(F.min("p").alias("p_normal"), F.bool_or(F.col("method") == "jarque-bera").alias("large"))
+        .agg(((F.count("p") == 2) & (F.min("p") >= ALPHA)).alias("normal"))
     )
     chosen = stats.join(normal, keys, "left").withColumns(
         {
@@ -337,21 +338,23 @@ def compare_numeric(long: DataFrame, groups: tuple[str, str], by: Sequence[str]
             "p_welch": p_t("t_welch", "df_welch"),
         }
     )
-    chosen = materialize(chosen.withColumn("skewed", F.coalesce(F.col("p_normal") < ALPHA, F.lit(False))), "tests")
-    ranked = long.join(chosen.filter("skewed").select(*keys), keys, "left_semi")
-    ranks = mann_whitney(ranked, groups, by).select(*keys, "u_a", F.least(2 * p_normal(F.abs("z")), F.lit(1.0)).alias("p_u"))
+    chosen = materialize(chosen, "tests")
+    ranked = long.join(chosen.filter("NOT normal").select(*keys), keys, "left_semi")
+    two_sided = F.least(2 * p_normal(F.abs("z")), F.lit(1.0))
+    ranks = mann_whitney(ranked, groups, by).select(*keys, "u_a", F.when(F.col("z").isNotNull(), two_sided).alias("p_u"))
     equal = F.col("p_f") >= ALPHA
+    rank_test = F.when(F.col("p_u").isNull(), F.lit("not testable")).otherwise(F.lit("mann-whitney"))
 
     def choose(u, pooled, welch) -> Column:
-        return F.when(F.col("skewed"), u).when(equal, pooled).otherwise(welch)
+        return F.when(~F.col("normal"), u).when(equal, pooled).otherwise(welch)
 
     return chosen.join(ranks, keys, "left").select(
         *keys,
-        choose(F.lit("mann-whitney"), F.lit("t pooled"), F.lit("t welch")).alias("test"),
-        choose(F.col("u_a"), F.col("t_pooled"), F.col("t_welch")).alias("statistic"),
+        choose(rank_test, F.lit("t pooled"), F.lit("t welch")).alias("test"),
+        choose(F.when(F.col("p_u").isNotNull(), F.col("u_a")), F.col("t_pooled"), F.col("t_welch")).alias("statistic"),
         choose(F.lit(None).cast("double"), F.col("df_pooled"), F.col("df_welch")).alias("df"),
         choose(F.col("p_u"), F.col("p_pooled"), F.col("p_welch")).alias("p"),
-        F.when(F.col("large"), F.lit("jarque-bera")).otherwise(F.lit("shapiro-wilk")).alias("normality_test"),
+        F.lit(normality_test).alias("normality_test"),
     )
 
 
@@ -370,12 +373,13 @@ def group_compare(
     numeric: Sequence[str] = (),
     categorical: Sequence[str] = (),
     by: Sequence[str] = (),
+    normality_test: str = "shapiro-wilk",
 ) -> DataFrame:
     """One row per variable (and slice): which test was used, its statistic, df and p."""
     chosen = df.filter(F.col(group).isin(*groups))
     parts = []
     if numeric:
-        parts.append(compare_numeric(unpivot_numeric(chosen, group, numeric, by), groups, by))
+        parts.append(compare_numeric(unpivot_numeric(chosen, group, numeric, by), groups, by, normality_test))
     if categorical:
         parts.append(compare_categorical(unpivot_categorical(chosen, group, categorical, by), by))
     if not parts:
@@ -431,10 +435,11 @@ def table_one_with_p(
     numeric: Sequence[str] = (),
     categorical: Sequence[str] = (),
     by: Sequence[str] = (),
+    normality_test: str = "shapiro-wilk",
 ) -> DataFrame:
     """:func:`table_one` with the chosen test, statistic and p of each variable."""
     chosen = df.filter(F.col(group).isin(*groups))
-    tests = group_compare(chosen, group, groups, numeric, categorical, by)
+    tests = group_compare(chosen, group, groups, numeric, categorical, by, normality_test)
     return table_one(chosen, group, numeric, categorical, by).join(
         tests.select(*by, "variable", "test", "statistic", "p"), [*by, "variable"], "left"
     )

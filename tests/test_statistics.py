@@ -104,11 +104,33 @@ def test_shapiro_wilk_with_ties_and_sizes(frame):
             assert r["statistic"] == pytest.approx(brute_shapiro(x), abs=1e-9)
 
 
-def test_large_samples_use_moments(spark):
+def test_the_caller_names_the_normality_test(spark):
     df = spark.range(6000).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("x"))
-    got = compare.normality(compare.unpivot_numeric(df, "g", ["x"]), ["variable", "group"]).collect()[0]
+    long = compare.unpivot_numeric(df, "g", ["x"])
+    got = compare.normality(long, ["variable", "group"], "jarque-bera").collect()[0]
     # A uniform grid has no skew and excess kurtosis -1.2.
     assert got["method"] == "jarque-bera" and got["statistic"] == pytest.approx(6000 / 6 * 1.2**2 / 4, rel=1e-3)
+    got = compare.normality(long, ["variable", "group"]).collect()[0]
+    assert got["method"] == "shapiro-wilk" and got["n"] == 6000
+    assert got["statistic"] == pytest.approx(brute_shapiro(range(6000)), abs=1e-9)
+    with pytest.raises(ValueError):
+        compare.normality(long, ["variable", "group"], "by size")
+
+
+def test_ties_over_several_blocks(frame, spark):
+    x = [1.0] * 9000 + [2.0] * 5000 + [3.0, 4.0, 7.0]
+    df = spark.range(len(x)).select(F.lit("g").alias("g"), F.expr("CASE WHEN id < 9000 THEN 1D WHEN id < 14000 THEN 2D WHEN id = 14000 THEN 3D WHEN id = 14001 THEN 4D ELSE 7D END").alias("x"))
+    got = compare.normality(compare.unpivot_numeric(df, "g", ["x"]), ["variable", "group"]).collect()[0]
+    assert got["n"] == len(x) and got["statistic"] == pytest.approx(brute_shapiro(x), abs=1e-9)
+
+
+def test_groups_without_a_test(frame):
+    rows = [("a", 1.0, 5.0, None), ("b", 2.0, 5.0, 1.0), ("b", 3.0, 5.0, 2.0), ("b", 4.0, 5.0, 4.0), ("b", 5.5, 5.0, 8.0)]
+    df = frame(rows, "g string, single double, same double, missing double")
+    got = {r["variable"]: r for r in compare.group_compare(df, "g", ("a", "b"), ["single", "same", "missing"]).collect()}
+    assert got["single"]["test"] == "mann-whitney" and 0 < got["single"]["p"] <= 1
+    for name in ("same", "missing"):
+        assert got[name]["test"] == "not testable" and got[name]["statistic"] is None and got[name]["p"] is None
 
 
 def test_test_selection(frame):
