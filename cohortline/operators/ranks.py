@@ -6,24 +6,20 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortline.functions.clean import col
+from cohortline.session import materialize
 
-BUCKETS_PER_FOLD = 512  # buckets per e-fold of magnitude: about 0.2 % wide
-_ZERO_SHIFT = 400_000  # larger than BUCKETS_PER_FOLD * |ln(smallest double)|
-HASH_BUCKETS = 4096
 
+def range_buckets(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows with ``__bucket``, which never decreases in the order of ``columns``.
 
-def magnitude_bucket(value: Column | str) -> Column:
-    """Bucket number that never decreases as ``value`` grows.
-
-    Buckets are logarithmic, so the number of them depends on the range of the values
-    (some thousands per key for usual measurements), not on how many there are.
+    Buckets are the ranges of a range partitioning, so their bounds come from a sample of the rows and hold about
+    equally many, whatever the values; ``spark.sql.shuffle.partitions`` sets their number. The table is written to the
+    shared folder, as a bucket must not change when it is read twice or an executor is lost.
     """
-    v = col(value).cast("double")
-    size = F.floor(F.ln(F.abs(v)) * F.lit(float(BUCKETS_PER_FOLD))) + F.lit(_ZERO_SHIFT)
-    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0))
+    ranged = df.repartitionByRange(*columns).withColumn("__bucket", F.spark_partition_id())
+    return materialize(ranged, "ranges")
 
 
 def tie_ranks(
@@ -35,16 +31,16 @@ def tie_ranks(
     ``counts``. The ordinary rank of a value is ``below + 1``; the mid-rank is
     ``below + (ties + 1) / 2``.
 
-    Ties are counted first (combined on the map side). Values are then ordered inside
-    magnitude buckets, and a bucket's start is the sum of the buckets before it.
+    Ties are counted first (combined on the map side). Distinct values are then ordered inside
+    range buckets, and a bucket's start is the sum of the buckets before it. NaN counts as the largest value.
     """
     keys, counts = list(keys), dict(counts or {})
     tied = (
         df.filter(col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("ties"), *[F.count_if(c).alias(n) for n, c in counts.items()])
-        .withColumn("__bucket", magnitude_bucket(value))
     )
+    tied = range_buckets(tied, [*keys, value])
     in_bucket = Window.partitionBy(*keys, "__bucket").orderBy(value)
     local = tied.withColumn(
         "__below", F.sum("ties").over(in_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col("ties")
@@ -95,15 +91,8 @@ def exact_quantiles(
 
 
 def row_numbers(keys_df: DataFrame, key: str) -> DataFrame:
-    """Distinct keys with a 1-based ordinal.
-
-    Numbers are in value order for numeric keys. Other types are ordered by hash bucket
-    and then by value: still fixed by the data, and evenly spread.
-    """
-    ids = keys_df.select(key).filter(col(key).isNotNull()).distinct()
-    numeric = isinstance(ids.schema[key].dataType, T.NumericType)
-    bucket = magnitude_bucket(key) if numeric else F.pmod(F.xxhash64(key), F.lit(HASH_BUCKETS))
-    bucketed = ids.withColumn("__bucket", bucket)
+    """Distinct keys with a 1-based ordinal, in value order."""
+    bucketed = range_buckets(keys_df.select(key).filter(col(key).isNotNull()).distinct(), [key])
     w = Window.partitionBy("__bucket").orderBy(key)
     starts = _bucket_starts(bucketed, [], F.count(F.lit(1)))
     return (
