@@ -29,6 +29,21 @@ def test_tail_probabilities():
     assert 1 - pvalues.beta_cdf(1 * 4.0 / (4.0 + 9), 0.5, 4.5) == pytest.approx(pvalues.t_two_sided(2.0, 9))
 
 
+def test_tails_at_many_degrees_of_freedom():
+    limit = 2 * pvalues.normal_sf(2.0)
+    for df in (1e9, 1e11, 1e13):
+        # The first correction of the normal tail is of the order 1 / df.
+        assert pvalues.t_two_sided(2.0, df) == pytest.approx(limit, rel=max(1e-8, 20 / df))
+        assert pvalues.f_two_sided(4.0, 1, df) == pytest.approx(2 * limit, rel=max(1e-8, 20 / df))
+        assert pvalues.f_two_sided(2.5, 4, df) == pytest.approx(2 * pvalues.chi2_sf(10.0, 4), rel=max(1e-8, 50 / df))
+    # Both ways meet where the method changes.
+    below, above = (pvalues.t_two_sided(3.0, df) for df in (pvalues._LARGE_DF, pvalues._LARGE_DF * (1 + 1e-9)))
+    assert below == pytest.approx(above, rel=1e-10)
+    # With equal degrees of freedom ln F is nearly normal about 0, so f and 1 / f have the same p.
+    assert pvalues.f_two_sided(1.001, 1e7, 1e7) == pytest.approx(pvalues.f_two_sided(1 / 1.001, 1e7, 1e7), rel=1e-8)
+    assert pvalues.f_two_sided(1.0, 1e6, 1e6) == pytest.approx(1.0)
+
+
 def test_two_groups(frame):
     long = long_frame(frame, [1, 2, 3, 4], [2, 4, 6, 8])
     m = compare.f_statistics(compare.t_statistics(compare.two_group_moments(long, ("a", "b")))).collect()[0]
