@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortline.functions.pvalues import p_f, p_t
 from cohortline.operators import compare
 from cohortline.queries.registry import Tables, query, rounded
 
@@ -81,6 +82,51 @@ def ftest_stats(t: Tables):
     return rounded(rounded(out, 5, "var_a", "var_b"), 6, "f").select("variable", "var_a", "var_b", "f", "df1", "df2")
 
 
+def _simpson(density: str, upper: str, steps: int) -> str:
+    """SQL of the integral of ``density``, an expression in u, from 0 to ``upper``."""
+    weight = f"CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    point = density.replace("{u}", f"({upper} * i / {steps})")
+    return f"({upper} / {3 * steps} * list_sum(list_transform(range(0, {steps + 1}), lambda i: {weight} * ({point}))))"
+
+
+def _t_tail_sql(t: str, df: str) -> str:
+    """Both tails of t, by integrating its density up to |t|."""
+    constant = f"(lgamma(({df} + 1) / 2) - lgamma({df} / 2) - 0.5 * ln({df} * pi()))"
+    density = f"exp({constant} - ({df} + 1) / 2 * ln(1 + {{u}} * {{u}} / {df}))"
+    return f"(1 - 2 * {_simpson(density, f'abs({t})', 2000)})"
+
+
+@query("ttest_p", f"""
+WITH {MOMENTS_SQL},
+t AS (
+  SELECT variable, (n_a + n_b - 2)::DOUBLE AS df,
+    (mean_a - mean_b) / sqrt(((n_a - 1) * var_a + (n_b - 1) * var_b) / (n_a + n_b - 2) * (1.0 / n_a + 1.0 / n_b)) AS pooled,
+    (mean_a - mean_b) / sqrt(var_a / n_a + var_b / n_b) AS welch,
+    power(var_a / n_a + var_b / n_b, 2) / (power(var_a / n_a, 2) / (n_a - 1) + power(var_b / n_b, 2) / (n_b - 1)) AS df_welch
+  FROM m)
+SELECT variable, round({_t_tail_sql("pooled", "df")}, 7) AS p_pooled, round({_t_tail_sql("welch", "df_welch")}, 7) AS p_welch FROM t
+""")
+def ttest_p(t: Tables):
+    out = compare.t_statistics(compare.two_group_moments(_values(t), PAIR))
+    out = out.select("variable", p_t("t_pooled", "df_pooled").alias("p_pooled"), p_t("t_welch", "df_welch").alias("p_welch"))
+    return rounded(out, 7, "p_pooled", "p_welch")
+
+
+BETA_DENSITY = "CASE WHEN {u} = 0 THEN 0 ELSE exp(lgamma(a + b) - lgamma(a) - lgamma(b) + (a - 1) * ln({u}) + (b - 1) * ln(1 - {u})) END"
+
+
+@query("ftest_p", f"""
+WITH {MOMENTS_SQL},
+f AS (SELECT variable, (n_a - 1) / 2.0 AS a, (n_b - 1) / 2.0 AS b, var_a / var_b AS f FROM m),
+x AS (SELECT *, a * f / (a * f + b) AS x FROM f),
+l AS (SELECT variable, {_simpson(BETA_DENSITY, "x", 20000)} AS lower FROM x)
+SELECT variable, round(2 * least(lower, 1 - lower), 7) AS p_f FROM l
+""")
+def ftest_p(t: Tables):
+    out = compare.f_statistics(compare.two_group_moments(_values(t), PAIR))
+    return rounded(out.select("variable", p_f("f", "df1", "df2").alias("p_f")), 7, "p_f")
+
+
 @query("mannwhitney_u", """
 WITH r AS (
   SELECT event_type, value, rank() OVER (ORDER BY value) AS lo, count(*) OVER (PARTITION BY value) AS ties
