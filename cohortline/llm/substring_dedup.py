@@ -1,4 +1,4 @@
-"""Passages that repeat across documents: paragraph MinHash, banding, exact checks, removal by components."""
+"""Passages that repeat across documents: near-equal lines by MinHash and components, then equal runs of words anywhere."""
 
 from __future__ import annotations
 
@@ -63,45 +63,77 @@ def similar(similarity: float):
     return lambda x, y: sh.set_jaccard(x[0], y[0]) >= similarity
 
 
+def word_runs(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every run of ``width`` words: text number, place of its first word, digest, and place and hash of its anchor.
+
+    The anchor is the half run with the least hash in the run, the leftmost of equal ones. It depends on the run's
+    words alone, so equal runs have equal anchors wherever they lie, and neighbouring runs mostly share one.
+    """
+    number, word = sh.words(texts)
+    half, n = (width + 1) // 2, len(word) - width + 1
+    if n <= 0:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none
+    part = np.zeros(len(word) - half + 1, dtype=np.uint64)
+    for j in range(half):
+        part = (part + word[j : j + len(part)]) * _DIGEST[0]
+    part = sh.mix(part)
+    digest = sh.mix(part[:n] * _DIGEST[0] + part[width - half : width - half + n] * _DIGEST[1])
+    least, at = part[:n].copy(), np.arange(n)
+    for j in range(1, width - half + 1):
+        less = np.flatnonzero(part[j : j + n] < least)
+        least[less], at[less] = part[less + j], less + j
+    inside = np.flatnonzero(number[:n] == number[width - 1 :])
+    count = np.bincount(number, minlength=len(texts))
+    before = (np.cumsum(count) - count)[number[inside]]
+    return number[inside], inside - before, digest[inside].view(np.int64), at[inside] - before, least[inside].view(np.int64)
+
+
+def anchors(group: list[bytes], width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The places and hashes of the distinct anchors of each text's runs."""
+    number, _, _, place, anchor = word_runs(group, width)
+    new = np.flatnonzero((np.diff(number, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0))
+    cuts = np.searchsorted(number[new], np.arange(1, len(group)))
+    return np.split(place[new].astype(np.int32), cuts), np.split(anchor[new], cuts)
+
+
+def word_edges(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The code points at which each word starts and ends."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    word = np.concatenate([[False], ~sh._space(data), [False]])
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    letters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return letters[edges[::2]], letters[edges[1::2]]
+
+
 def paragraph_table(docs: DataFrame, bands: int, rows: int, min_words: int, key: str, text: str) -> DataFrame:
-    """One row per document: ``key``, ``mark`` (hash of the text), ``n_paragraphs`` and its long paragraphs with bands."""
+    """One row per document: ``key``, ``mark`` (hash of the text), ``n_paragraphs``, its long paragraphs with bands and its anchors."""
     key_type = docs.schema[key].dataType.simpleString()
 
     def split(batches):
         for batch in batches:
-            found = [(i, place, start, body) for i, t in enumerate(batch["text"].tolist()) for place, (start, body) in enumerate(_paragraphs(t))]
-            n_words, digests, keys = describe([f[3] for f in found], bands, rows, min_words)
-            parts = [[] for _ in range(len(batch))]
-            for (i, place, start, body), n, digest, k in zip(found, n_words.tolist(), digests.tolist(), keys):
-                if n >= min_words:
-                    parts[i].append({"place": place, "start": start, "end": start + len(body), "digest": digest, "bands": k})
-            count = np.bincount([f[0] for f in found], minlength=len(batch)) if found else np.zeros(len(batch), int)
-            yield batch[["key", "mark"]].assign(n_paragraphs=count, parts=parts)
+            texts = batch["text"].tolist()
+            for at, group in sh.batches(texts):
+                found = [(i, place, start, body) for i, t in enumerate(texts[at : at + len(group)]) for place, (start, body) in enumerate(_paragraphs(t))]
+                n_words, digests, keys = describe([f[3] for f in found], bands, rows, min_words)
+                parts = [[] for _ in group]
+                for (i, place, start, body), n, digest, k in zip(found, n_words.tolist(), digests.tolist(), keys):
+                    if n >= min_words:
+                        parts[i].append({"place": place, "start": start, "end": start + len(body), "digest": digest, "bands": k})
+                count = np.bincount([f[0] for f in found], minlength=len(group)) if found else np.zeros(len(group), int)
+                places, hashes = anchors(group, min_words)
+                yield batch[["key", "mark"]].iloc[at : at + len(group)].assign(n_paragraphs=count, parts=parts, places=places, anchors=hashes)
 
     body = whole_text(text)
-    schema = f"key {key_type}, mark bigint, n_paragraphs bigint, parts array<struct<place:int,start:int,end:int,digest:bigint,bands:array<bigint>>>"
+    schema = f"key {key_type}, mark bigint, n_paragraphs bigint, parts array<struct<place:int,start:int,end:int,digest:bigint,bands:array<bigint>>>, places array<int>, anchors array<bigint>"
     return docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("mark"), body.alias("text")).mapInPandas(split, schema)
 
 
-def repeated_spans(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, rows: int = ROWS, min_words: int = MIN_WORDS
-) -> DataFrame:
-    """Every row's ``key``, ``mark``, ``n_paragraphs``, ``n_removed`` and ``spans`` (start, end) to remove.
-
-    A paragraph is a line with a word. Paragraphs of at least ``min_words`` words (20) are items: equal word sequences
-    (64-bit digest) are one, others are linked if the Jaccard similarity of their five-word shingles is at least 0.8.
-    Of each connected component the first paragraph (by key, nulls last, then
-    mark and place) stays and all others go, in other documents or the same. Spans count code points, end exclusive. Bands are
-    tuned to miss a pair at the limit with probability 1e-4. Null text is empty. Rows equal in key and text are
-    one document: they keep and lose the same. An empty table gives an empty result.
-    """
-    bands = sh.tune_bands(similarity, RECALL, rows)
-    stored = materialize(paragraph_table(docs, bands, rows, min_words, key, text), "paragraphs")
+def line_spans(stored: DataFrame, slim: DataFrame, similarity: float) -> DataFrame:
+    """``key``, ``mark`` and ``lines`` (start, end): the long paragraphs to remove, of documents that have any."""
     found = stored.select("key", "mark", F.explode("parts").alias("part")).select("key", "mark", "part.*")
     where = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), "mark", "place")
     first = materialize(found.groupBy("digest").agg(F.min(where).alias("first"), F.count("*").alias("copies")), "first")
-    body = whole_text(text)
-    slim = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("mark"), body.alias("text"))
 
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = first.join(ids, first["digest"] == ids["id"]).select("id", "first.key", "first.mark", "first.place")
@@ -127,14 +159,103 @@ def repeated_spans(
     doomed = groups.join(keepers, "component").select("digest", "keeper")
     stays = F.col("key").eqNullSafe(F.col("keeper.key")) & (F.col("mark") == F.col("keeper.mark")) & (F.col("place") == F.col("keeper.place"))
     gone = found.drop("bands").join(doomed, "digest").filter(~stays)
-    lists = gone.groupBy("key", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    joined = stored.drop("parts").alias("d").join(
-        lists.alias("l"), F.col("d.key").eqNullSafe(F.col("l.key")) & (F.col("d.mark") == F.col("l.mark")), "left"
-    )
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    return joined.select(
-        F.col("d.key").alias(key), "d.mark", "n_paragraphs", F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("spans", none).alias("spans")
+    return gone.groupBy("key", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("lines"))
+
+
+def run_spans(stored: DataFrame, slim: DataFrame, lines: DataFrame, width: int) -> DataFrame:
+    """``key``, ``mark`` and ``runs`` (start, end, unmerged): runs of ``width`` words outside ``lines`` that came before.
+
+    Equal runs have equal anchors, so only runs with an anchor that occurs twice are compared, by digest and with the
+    first of their kind alone. Where a run overlaps the first one of its kind, that one's words stay.
+    """
+    key_type = stored.schema["key"].dataType.simpleString()
+    points = stored.select("key", "mark", F.explode(F.arrays_zip("places", "anchors")).alias("a")).select("key", "mark", F.col("a.places").alias("at"), F.col("a.anchors").alias("anchor"))
+    repeated = materialize(stored.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().filter("count > 1").select("anchor"), "repeated")
+    places = points.join(repeated, "anchor").groupBy("key", "mark").agg(F.collect_set("at").alias("places"))
+    asked = places.alias("p").join(
+        lines.alias("l"), F.col("p.key").eqNullSafe(F.col("l.key")) & (F.col("p.mark") == F.col("l.mark")), "left"
     )
+    asked = materialize(asked.select("p.key", "p.mark", "places", "lines"), "asked")
+
+    def compare(batches):
+        for batch in batches:
+            asked_of = list(zip(batch["places"], batch["lines"]))
+            for first, group in sh.batches(batch["text"].tolist()):
+                out = []
+                number, place, digest, at, _ = word_runs(group, width)
+                bounds = np.searchsorted(number, np.arange(len(group) + 1))
+                for i, text in enumerate(group):
+                    (places, spans), mine = asked_of[first + i], slice(bounds[i], bounds[i + 1])
+                    starts, ends = word_edges(text)
+                    gone = np.zeros(len(starts) + 1, dtype=np.int64)
+                    for span in spans if spans is not None else ():
+                        low, high = np.searchsorted(starts, [span["start"], span["end"]])
+                        gone[low + 1 : high + 1] = 1
+                    gone = np.cumsum(gone)
+                    p, wanted = place[mine], np.zeros(len(starts), dtype=bool)
+                    wanted[np.asarray(places, dtype=np.int64)] = True
+                    use = wanted[at[mine]] & (gone[p + width] == gone[p])
+                    p, after = p[use], np.append(starts, ends[-1:])
+                    out.append((np.full(len(p), first + i), p, starts[p], ends[p + width - 1], after[p + width], digest[mine][use]))
+                of, *columns = [np.concatenate(c) for c in zip(*out)]
+                found = dict(zip(["place", "start", "end", "next", "digest"], columns))
+                yield batch[["key", "mark"]].iloc[of].reset_index(drop=True).assign(**found)
+
+    same = F.col("s.key").eqNullSafe(F.col("q.key")) & (F.col("s.mark") == F.col("q.mark"))
+    wanted = slim.alias("s").join(asked.alias("q"), same).select("s.key", "s.mark", "text", "places", "lines")
+    schema = f"key {key_type}, mark bigint, place int, start int, end int, next int, digest bigint"
+    runs = materialize(wanted.mapInPandas(compare, schema), "runs")
+    where = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), "mark", "place", "next")
+    first = runs.groupBy("digest").agg(F.min(where).alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    own = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("mark") == F.col("first.mark"))
+    later = runs.join(first, "digest").filter(~(own & (F.col("place") == F.col("first.place"))))
+    start = F.when(own, F.greatest("start", "first.next")).otherwise(F.col("start"))
+    return later.groupBy("key", "mark").agg(F.collect_set(F.struct(start.alias("start"), "end")).alias("runs"))
+
+
+def _merged(lines: pd.Series, runs: pd.Series) -> pd.Series:
+    """The spans of both lists, ascending, overlapping ones as one."""
+
+    def one(a, b):
+        out = []
+        for start, end in sorted((s["start"], s["end"]) for spans in (a, b) if spans is not None for s in spans):
+            if out and start < out[-1]["end"]:
+                out[-1]["end"] = max(out[-1]["end"], end)
+            else:
+                out.append({"start": start, "end": end})
+        return out
+
+    return pd.Series([one(a, b) for a, b in zip(lines, runs)])
+
+
+def repeated_spans(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, rows: int = ROWS, min_words: int = MIN_WORDS
+) -> DataFrame:
+    """Every row's ``key``, ``mark``, ``n_paragraphs``, ``n_removed`` and ``spans`` (start, end) to remove.
+
+    A paragraph is a line with a word. Paragraphs of at least ``min_words`` words (20) are items: equal word sequences
+    (64-bit digest) are one, others are linked if the Jaccard similarity of their five-word shingles is at least 0.8.
+    Of each connected component the first paragraph (by key, nulls last, then
+    mark and place) stays and all others go, in other documents or the same. Bands are
+    tuned to miss a pair at the limit with probability 1e-4. In what then is left, of all equal runs of ``min_words``
+    words the first stays and the words of all others go, wherever they lie in lines and however the lines are broken:
+    a common passage goes over its full length. Spans count code points, end exclusive,
+    and start and end at words or lines. Null text is empty. Rows equal in key and text are one document: they keep and lose the same. An empty table gives an empty result.
+    """
+    bands = sh.tune_bands(similarity, RECALL, rows)
+    stored = materialize(paragraph_table(docs, bands, rows, min_words, key, text), "paragraphs")
+    body = whole_text(text)
+    slim = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("mark"), body.alias("text"))
+    lines = materialize(line_spans(stored, slim, similarity), "lines")
+    runs = run_spans(stored, slim, lines, min_words)
+
+    def same(other: str) -> Column:
+        return F.col("d.key").eqNullSafe(F.col(f"{other}.key")) & (F.col("d.mark") == F.col(f"{other}.mark"))
+
+    joined = stored.select("key", "mark", "n_paragraphs").alias("d").join(lines.alias("l"), same("l"), "left").join(runs.alias("r"), same("r"), "left")
+    merged = F.pandas_udf(_merged, "array<struct<start:int,end:int>>")
+    marked = joined.select(F.col("d.key").alias(key), "d.mark", "n_paragraphs", merged("lines", "runs").alias("spans"))
+    return marked.select(key, "mark", "n_paragraphs", F.size("spans").cast("long").alias("n_removed"), "spans")
 
 
 def spans_text(spans) -> Column:
@@ -143,7 +264,7 @@ def spans_text(spans) -> Column:
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **tuning) -> DataFrame:
-    """The rows of ``docs`` with their texts less the lines that :func:`repeated_spans` marks; other columns as they were."""
+    """The rows of ``docs`` with their texts less the spans that :func:`repeated_spans` marks; other columns as they were."""
     marked = repeated_spans(docs, key, text, **tuning).filter("n_removed > 0").select(F.col(key).alias("__key"), F.col("mark").alias("__mark"), "spans")
     marked = marked.groupBy("__key", "__mark").agg(F.first("spans").alias("__spans"))
     same = F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(whole_text(text)) == F.col("__mark"))
