@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from cohortline.llm.text import whole_text, word_array
 from cohortline.session import materialize
 
-FIT_ROWS, BINS = 20_000, 12
+FIT_ROWS, BINS, BLOCK_WORDS = 20_000, 12, 200
 SHAPE = ("letters", "capitals", "symbols", "marks", "digits", "stutter", "variety", "word_length", "line_words")
 
 
 def add_shape(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Shares that describe a text's form, in columns ``s_<name>``; JVM functions over the whole text."""
+    """Shares that describe a text's form, in columns ``s_<name>``; JVM functions over the whole text.
+
+    The variety of words is the mean share of distinct words in consecutive blocks of 200, weighted by their lengths.
+    """
     body, words = whole_text(text), F.col("__words")
     size = F.greatest(F.length(body), F.lit(1)).cast("double")
 
@@ -24,6 +27,8 @@ def add_shape(docs: DataFrame, text: str = "text") -> DataFrame:
 
     n = F.greatest(F.size(words), F.lit(1)).cast("double")
     pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: a == b)
+    blocks = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(BLOCK_WORDS))
+    distinct = F.aggregate(blocks, F.lit(0), lambda sum_, at: sum_ + F.size(F.array_distinct(F.slice(words, at, F.lit(BLOCK_WORDS)))))
     named = docs.withColumn("__words", word_array(body)).withColumns(
         {
             "s_letters": share(r"\p{L}+"),
@@ -32,7 +37,7 @@ def add_shape(docs: DataFrame, text: str = "text") -> DataFrame:
             "s_marks": share(r"[.,;:!?]+"),
             "s_digits": share(r"[0-9]+"),
             "s_stutter": F.size(F.filter(pairs, lambda same: same)) / n,
-            "s_variety": F.size(F.array_distinct(F.slice(words, F.lit(1), F.lit(200)))) / F.least(n, F.lit(200.0)),
+            "s_variety": distinct / n,
             "s_word_length": F.log1p(F.length(F.array_join(words, "")) / n),
             "s_line_words": F.log1p(n / F.size(F.split(body, "\n"))),
         }
