@@ -22,13 +22,23 @@ def weights(counts: np.ndarray) -> np.ndarray:
 
 
 def signatures(texts: list[str], bands: int, rows: int) -> list[np.ndarray]:
-    """Band keys of each text; none for a text without words."""
+    """Band keys of each text; none for a text without words.
+
+    Texts that repeat shingles have bands by weights and bands by the shingles alone. Weights of 1 make both the same,
+    so that a text without repeats meets each kind with the one set it has.
+    """
     out = []
     for _, group in sh.batches(texts):
         number, element, counts = sh.shingles(group)
+        repeats = np.zeros(len(group), dtype=bool)
+        repeats[number[counts > 1]] = True
         signed = sh.prob_minhash(number, element, weights(counts), len(group), bands * rows)
         keys, filled = sh.band_keys(signed, bands), np.bincount(number, minlength=len(group)) > 0
-        out += [k if f else k[:0] for k, f in zip(keys, filled)]
+        chosen = repeats[number]
+        renamed = (np.cumsum(repeats) - 1)[number[chosen]]
+        plain = sh.prob_minhash(renamed, element[chosen], np.ones(int(chosen.sum())), int(repeats.sum()), bands * rows)
+        also = iter(sh.band_keys(plain, bands))
+        out += [(np.concatenate([k, next(also)]) if r else k) if f else k[:0] for k, f, r in zip(keys, filled, repeats)]
     return out
 
 
@@ -58,8 +68,8 @@ def with_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     five-word shingles (weight 1 + ln of the count) or the plain one is at least ``similarity``. Texts equal but for
     white space are one item. Null is empty; texts without words form one class. A text of fewer than five words has
     one shingle of all of them. ``class_id`` is the smallest key of the class (null if all are null); one row of a class is
-    kept: that with the smallest key, nulls last, of rows with equal keys the first read. Bands are tuned so that a pair at
-    the limit is missed with probability 1e-5. An empty table gives an empty result.
+    kept: that with the smallest key, nulls last, of rows with equal keys the first read. There are bands for either
+    similarity, each tuned so that a pair at the limit is missed with probability 1e-5. An empty table gives an empty result.
     """
     bands = sh.tune_bands(similarity, RECALL, rows)
     body = F.trim(one_space(whole_text(text)))
