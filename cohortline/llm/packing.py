@@ -38,14 +38,30 @@ def _byte_letters() -> dict[str, int]:
 
 @lru_cache(maxsize=4)
 def encoder(vocabulary: str):
-    """A function from text to ids for a byte-level BPE file; one per Python worker. Ids are the merge order."""
+    """A function from text to ids for a byte-level BPE file; one per Python worker. Ids are the merge order.
+
+    Texts are split at the file's added tokens first, the longest at each place, which have ids of their own.
+    """
     with open(vocabulary, encoding="utf-8") as f:
         content = json.load(f)
-    letters, special = _byte_letters(), {t["content"] for t in content["added_tokens"]}
+    letters, special = _byte_letters(), {t["content"]: t["id"] for t in content["added_tokens"]}
     ranks = {bytes(letters[ch] for ch in token): id_ for token, id_ in content["model"]["vocab"].items() if token not in special}
     single = tiktoken.Encoding("single", pat_str=SINGLE_SPACES, mergeable_ranks=ranks, special_tokens={})
     general = tiktoken.Encoding("general", pat_str=ANY_TEXT, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: (general if _DOUBLE.search(text) else single).encode_ordinary(text)
+    added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True)) + ")") if special else None
+
+    def ordinary(text: str) -> list[int]:
+        return (general if _DOUBLE.search(text) else single).encode_ordinary(text)
+
+    def encode(text: str) -> list[int]:
+        if not any(t in text for t in special):
+            return ordinary(text)
+        ids = []
+        for part in added.split(text):
+            ids += [special[part]] if part in special else ordinary(part)
+        return ids
+
+    return encode
 
 
 def pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, with_ids: bool = False) -> DataFrame:
