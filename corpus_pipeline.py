@@ -51,7 +51,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-# Token ids, fingerprint exchange and best-fit packing have no SQL form; tests compare the stages with brute force.
+# Token ids, fingerprint exchange and best-fit packing have no SQL form.
 ORACLE_SQL = None
 
 
