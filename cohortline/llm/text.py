@@ -5,8 +5,13 @@ White space is ``[\\x20\\x09-\\x0D]`` throughout; a word is a run of other chara
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 SPACES = r"[\x20\x09-\x0D]+"
 NO_SPACE = r"[^\x20\x09-\x0D]"
@@ -34,3 +39,28 @@ def uniform_hash(*columns: Column, seed: int = 0) -> Column:
     """A number in [0, 2^60) that DuckDB computes alike: the first 15 hex digits of an MD5."""
     joined = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
     return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("long")
+
+
+def map_rows(df: DataFrame, keep: list[str], work: Callable[[dict], Iterator[tuple]], added: str) -> DataFrame:
+    """The columns ``keep`` of ``df``, passed on as they are, beside new columns made in Python.
+
+    ``work`` gets a batch's other columns as Arrow arrays by name and yields (places, columns): the batch's rows that the
+    new rows belong to (None: all, in order) and a list of values per new column. The kept columns never become
+    pandas columns, so 64-bit ids beside nulls do not change.
+    """
+    kept = StructType([df.schema[c] for c in keep])
+    schema = StructType([*kept.fields, *StructType.fromDDL(added).fields])
+    new = to_arrow_schema(StructType(schema.fields[len(keep) :]))
+
+    def run(batches):
+        for batch in batches:
+            rest = {n: batch.column(n) for n in batch.schema.names if n not in keep}
+            for places, columns in work(rest):
+                same = [batch.column(c) for c in keep]
+                if places is not None:
+                    at = pa.array(places, pa.int64())
+                    same = [c.take(at) for c in same]
+                arrays = [pa.array(columns[f.name], f.type) for f in new]
+                yield pa.RecordBatch.from_arrays(same + arrays, names=schema.names)
+
+    return df.mapInArrow(run, schema)
