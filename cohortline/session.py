@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import logging
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +21,7 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-_written: list[tuple[object, str]] = []
+_written: list[tuple[object, object, str]] = []
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -69,20 +72,47 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """The path of a new folder for one intermediate table; it is deleted when the process ends."""
+    """The path of a new folder for one intermediate table; it is deleted when the process ends, the session stopped or not."""
     top = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    _written.append((spark.sparkContext, top))
+    context = spark.sparkContext
+    _written.append((context._jvm, context._jsc.hadoopConfiguration(), top))
     return f"{top}/{name}"
 
 
+def _delete(jvm, configuration, folder: str) -> None:
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(configuration).delete(path, True)
+
+
 @atexit.register
 def _delete_written() -> None:
-    for context, folder in _written:
+    for jvm, configuration, folder in _written:
         try:
-            path = context._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # the session has ended: the shared folder's own clean-up takes it
-            return
+            _delete(jvm, configuration, folder)
+        except Exception as error:  # the JVM has gone or the store refuses: the shared folder's own clean-up takes it
+            logging.getLogger(__name__).warning("%s was not deleted: %s", folder, error)
+    _written.clear()
+
+
+@contextmanager
+def bucketed(df: DataFrame, column: str, name: str) -> Iterator[DataFrame]:
+    """The table, written once in buckets of ``column``, which joins on it read without a shuffle.
+
+    There are as many buckets as shuffle partitions. Inside the block a table bucketed by one of several join keys counts as
+    dealt by all. Table and files go when the block ends, so what comes of them must be written before.
+    """
+    spark, label, key = df.sparkSession, f"{name}_{uuid.uuid4().hex}", "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    folder = new_folder(spark, name)
+    writer = df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column)
+    try:
+        writer.option("path", folder).saveAsTable(label)
+        spark.conf.set(key, "false")
+        yield spark.table(label)
+    finally:
+        spark.conf.set(key, before)
+        spark.sql(f"DROP TABLE IF EXISTS {label}")
+        _delete(*next(w for w in _written if folder.startswith(w[2])))
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
