@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortline.llm import conversations, exact_dedup, importance, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, sql, substring_dedup, toxicity, warc
+from cohortline.llm import conversations, exact_dedup, importance, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, sql, substring_dedup, suffix_dedup, toxicity, warc
 from cohortline.llm.text import table
 from cohortline.session import materialize, new_folder
 
@@ -78,6 +78,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return marked.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     damaged = conversations.damage(table(spark, sf_dir, "conversations"))
     return conversations.repair(damaged, absent=F.col("absent"))
@@ -101,6 +106,7 @@ CORPUS_QUERIES = {
         op8_warc,
         op9_substring_dedup,
         op10_pii,
+        op11_suffix_dedup,
         op12_conversations,
         op13_importance,
     )
