@@ -24,7 +24,7 @@ from cohortline.llm.text import map_rows, whole_text
 from cohortline.session import bucketed, materialize
 
 WINDOW = 400
-PART_BYTES = 1 << 21
+PART_BYTES = 1 << 19
 PLACE_BITS = 22
 MOST_RUNS = 4096
 TASK_BYTES = 6_000_000
@@ -68,7 +68,7 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
-    """All windows of texts (together at most 2 MB and a window) as runs with one first digit.
+    """All windows of texts (together at most half a MB and a window) as runs with one first digit.
 
     Per run: text, first window's place, windows, bytes from there to the gram, the gram's hash and the whole run's hash.
     """
@@ -96,7 +96,7 @@ def runs_of(texts: list[bytes], window: int) -> tuple[np.ndarray, ...]:
 
 
 def _parts(texts: list[bytes], window: int) -> Iterator[list[tuple[int, int, bytes]]]:
-    """The texts in groups of about 2 MB as (text, offset, bytes); a longer text comes in parts that overlap by a window less one."""
+    """The texts in groups of about half a MB as (text, offset, bytes); a longer text comes in parts that overlap by a window less one."""
     group, size = [], 0
     for i, text in enumerate(texts):
         for at in range(0, max(len(text) - window + 1, 1), PART_BYTES):

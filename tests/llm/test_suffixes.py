@@ -90,7 +90,7 @@ def test_parts_of_long_texts(frame, monkeypatch):
     pick = random.Random(2)
     text = "".join(pick.choice("abcdefghij") for _ in range(9000))
     rows = [(1, text), (2, text[2000:7000]), (3, "k" * 3000), (4, text[:30])]
-    for part in (1 << 21, 700):
+    for part in (1 << 19, 700):
         monkeypatch.setattr(sd, "PART_BYTES", part)
         texts = [t.encode() for _, t in rows]
         for found, t in zip(sd.describe(texts, 50), texts):
