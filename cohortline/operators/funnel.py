@@ -12,7 +12,7 @@ from cohortline.functions.aggregates import any_true
 from cohortline.functions.clean import col, labelled
 from cohortline.operators.joins import keep_in, with_members
 
-MAX_CRITERIA = 62
+WORD_BITS = 62
 
 
 @dataclass(frozen=True)
@@ -65,25 +65,46 @@ def cohort_funnel(base: DataFrame, criteria: Sequence[Criterion], key: str) -> F
     """Apply ordered criteria in one aggregation instead of a chain of joins.
 
     Base keys and every criterion's keys are tagged with a bit and unioned; a bitwise OR
-    per key, combined on the map side, then holds all the memberships of the entity.
+    per key, combined on the map side, then holds all the memberships of the entity. Beyond 62 criteria the
+    bits go on in further columns, so there is no limit.
     """
     criteria = tuple(criteria)
-    if not 0 < len(criteria) <= MAX_CRITERIA:
-        raise ValueError(f"between 1 and {MAX_CRITERIA} criteria, got {len(criteria)}")
-    tagged = base.select(key, F.lit(1).cast("bigint").alias("__bit"))
-    for k, criterion in enumerate(criteria, start=1):
-        tagged = tagged.unionByName(criterion.keys.select(key, F.lit(1 << k).cast("bigint").alias("__bit")))
-    bits = tagged.groupBy(key).agg(F.bit_or("__bit").alias("__bits"))
-    failures = []
-    for k, criterion in enumerate(criteria, start=1):
-        listed = F.col("__bits").bitwiseAND(F.lit(1 << k).cast("bigint")) != 0
-        failures.append(F.when(~listed if criterion.include else listed, F.lit(k)))
-    status = bits.filter(F.col("__bits").bitwiseAND(F.lit(1).cast("bigint")) != 0).select(
-        key, F.coalesce(*failures).alias("failed_step")
-    )
+    if not criteria:
+        raise ValueError("no criteria given")
+    words = [f"__bits{w}" for w in range(1 + len(criteria) // WORD_BITS)]
+
+    def tags(df: DataFrame, number: int) -> DataFrame:
+        word, bit = divmod(number, WORD_BITS)
+        values = [F.lit(1 << bit if w == word else 0).cast("bigint").alias(name) for w, name in enumerate(words)]
+        return df.select(F.col(key).alias(key), *values)
+
+    def has(number: int) -> Column:
+        word, bit = divmod(number, WORD_BITS)
+        return F.col(words[word]).bitwiseAND(F.lit(1 << bit).cast("bigint")) != 0
+
+    tagged = _union([tags(base, 0), *[tags(c.keys, k) for k, c in enumerate(criteria, start=1)]])
+    bits = tagged.groupBy(key).agg(*[F.bit_or(w).alias(w) for w in words])
+    failures = [F.when(~has(k) if c.include else has(k), F.lit(k)) for k, c in enumerate(criteria, start=1)]
+    status = bits.filter(has(0)).select(key, F.coalesce(*failures).alias("failed_step"))
     return Funnel(base, key, status, criteria)
 
 
+def _union(frames: Sequence[DataFrame]) -> DataFrame:
+    """All rows of the frames, paired up so that plans of very many stay shallow."""
+    while len(frames) > 1:
+        frames = [a.union(b) for a, b in zip(frames[::2], frames[1::2])] + list(frames[len(frames) // 2 * 2 :])
+    return frames[0]
+
+
+def join_losses(members: DataFrame, parts: Sequence[tuple[str, DataFrame]], key: str) -> Funnel:
+    """Who would leave a chain of inner joins, and at which one.
+
+    ``parts`` are the joined tables by name, in order. Every member is tagged with the first part it has no row in, in the one
+    aggregation of :func:`cohort_funnel`; :meth:`Funnel.attrition` counts them and :meth:`Funnel.cohort` is who stays.
+    """
+    return cohort_funnel(members, [Criterion(name, rows, include=True) for name, rows in parts], key)
+
+
 def exposure_group(
     cohort: DataFrame,
     exposures: DataFrame,

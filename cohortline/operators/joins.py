@@ -2,7 +2,7 @@
 
 Two rules keep these safe when one key holds a large share of the rows. Key sets are
 reduced to distinct keys before they are joined, so copies never multiply or pile up. Range conditions are
-either folded into per-key minima and maxima, or joined on ``(key, time slot)``, so no
+either folded into per-key minima and maxima, or joined on ``(key, time cell)``, so no
 key's rows have to meet in one task and no pairs are built only to be thrown away.
 """
 
@@ -68,6 +68,20 @@ def first_row(df: DataFrame, key: str | Sequence[str], order: Sequence[str | Col
     return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
 
 
+def span_cells(spans: DataFrame, start: str, end: str, slot_hours: float) -> DataFrame:
+    """Spans with ``__level`` and ``__cell``: the one or two cells of ``2^level`` slots that hold the span.
+
+    The level is the least whose cells are as wide as the span, so any span, however long, is two rows at most.
+    Spans with an unknown end or one before their start are left out.
+    """
+    first, last = time_slot(start, slot_hours), time_slot(end, slot_hours)
+    apart = F.col("__last") - F.col("__first")
+    level = F.when(apart <= 1, F.lit(0)).otherwise(F.length(F.bin(apart - 1)))
+    sized = spans.filter(col(start) <= col(end)).withColumns({"__first": first, "__last": last}).withColumn("__level", level)
+    cells = F.expr("sequence(shiftright(__first, __level), shiftright(__last, __level))")
+    return sized.withColumn("__cell", F.explode(cells)).drop("__first", "__last")
+
+
 def within_span(
     events: DataFrame,
     spans: DataFrame,
@@ -75,24 +89,24 @@ def within_span(
     ts: str,
     start: str,
     end: str,
-    slot_hours: float = 24.0,
+    slot_hours: float = 1.0,
 ) -> DataFrame:
     """Each event joined to each span of its key with ``start <= ts <= end``.
 
-    Both sides are cut into time slots and joined on ``(key, slot)``: a key with a third
-    of all events is spread over its slots, and a span meets only the events near it.
-    A span is repeated once per slot it touches, so slots should not be much shorter
-    than spans; a slot that is still too full is split by adaptive execution.
+    Time is cut into cells of 1, 2, 4 ... slots. A span lies in at most two cells of the width that fits it, from
+    minutes to centuries, and an event probes one cell of each width that some span has: the join is on
+    ``(key, width, cell)``. A key with a third of all events is spread over its cells, and a span meets at most four times the time it covers;
+    a cell that is still too full is split by adaptive execution. The widths in use, some dozens at most, are one scalar subquery.
     """
-    cut = (
-        spans.filter(col(start) <= col(end))
-        .withColumn("__slot", F.explode(F.sequence(time_slot(start, slot_hours), time_slot(end, slot_hours))))
-    )
-    slotted = events.withColumn("__slot", time_slot(ts, slot_hours))
+    cells = span_cells(spans, start, end, slot_hours)
+    levels = cells.agg(F.collect_set("__level").alias("levels")).scalar()
+    probes = events.withColumn("__levels", levels).withColumn("__level", F.explode("__levels")).drop("__levels")
+    probes = probes.withColumn("__slot", time_slot(ts, slot_hours)).withColumn("__cell", F.expr("shiftright(__slot, __level)"))
     return (
-        slotted.join(cut, [key, "__slot"])
+        probes.drop("__slot")
+        .join(cells, [key, "__level", "__cell"])
         .filter(col(ts).between(col(start), col(end)))
-        .drop("__slot")
+        .drop("__level", "__cell")
     )
 
 

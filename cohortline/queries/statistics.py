@@ -32,6 +32,27 @@ def group_summary(t: Tables):
     return rounded(compare.group_summary(long), 4, "mean", "sd", "q1", "median", "q3")
 
 
+@query("group_summary_sketch", """
+SELECT 'o_totalprice' AS variable, o_orderpriority AS "group", count(*) AS n, round(avg(o_totalprice), 4) AS mean,
+  min(o_totalprice) AS min, max(o_totalprice) AS max, true AS q1_within, true AS median_within, true AS q3_within
+FROM orders GROUP BY o_orderpriority
+""")
+def group_summary_sketch(t: Tables):
+    """Sketched quartiles: do their true ranks, counted over all rows, lie within the stated error?"""
+    long = compare.unpivot_numeric(t.orders, "o_orderpriority", ["o_totalprice"])
+    accuracy, probs = 1000, {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    summary = compare.group_summary(long, quantiles="sketch", accuracy=accuracy)
+    counts = [F.count_if(F.col("value") < F.col(q)).alias(f"{q}_below") for q in probs]
+    counts += [F.count_if(F.col("value") <= F.col(q)).alias(f"{q}_upto") for q in probs]
+    keys = ["variable", "group", "n", "mean", "min", "max"]
+    ranked = long.join(summary, ["variable", "group"]).groupBy(*keys).agg(*counts)
+    slack = F.col("n") / accuracy + 1
+    within = {
+        f"{q}_within": (F.col(f"{q}_below") <= p * F.col("n") + slack) & (F.col(f"{q}_upto") >= p * F.col("n") - slack) for q, p in probs.items()
+    }
+    return rounded(ranked.withColumns(within).select(*keys, *within), 4, "mean")
+
+
 @query("table_one", """
 SELECT 'o_totalprice' AS variable, NULL::VARCHAR AS level, o_orderstatus AS stratum, count(*) AS n,
        NULL::DOUBLE AS pct, round(avg(o_totalprice), 4) AS mean, round(stddev_samp(o_totalprice), 4) AS sd
@@ -147,6 +168,92 @@ def mannwhitney_u(t: Tables):
     return rounded(rounded(out, 1, "rank_sum_a", "tie_term", "u_a"), 6, "z")
 
 
+BY_NATION = ("owners", "others")
+
+
+def _by_nation(t: Tables):
+    """Account balances of two customer groups in every nation; the key's share of a cent keeps values apart."""
+    owner = F.col("c_mktsegment").isin("BUILDING", "AUTOMOBILE")
+    return t.customer.select(
+        F.col("c_nationkey").alias("nation"),
+        F.when(owner, BY_NATION[0]).otherwise(BY_NATION[1]).alias("customers"),
+        (F.col("c_acctbal") + F.col("c_custkey") / 1e8).alias("balance"),
+    )
+
+
+BALANCES_SQL = """
+balances AS (
+  SELECT c_nationkey AS nation, CASE WHEN c_mktsegment IN ('BUILDING', 'AUTOMOBILE') THEN 'owners' ELSE 'others' END AS customers,
+         c_acctbal + c_custkey / 1e8 AS balance FROM customer)
+"""
+U_SQL = """
+placed AS (SELECT nation, customers, rank() OVER (PARTITION BY nation ORDER BY balance) AS place FROM balances),
+sums AS (
+  SELECT nation, count(*) FILTER (customers = 'owners') AS n_a, count(*) FILTER (customers = 'others') AS n_b,
+         sum(place) FILTER (customers = 'owners') AS rank_sum FROM placed GROUP BY nation),
+us AS (SELECT nation, n_a, n_b, (coalesce(rank_sum, 0) - n_a * (n_a + 1) / 2)::DOUBLE AS u_a FROM sums)
+"""
+
+
+# The counts of rankings by U, one more value at a time: a product with 1 - x^(larger + n), then a quotient by 1 - x^n.
+@query("mannwhitney_exact", f"""
+WITH RECURSIVE {BALANCES_SQL}, {U_SQL},
+sized AS (
+  SELECT *, least(n_a, n_b) AS small, greatest(n_a, n_b) AS large, n_a * n_b // 2 + 1 AS half FROM us WHERE n_a > 0 AND n_b > 0),
+ways AS (
+  SELECT nation, 0::BIGINT AS n, list_transform(range(half), lambda i: CASE WHEN i = 0 THEN 1 ELSE 0 END::DOUBLE) AS w FROM sized
+  UNION ALL
+  SELECT nation, n, list_transform(range(len(a)), lambda u: list_sum(a[u % n + 1:u + 1:n])) FROM (
+    SELECT w.nation, w.n + 1 AS n, list_transform(range(len(w.w)), lambda u: w.w[u + 1] - CASE WHEN u >= large + w.n + 1 THEN w.w[u - large - w.n] ELSE 0 END) AS a
+    FROM ways w JOIN sized s ON w.nation = s.nation WHERE w.n < small)),
+tails AS (
+  SELECT s.*, list_sum(w.w[1:least(u_a, n_a * n_b - u_a)::BIGINT + 1]) AS tail,
+         exp(lgamma(n_a + n_b + 1) - lgamma(n_a + 1) - lgamma(n_b + 1)) AS whole
+  FROM sized s JOIN ways w ON w.nation = s.nation AND w.n = s.small)
+SELECT us.nation, us.n_a, us.n_b, us.u_a, CASE WHEN tail IS NOT NULL THEN round(least(1, 2 * tail / whole), 7) END AS p FROM us LEFT JOIN tails USING (nation)
+""")
+def mannwhitney_exact(t: Tables):
+    long = compare.unpivot_numeric(_by_nation(t), "customers", ["balance"], ["nation"])
+    out = compare.rank_sum_p(compare.mann_whitney(long, BY_NATION, ["nation"]), "exact")
+    return rounded(out.select("nation", "n_a", "n_b", "u_a", "p"), 7, "p")
+
+
+def _newton_t(steps: int) -> str:
+    """SQL of the t that leaves 5 % in both tails, from 1.96 on by Newton steps on the integrated density."""
+    density = "exp(lgamma((df + 1) / 2) - lgamma(df / 2) - 0.5 * ln(df * pi()) - (df + 1) / 2 * ln(1 + {t} * {t} / df))"
+    parts, last = ["q0 AS (SELECT *, 1.96::DOUBLE AS q FROM both_tests)"], "q0"
+    for i in range(1, steps + 1):
+        step = f"q + ({_t_tail_sql('q', 'df')} - 0.05) / (2 * {density.replace('{t}', 'q')})"
+        parts.append(f"q{i} AS (SELECT * EXCLUDE (q), {step} AS q FROM {last})")
+        last = f"q{i}"
+    return ",\n".join(parts)
+
+
+@query("ttest_intervals", f"""
+WITH m AS (
+  SELECT o_orderpriority, 'o_totalprice' AS variable,
+    (count(*) FILTER (o_orderstatus = 'F'))::DOUBLE AS n_a, (count(*) FILTER (o_orderstatus = 'P'))::DOUBLE AS n_b,
+    avg(o_totalprice) FILTER (o_orderstatus = 'F') AS mean_a, avg(o_totalprice) FILTER (o_orderstatus = 'P') AS mean_b,
+    var_samp(o_totalprice) FILTER (o_orderstatus = 'F') AS va, var_samp(o_totalprice) FILTER (o_orderstatus = 'P') AS vb
+  FROM orders GROUP BY o_orderpriority),
+both_tests AS (
+  SELECT *, 't pooled' AS method, n_a + n_b - 2 AS df, sqrt(((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2) * (1 / n_a + 1 / n_b)) AS se FROM m
+  UNION ALL
+  SELECT *, 't welch', power(va / n_a + vb / n_b, 2) / (power(va / n_a, 2) / (n_a - 1) + power(vb / n_b, 2) / (n_b - 1)),
+    sqrt(va / n_a + vb / n_b) FROM m),
+{_newton_t(6)}
+SELECT o_orderpriority, variable, method, round(mean_a, 3) AS mean_a, round(mean_b, 3) AS mean_b, round(mean_a - mean_b, 3) AS estimate,
+  round((mean_a - mean_b) / se, 6) AS t, round(df, 4) AS df, round({_t_tail_sql("((mean_a - mean_b) / se)", "df")}, 6) AS p,
+  round(mean_a - mean_b - q * se, 2) AS low, round(mean_a - mean_b + q * se, 2) AS high
+FROM q6
+""")
+def ttest_intervals(t: Tables):
+    """Estimate and 95 % interval of the difference in every slice, by both t tests."""
+    long = compare.unpivot_numeric(_prices(t), "status", ["o_totalprice"], ["o_orderpriority"])
+    out = compare.mean_differences(long, ("F", "P"), ["o_orderpriority"])
+    return rounded(rounded(rounded(rounded(out, 3, "mean_a", "mean_b", "estimate"), 6, "t", "p"), 4, "df"), 2, "low", "high")
+
+
 @query("chi2_stat", """
 WITH c AS (SELECT o_orderpriority AS l, o_orderstatus AS g, count(*) AS o FROM orders GROUP BY 1, 2),
 e AS (SELECT *, sum(o) OVER (PARTITION BY l) * sum(o) OVER (PARTITION BY g) / (sum(o) OVER ())::DOUBLE AS e FROM c)
@@ -258,6 +365,40 @@ def normality(t: Tables):
     return rounded(compare.normality(long, ["variable", "group"]), 8, "statistic", "p")
 
 
+# Both groups of every nation pass through the whole choice: normality, equal variances, then the test itself.
+@query("group_compare_by_nation", f"""
+WITH {BALANCES_SQL}, keyed AS (SELECT nation || ':' || customers AS k, balance FROM balances),
+{_shapiro_sql("keyed", "k", "balance")},
+normal_p AS (SELECT g, CASE WHEN z >= 0 THEN {_upper_tail("z")} ELSE 1 - {_upper_tail("(-z)")} END AS p FROM shapiro),
+normal AS (SELECT split_part(g, ':', 1)::BIGINT AS nation, min(p) >= 0.05 AND count(*) = 2 AS normal FROM normal_p GROUP BY 1),
+{U_SQL},
+m AS (
+  SELECT nation, avg(balance) FILTER (customers = 'owners') AS mean_a, avg(balance) FILTER (customers = 'others') AS mean_b,
+    var_samp(balance) FILTER (customers = 'owners') AS va, var_samp(balance) FILTER (customers = 'others') AS vb FROM balances GROUP BY nation),
+t AS (
+  SELECT *, n_a::DOUBLE AS na, n_b::DOUBLE AS nb, (n_a - 1) / 2.0 AS a, (n_b - 1) / 2.0 AS b,
+    (mean_a - mean_b) / sqrt(((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2) * (1.0 / n_a + 1.0 / n_b)) AS pooled,
+    (mean_a - mean_b) / sqrt(va / n_a + vb / n_b) AS welch, (n_a + n_b - 2)::DOUBLE AS df,
+    power(va / n_a + vb / n_b, 2) / (power(va / n_a, 2) / (n_a - 1) + power(vb / n_b, 2) / (n_b - 1)) AS df_welch
+  FROM m JOIN us USING (nation) JOIN normal USING (nation)),
+ratios AS (SELECT *, a * (va / vb) / (a * (va / vb) + b) AS x, abs(u_a - na * nb / 2) AS far FROM t),
+l AS (
+  SELECT *, {_simpson(BETA_DENSITY, "x", 4000)} AS lower,
+    (far - CASE WHEN far = 0 THEN 0 ELSE 0.5 END) / sqrt(na * nb / 12 * (na + nb + 1)) AS zu FROM ratios),
+c AS (SELECT *, CASE WHEN NOT normal THEN 'mann-whitney' WHEN 2 * least(lower, 1 - lower) >= 0.05 THEN 't pooled' ELSE 't welch' END AS test FROM l)
+SELECT nation, 'balance' AS variable, test,
+  round(CASE test WHEN 'mann-whitney' THEN u_a WHEN 't pooled' THEN pooled ELSE welch END, 6) AS statistic,
+  round(CASE test WHEN 't pooled' THEN df WHEN 't welch' THEN df_welch END, 4) AS df,
+  round(CASE test WHEN 'mann-whitney' THEN 2 * {_upper_tail("zu")} WHEN 't pooled' THEN {_t_tail_sql("pooled", "df")} ELSE {_t_tail_sql("welch", "df_welch")} END, 6) AS p,
+  'shapiro-wilk' AS normality_test
+FROM c
+""")
+def group_compare_by_nation(t: Tables):
+    """Small samples, where the choice leads to each of the three tests."""
+    out = compare.group_compare(_by_nation(t), "customers", BY_NATION, ["balance"], by=["nation"])
+    return rounded(rounded(out, 6, "statistic", "p"), 4, "df")
+
+
 CATEGORY_SQL = """
 x AS (SELECT o_orderstatus AS g, o_orderpriority, year(o_orderdate)::VARCHAR AS y FROM orders WHERE o_orderstatus IN ('F', 'P')),
 c AS (

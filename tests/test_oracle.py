@@ -18,8 +18,8 @@ BUILDERS, ORACLES = driver.queries(), driver.oracle_sql()
 
 
 def directory(name):
-    # The study needs enough patients to leave some after fourteen criteria.
-    return "/root/testdata/sf0.01" if name.startswith("study_") else "/root/testdata/sf0.001"
+    # The study needs enough patients to leave some after fourteen criteria, a test per nation enough customers.
+    return "/root/testdata/sf0.01" if name.startswith("study_") or name.endswith("_by_nation") else "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")

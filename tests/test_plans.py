@@ -12,7 +12,7 @@ from cohortline.queries import REGISTRY
 
 SF = "/root/testdata/sf0.001"
 EAGER = {n for n in REGISTRY if n.startswith("study_")}
-WITH_P_VALUES = {"normality", "ttest_p", "ftest_p", "compare_categorical", "group_compare", "group_compare_by_slice", "table_one_with_p"}
+WITH_P_VALUES = {"mannwhitney_exact", "ttest_intervals", "group_compare_by_nation", "normality", "ttest_p", "ftest_p", "compare_categorical", "group_compare", "group_compare_by_slice", "table_one_with_p"}
 
 
 def plan(df):

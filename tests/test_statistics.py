@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
+from itertools import combinations
 from statistics import NormalDist
 
 import pytest
@@ -177,3 +180,86 @@ def test_group_summary(frame):
     df = frame([("a", float(v)) for v in (1, 2, 3, 4, 10)], "g string, v double")
     r = compare.group_summary(compare.unpivot_numeric(df, "g", ["v"])).collect()[0]
     assert [r[c] for c in ("n", "mean", "min", "q1", "median", "q3", "max")] == [5, 4.0, 1.0, 2.0, 3.0, 4.0, 10.0]
+
+
+def test_tie_runs_have_closed_sums(frame):
+    """Runs of every length, at the ends and in the middle, against the sums place by place."""
+    rng = random.Random(5)
+    data = []
+    for name, runs in {"mixed": (1, 64, 65, 700, 1, 3000, 66), "ends": (900, 1, 2, 1200), "two": (70, 80)}.items():
+        data += [(name, float(v)) for v, ties in enumerate(runs) for _ in range(ties)]
+    rng.shuffle(data)
+    df = compare.unpivot_numeric(frame(data, "g string, x double"), "g", ["x"])
+    for r in compare.normality(df, ["variable", "group"]).collect():
+        assert r["statistic"] == pytest.approx(brute_shapiro([v for g, v in data if g == r["group"]]), abs=1e-9)
+
+
+def test_shapiro_plan_has_a_row_per_distinct_value(spark):
+    df = spark.range(200_000).select(F.lit("g").alias("g"), (F.col("id") % 5).cast("double").alias("x"))
+    out = compare.shapiro_wilk(compare.unpivot_numeric(df, "g", ["x"]), ["variable", "group"])
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in text.split("Scan parquet")[0] and out.collect()[0]["n"] == 200_000
+
+
+def test_exact_rank_sums_equal_all_rankings(frame):
+    for n_a, n_b in [(1, 1), (3, 4), (5, 5), (2, 7)]:
+        ranks = range(1, n_a + n_b + 1)
+        us = [sum(c) - n_a * (n_a + 1) // 2 for c in combinations(ranks, n_a)]
+        for u in set(us):
+            tail = min(sum(v <= u for v in us), sum(v >= u for v in us)) / len(us)
+            assert pvalues.rank_sum_two_sided(u, n_a, n_b) == pytest.approx(min(1.0, 2 * tail), rel=1e-14)
+    # Published critical value: at 10 and 10, U = 23 is the largest with p <= 0.05.
+    assert pvalues.rank_sum_two_sided(23, 10, 10) <= 0.05 < pvalues.rank_sum_two_sided(24, 10, 10)
+
+
+def test_exact_rank_sum_is_chosen_by_the_caller_and_refuses_ties(frame):
+    rows = [("a", float(v)) for v in (1, 4, 6, 9)] + [("b", float(v)) for v in (2, 3, 5, 7, 8)]
+    long = compare.unpivot_numeric(frame(rows, "g string, x double"), "g", ["x"])
+    sums = compare.mann_whitney(long, ("a", "b"))
+    assert compare.rank_sum_p(sums, "exact").collect()[0]["p"] == pytest.approx(1.0)
+    tied = compare.unpivot_numeric(frame([*rows, ("b", 9.0)], "g string, x double"), "g", ["x"])
+    with pytest.raises(Exception, match="without ties"):
+        compare.rank_sum_p(compare.mann_whitney(tied, ("a", "b")), "exact").collect()
+    with pytest.raises(ValueError):
+        compare.rank_sum_p(sums, "by size")
+    out = compare.group_compare(frame(rows, "g string, x double"), "g", ("a", "b"), ["x"], rank_sum="exact").collect()[0]
+    assert out["test"] in ("mann-whitney", "t pooled")
+
+
+def test_t_quantile_published_values():
+    for p, df, t in [(0.05, 1, 12.7062047), (0.05, 10, 2.22813885), (0.01, 30, 2.74999565), (0.5, 5, 0.72668684)]:
+        assert pvalues.t_quantile(p, df) == pytest.approx(t, rel=1e-7)
+    for df in (0.7, 3.3, 118.0, 2e4, 3e6):
+        for p in (1e-12, 1e-3, 0.3, 0.999):
+            assert pvalues.t_two_sided(pvalues.t_quantile(p, df), df) == pytest.approx(p, rel=1e-7)
+    assert math.isnan(pvalues.t_quantile(0.05, 0)) and math.isnan(pvalues.t_quantile(1.0, 5))
+
+
+def test_mean_differences(frame):
+    a, b = [12.9, 11.1, 13.2, 12.0, 14.5], [10.2, 11.9, 9.4, 10.8]
+    rows = [("a", v, 1.0, None) for v in a] + [("b", v, 2.0, 3.0) for v in b]
+    long = compare.unpivot_numeric(frame(rows, "g string, x double, same double, one double"), "g", ["x", "same", "one"])
+    got = {(r["variable"], r["method"]): r for r in compare.mean_differences(long, ("a", "b")).collect()}
+    pooled = got["x", "t pooled"]
+    mean_a, mean_b = sum(a) / 5, sum(b) / 4
+    ss = sum((v - mean_a) ** 2 for v in a) + sum((v - mean_b) ** 2 for v in b)
+    half = 2.36462425 * math.sqrt(ss / 7 * (1 / 5 + 1 / 4))
+    assert pooled["df"] == 7 and pooled["estimate"] == pytest.approx(mean_a - mean_b)
+    assert (pooled["low"], pooled["high"]) == (pytest.approx(mean_a - mean_b - half), pytest.approx(mean_a - mean_b + half))
+    welch = got["x", "t welch"]
+    assert welch["low"] < welch["estimate"] < welch["high"] and welch["df"] < 7
+    assert got["same", "t pooled"]["estimate"] == -1.0 and got["same", "t pooled"]["p"] is None
+    assert got["one", "t welch"]["low"] is None
+
+
+def test_sketched_quantiles(spark):
+    df = spark.range(0, 40_000, 1, 6).select(F.lit("g").alias("g"), F.sqrt(F.col("id") * 7919 % 40_009).alias("x"))
+    long = compare.unpivot_numeric(df, "g", ["x"])
+    out = compare.group_summary(long, quantiles="sketch", accuracy=100)
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning", text)) == 1
+    row, values = out.collect()[0], sorted(r["x"] for r in df.collect())
+    for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        assert abs(values.index(row[name]) + 1 - p * len(values)) <= len(values) / 100 + 1
+    with pytest.raises(ValueError):
+        compare.group_summary(long, quantiles="approximate")
