@@ -475,9 +475,12 @@ def compare_numeric(
 
 
 def compare_categorical(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Chi-squared with p for each categorical variable."""
-    return chi_squared(long, by).select(
-        *by, "variable", F.lit("chi-squared").alias("test"), "statistic", "df",
+    """Chi-squared with p for each categorical variable; "not testable" where there is one level or one group only."""
+    stats = chi_squared(long, by)
+    apart = F.col("df") > 0
+    stats = stats.withColumns({c: F.when(apart, F.col(c)) for c in ("statistic", "df")})
+    return stats.select(
+        *by, "variable", F.when(F.col("df").isNotNull(), "chi-squared").otherwise("not testable").alias("test"), "statistic", "df",
         p_chi2("statistic", "df").alias("p"), F.lit(None).cast("string").alias("normality_test"),
     )
 

@@ -32,7 +32,26 @@ TRACHEOSTOMY_CODES = ("31.1", "31.21", "31.29", "31.72", "31.74", "97.37")
 
 # Exclusion code set (disease state, type, code).
 EXCLUSION_CODES = (
-    *[("pregnant", "CCS", str(c)) for c in range(177, 197)],
+    ("pregnant", "CCS", "177"),
+    ("pregnant", "CCS", "178"),
+    ("pregnant", "CCS", "179"),
+    ("pregnant", "CCS", "180"),
+    ("pregnant", "CCS", "181"),
+    ("pregnant", "CCS", "182"),
+    ("pregnant", "CCS", "183"),
+    ("pregnant", "CCS", "184"),
+    ("pregnant", "CCS", "185"),
+    ("pregnant", "CCS", "186"),
+    ("pregnant", "CCS", "187"),
+    ("pregnant", "CCS", "188"),
+    ("pregnant", "CCS", "189"),
+    ("pregnant", "CCS", "190"),
+    ("pregnant", "CCS", "191"),
+    ("pregnant", "CCS", "192"),
+    ("pregnant", "CCS", "193"),
+    ("pregnant", "CCS", "194"),
+    ("pregnant", "CCS", "195"),
+    ("pregnant", "CCS", "196"),
     ("etoh", "ICD9", "291.81"),
     ("arrest", "ICD9", "427.5"),
     ("status.ep", "ICD9", "345.3"),

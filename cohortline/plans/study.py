@@ -243,6 +243,24 @@ def assessments(tables: Tables, span: DataFrame) -> DataFrame:
     ).withColumnRenamed("day", "lab_date")
 
 
+def cohort_losses(tables: Tables, chosen: StudyCohort) -> funnel.Funnel:
+    """Who of the cohort leaves the demographics, and at which of their inner joins: the first table without a row of theirs."""
+
+    def measured(name: str, unit: str) -> DataFrame:
+        return tables["measures"].filter((F.col("measure") == name) & (F.col("measure_units") == unit))
+
+    scored = (F.col("lab") == fv.SEDATION_SCORE) | ((F.col("lab") == fv.DELIRIUM_SCREEN) & clean.delirium_positive("result").isNotNull())
+    parts = [
+        ("demographics", tables["demographics"]),
+        ("unit stay", chosen.span),
+        ("ventilation", chosen.vent),
+        ("weight", measured(*fv.WEIGHT)),
+        ("height", measured(*fv.HEIGHT)),
+        ("assessments", during(tables["labs"].filter(scored), chosen.span, "lab_datetime")),
+    ]
+    return funnel.join_losses(chosen.keys, parts, KEY)
+
+
 @dataclass(frozen=True)
 class StudyFeatures:
     demographics: DataFrame

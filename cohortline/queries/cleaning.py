@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortline.functions import aggregates, clean, columns, timing
+from cohortline.operators import mapping
 from cohortline.queries.registry import Tables, query, rounded
 
 NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
@@ -52,6 +53,40 @@ def canonicalise(t: Tables):
     )
 
 
+@query("mapping_table", """
+SELECT p_partkey, p_name, CASE WHEN regexp_matches(p_name, 'ring$') THEN 'a ring' WHEN regexp_matches(p_name, '^hot ') THEN 'hot thing'
+  WHEN p_name LIKE 'large%' THEN 'kind ' || p_name WHEN regexp_matches(p_name, '[aeiou]{2}|bolt') THEN 'other' ELSE p_name END AS name
+FROM part
+""")
+def mapping_table(t: Tables):
+    """Names by a table of exact and regular rules: the exact ones come from the data, one for every large thing."""
+    regular = [(1, "regex", "ring$", "a ring"), (2, "regex", "^hot ", "hot thing"), (4, "regex", "[aeiou]{2}|bolt", "other")]
+    rules = t.spark.createDataFrame(regular, "position int, kind string, pattern string, name string")
+    large = t.part.filter("p_name LIKE 'large%'").select(
+        F.lit(3).alias("position"), F.lit("exact").alias("kind"), F.col("p_name").alias("pattern"), F.concat(F.lit("kind "), "p_name").alias("name")
+    )
+    rows = t.part.select("p_partkey", "p_name")
+    return mapping.canonical_by_table(rows, "p_name", rules.unionByName(large.distinct()), "name")
+
+
+@query("unit_table", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, p_type,
+  round(CASE WHEN l_linestatus = 'F' AND n = 1 THEN l_quantity * factor
+             WHEN l_linestatus = 'F' AND n = 2 THEN l_quantity * factor * p_size
+             WHEN l_linestatus = 'F' THEN l_quantity * factor / p_size ELSE l_quantity END, 5) AS standard
+FROM lineitem JOIN part ON l_partkey = p_partkey
+JOIN (SELECT p_type, count(*) % 97 + 1 AS factor, length(p_type) % 3 + 1 AS n FROM part GROUP BY p_type) USING (p_type)
+""")
+def unit_table(t: Tables):
+    """Conversions from a table made of the parts: a factor and a power of the size for every type in unit F."""
+    power = F.element_at(F.array(F.lit(0), F.lit(1), F.lit(-1)), (F.length("p_type") % 3 + 1).cast("int"))
+    units = t.part.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))
+    units = units.select(F.lower("p_type").alias("drug"), F.lit("F").alias("unit"), (F.col("n") % 97 + 1).alias("factor"), power.alias("weight_power"))
+    rows = t.lineitem.join(t.part.select("p_partkey", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    out = mapping.convert_by_table(rows, "p_type", "l_linestatus", "l_quantity", "p_size", units, "standard")
+    return rounded(out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "p_type", "standard"), 5, "standard")
+
+
 @query("time_functions", """
 SELECT o_orderkey, date_trunc('day', o_orderdate)::TIMESTAMP AS day, o_orderdate + INTERVAL 3 DAY AS later,
   round(date_diff('microsecond', o_orderdate, TIMESTAMP '1998-07-01 06:30:00') / 3.6e9, 6) AS hours,

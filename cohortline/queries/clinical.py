@@ -15,8 +15,14 @@ from cohortline.plans import fixed_values as fv
 from cohortline.plans import study
 from cohortline.queries.registry import Tables, query, rounded
 
-CROSSWALK = (("177", "630.1"), ("6", "070.1"), ("6", "070.2"), ("98", "401.9"), ("49", "250.0"))
+CROSSWALK = (
+    ("177", "630.1"), ("6", "070.1"), ("6", "070.2"), ("98", "401.9"), ("49", "250.0"), ("157", "584.9"), ("127", "491.2"),
+    ("653", "290.0"), ("108", "428.0"), ("128", "493.9"), ("83", "345.9"),
+)
 CLASS_MEMBERS = (
+    ("antidepressants", "Sertraline"),
+    ("antipsychotics", "Haloperidol"),
+    ("gamma-aminobutyric acid analogs", "Gabapentin"),
     ("benzodiazepines", "Lorazepam"),
     ("benzodiazepines", "Clonazepam"),
     ("anticonvulsants", "Clonazepam"),
@@ -29,20 +35,20 @@ def _case(column: str, values: dict[str, str]) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + " END"
 
 
-VENT = _case("event_type", {"purchase": fv.VENT_START, "signup": fv.VENT_STOP})
+VENT = f"CASE WHEN value > 20 THEN '{fv.VENT_START}' ELSE '{fv.VENT_STOP}' END"
 PLACE = (
     f"CASE WHEN o_orderstatus = 'F' AND o_totalprice > 250000 THEN '{fv.STUDY_UNIT}' "
     f"WHEN o_orderstatus = 'P' AND o_totalprice > 450000 THEN '{fv.OTHER_UNITS[2]}' ELSE 'Ward' END"
 )
+# Diagnosis codes and home medications by the order's number.
+CODES = ("585.1", "070.2", "401.9", "250.0", "999", "584.9", "491.2", "290.0", "428.0", "493.9", "345.9")
+HOME_MEDS = ("LORAZEPAM", "Clonazepam", "Phenytoin", "Oxycodone", "Aspirin", "Sertraline", "haloperidol", "Gabapentin")
 DIAGNOSIS = (
     "CASE WHEN o_totalprice > 497000 THEN '427.5' WHEN o_totalprice > 494000 THEN '630.1' ELSE "
-    + _case("o_orderpriority", {"1-URGENT": "585.1", "2-HIGH": "070.2", "3-MEDIUM": "401.9", "4-NOT SPECIFIED": "250.0", "5-LOW": "999"})
+    + _case(f"CAST(o_orderkey % {len(CODES)} AS VARCHAR(9))", {str(i): code for i, code in enumerate(CODES)})
     + " END"
 )
-HOME = _case(
-    "o_orderpriority",
-    {"1-URGENT": "LORAZEPAM", "2-HIGH": "Clonazepam", "3-MEDIUM": "Phenytoin", "4-NOT SPECIFIED": "Oxycodone", "5-LOW": "Aspirin"},
-)
+HOME = _case(f"CAST(o_orderkey % {len(HOME_MEDS)} AS VARCHAR(9))", {str(i): med for i, med in enumerate(HOME_MEDS)})
 LAB = _case(
     "event_type",
     {"view": fv.SEDATION_SCORE, "click": fv.DELIRIUM_SCREEN, "error": "AST", "purchase": "ALT", "signup": "Sodium Lvl"},
@@ -54,6 +60,9 @@ LAB_RESULT = (
     "WHEN event_type = 'click' AND value < 15 THEN 'Unable to assess' "
     "WHEN event_type = 'click' THEN 'Negative' ELSE CAST(value AS VARCHAR(30)) END"
 )
+# A second laboratory row per event, by its number.
+CHEMISTRY_NAMES = ("Creatinine Lvl", "Glasgow Coma Score", "PaO2", "POC A PH", "POC A PCO2", "Potassium Lvl", "WBC", "Hct", "FIO2 (%)")
+CHEMISTRY = _case(f"CAST(event_id % {len(CHEMISTRY_NAMES)} AS VARCHAR(9))", {str(i): name for i, name in enumerate(CHEMISTRY_NAMES)})
 GAS = _case("event_type", {"purchase": "Poc A PO2", "signup": "sodium lvl"})
 VITAL = _case(
     "event_type",
@@ -71,7 +80,7 @@ IS_BOLUS = "event_type IN ('purchase', 'signup') OR event_type = 'error' AND val
 ANSWER = _case("c_mktsegment", {"BUILDING": " Yes", "FURNITURE": "no", "MACHINERY": "nk"})
 
 EXTRACTS_SQL = f"""
-ev AS (SELECT user_id::VARCHAR AS pie_id, ts - INTERVAL 3652 DAY AS t, event_type, value, event_id::VARCHAR AS event_id
+ev AS (SELECT (user_id * 5 + event_id % 5)::VARCHAR AS pie_id, ts - INTERVAL 3652 DAY AS t, event_type, value, event_id::VARCHAR AS event_id
        FROM events),
 pat AS (SELECT c_custkey::VARCHAR AS pie_id, c_acctbal / 50 AS age,
                TIMESTAMP '2014-02-10' + to_days(c_nationkey * 25) AS discharge, c_mktsegment, c_acctbal,
@@ -83,7 +92,7 @@ loc AS (
          TIMESTAMP '2014-01-01' + to_minutes(date_diff('day', TIMESTAMP '1995-01-01', o_orderdate)
            + CAST(floor(abs(o_totalprice - 250000) / 6) AS INT)) AS depart
   FROM orders),
-vent AS (SELECT pie_id, {VENT} AS ev, t FROM ev WHERE event_type IN ('purchase', 'signup') AND value > 100),
+vent AS (SELECT pie_id, {VENT} AS ev, t FROM ev WHERE event_type IN ('purchase', 'signup')),
 vent_n AS (
   SELECT *, sum(CASE WHEN p IS NULL OR p <> ev THEN 1 ELSE 0 END) OVER (PARTITION BY pie_id ORDER BY t, ev ROWS UNBOUNDED PRECEDING) AS run
   FROM (SELECT *, lag(ev) OVER (PARTITION BY pie_id ORDER BY t, ev) AS p FROM vent)),
@@ -132,7 +141,9 @@ weight AS (SELECT pie_id, 40 + value / 2 AS weight, row_number() OVER (PARTITION
            FROM ev WHERE event_type = 'click' AND value >= 5),
 height AS (SELECT pie_id, 150 + value / 10 AS height, row_number() OVER (PARTITION BY pie_id ORDER BY t) AS rn
            FROM ev WHERE event_type = 'signup'),
-lab AS (SELECT pie_id, t, {LAB} AS lab, {LAB_RESULT} AS result FROM ev),
+lab AS (
+  SELECT pie_id, t, {LAB} AS lab, {LAB_RESULT} AS result FROM ev
+  UNION ALL SELECT pie_id, t, {CHEMISTRY.replace("event_id", "event_id::BIGINT")}, CAST(value / 8 AS VARCHAR(30)) FROM ev),
 stay_lab AS (SELECT l.*, try_cast(result AS DOUBLE) AS num FROM lab l JOIN span s ON l.pie_id = s.pie_id AND t BETWEEN arrival AND leave),
 measured AS (
   SELECT c.pie_id, p.age, p.c_mktsegment AS diagnosis, s.days AS unit_length_stay, e.vent_duration, w.weight, h.height,
@@ -191,7 +202,7 @@ def _event_time():
 def extracts(t: Tables) -> dict[str, DataFrame]:
     """Clinical extracts derived from customers, orders and events."""
     ev = t.events.select(
-        F.col("user_id").cast("string").alias("pie_id"), _event_time(), "event_type", "value",
+        (F.col("user_id") * 5 + F.col("event_id") % 5).cast("string").alias("pie_id"), _event_time(), "event_type", "value",
         F.col("event_id").cast("string").alias("event_id"),
     )
     people = t.customer.select(
@@ -206,7 +217,7 @@ def extracts(t: Tables) -> dict[str, DataFrame]:
     )
     arrive = "TIMESTAMP_NTZ'2014-01-01' + make_dt_interval(0, 0, minute"
     long_stay = " + CAST(floor(abs(o_totalprice - 250000) / 6) AS INT))"
-    raised = ev.filter("event_type IN ('purchase', 'signup') AND value > 100")
+    vented = ev.filter("event_type IN ('purchase', 'signup')")
 
     def of(kind, *cols):
         return ev.filter(F.col("event_type") == kind).select("pie_id", *cols)
@@ -216,7 +227,7 @@ def extracts(t: Tables) -> dict[str, DataFrame]:
 
     return {
         "patients": people.select("pie_id", "age", "discharge_datetime"),
-        "vent_start": raised.select("pie_id", F.expr(VENT).alias("vent_event"), F.col("t").alias("vent_datetime")),
+        "vent_start": vented.select("pie_id", F.expr(VENT).alias("vent_event"), F.col("t").alias("vent_datetime")),
         "meds_continuous": marked("view", 30, "mg/hr", "", "med_rate_units"),
         "paralytics": marked("error", 220, "mg/hr", "", "med_rate_units"),
         "labs_preg": marked("error", 200, "Positive", "Negative", "lab_result"),
@@ -249,6 +260,11 @@ def extracts(t: Tables) -> dict[str, DataFrame]:
         ),
         "labs": ev.select(
             "pie_id", F.expr(LAB).alias("lab"), F.expr(LAB_RESULT).alias("result"), F.col("t").alias("lab_datetime")
+        ).unionByName(
+            ev.select(
+                "pie_id", F.expr(CHEMISTRY.replace("event_id", "CAST(event_id AS BIGINT)")).alias("lab"),
+                (F.col("value") / 8).cast("string").alias("result"), F.col("t").alias("lab_datetime"),
+            )
         ),
         "labs_abg": ev.filter("event_type IN ('purchase', 'signup')").select(
             "pie_id", F.expr(GAS).alias("lab"), (F.col("value") + 7).cast("string").alias("lab_result"),
@@ -292,16 +308,39 @@ def _features(t: Tables) -> tuple[dict[str, DataFrame], study.StudyFeatures]:
     return tables, study.study_features(tables, chosen)
 
 
+REASONS = (
+    "ventilated at least 24 h", "continuous medication", "admitted to the unit", "several unit stays", "transferred in",
+    "other intensive care first", "unit stay under a day", "paralytic infusion", "pregnancy test", "excluded diagnosis",
+    "no diagnosis", "excluded problem", "tracheostomy", "ventilated outside the unit",
+)
+
+
 @query("study_attrition", f"""
 WITH {EXTRACTS_SQL},
-nos AS (SELECT unnest(range(1, 15)) AS step_no)
-SELECT step_no::INT AS step_no,
+nos AS (SELECT unnest(range(1, 15)) AS step_no, unnest({list(REASONS)}) AS reason)
+SELECT step_no::INT AS step_no, reason,
   (SELECT count(*) FROM status WHERE failed_step = step_no) AS removed,
   (SELECT count(*) FROM status WHERE failed_step IS NULL OR failed_step > step_no) AS remaining
 FROM nos
 """)
 def study_attrition(t: Tables):
-    return _study(t)[1].funnel.attrition().drop("reason")
+    return _study(t)[1].funnel.attrition()
+
+
+@query("study_joins_attrition", f"""
+WITH {EXTRACTS_SQL},
+lost AS (
+  SELECT pie_id, CASE WHEN pie_id NOT IN (SELECT pie_id FROM pat) THEN 1 WHEN pie_id NOT IN (SELECT pie_id FROM span) THEN 2
+    WHEN pie_id NOT IN (SELECT pie_id FROM episode) THEN 3 WHEN pie_id NOT IN (SELECT pie_id FROM weight) THEN 4
+    WHEN pie_id NOT IN (SELECT pie_id FROM height) THEN 5 WHEN pie_id NOT IN (SELECT pie_id FROM daily) THEN 6 END AS step FROM cohort),
+nos AS (SELECT unnest(range(1, 7)) AS step_no, unnest(['demographics', 'unit stay', 'ventilation', 'weight', 'height', 'assessments']) AS reason)
+SELECT step_no::INT AS step_no, reason, (SELECT count(*) FROM lost WHERE step = step_no) AS removed,
+  (SELECT count(*) FROM lost WHERE step IS NULL OR step > step_no) AS remaining
+FROM nos
+""")
+def study_joins_attrition(t: Tables):
+    tables, chosen = _study(t)
+    return study.cohort_losses(tables, chosen).attrition()
 
 
 @query("study_cohort", f"WITH {EXTRACTS_SQL} SELECT pie_id, failed_step FROM status")
@@ -318,13 +357,16 @@ def study_demographics(t: Tables):
     return rounded(_features(t)[1].demographics, 5, "unit_length_stay", "vent_duration")
 
 
+HISTORY = {
+    "arf": "584.9", "asthma": "493.9", "ckd": "585.1", "copd": "491.2", "dementia": "290.0", "diabetes": "250.0",
+    "heart_failure": "428.0", "hypertension": "401.9", "liver": "070.2", "seizure": "345.9",
+}
+
+
 @query("study_history", f"""
 WITH {EXTRACTS_SQL},
 final AS (SELECT pie_id, code FROM dx WHERE diag_type = 'Final')
-SELECT c.pie_id, false AS arf, false AS asthma, coalesce(bool_or(code = '585.1'), false) AS ckd, false AS copd,
-  false AS dementia, coalesce(bool_or(code = '250.0'), false) AS diabetes, false AS heart_failure,
-  coalesce(bool_or(code = '401.9'), false) AS hypertension, coalesce(bool_or(code = '070.2'), false) AS liver,
-  false AS seizure
+SELECT c.pie_id, {", ".join(f"coalesce(bool_or(code = '{code}'), false) AS {state}" for state, code in HISTORY.items())}
 FROM cohort c LEFT JOIN final f ON c.pie_id = f.pie_id GROUP BY c.pie_id
 """)
 def study_history(t: Tables):
@@ -336,8 +378,9 @@ def study_history(t: Tables):
 WITH {EXTRACTS_SQL},
 h AS (SELECT o_custkey::VARCHAR AS pie_id, lower({HOME}) AS med FROM orders)
 SELECT c.pie_id, coalesce(bool_or(med IN ('lorazepam', 'clonazepam')), false) AS benzodiazepines,
-  coalesce(bool_or(med = 'oxycodone'), false) AS narcotic_analgesics, false AS antidepressants, false AS antipsychotics,
-  coalesce(bool_or(med = 'phenytoin'), false) AS anticonvulsants, false AS gamma_aminobutyric_acid_analogs
+  coalesce(bool_or(med = 'oxycodone'), false) AS narcotic_analgesics, coalesce(bool_or(med = 'sertraline'), false) AS antidepressants,
+  coalesce(bool_or(med = 'haloperidol'), false) AS antipsychotics, coalesce(bool_or(med = 'phenytoin'), false) AS anticonvulsants,
+  coalesce(bool_or(med = 'gabapentin'), false) AS gamma_aminobutyric_acid_analogs
 FROM cohort c LEFT JOIN h ON c.pie_id = h.pie_id GROUP BY c.pie_id
 """)
 def study_home_meds(t: Tables):
@@ -345,30 +388,37 @@ def study_home_meds(t: Tables):
     return study.home_meds(tables, chosen.keys)
 
 
-@query("study_severity", f"""
-WITH {EXTRACTS_SQL},
+def _ranges(names: dict[str, str], column: str, value: str) -> str:
+    return ", ".join(
+        f"min({value}) FILTER ({column} = '{raw}') AS {short}_min, max({value}) FILTER ({column} = '{raw}') AS {short}_max" for raw, short in names.items()
+    )
+
+
+SEVERITY_SQL = f"""
 both_labs AS (
-  SELECT pie_id, t, lower(lab) AS lab, try_cast(result AS DOUBLE) AS num FROM lab
-  UNION ALL SELECT pie_id, t, 'pao2', value + 7 FROM ev WHERE event_type = 'purchase'),
+  SELECT pie_id, t, replace(lower(lab), 'poc a po2', 'pao2') AS lab, try_cast(result AS DOUBLE) AS num FROM lab
+  UNION ALL
+  SELECT g.pie_id, g.t, replace(lower(g.lab), 'poc a po2', 'pao2'), g.value + 7 FROM (
+    SELECT *, {GAS} AS lab FROM ev WHERE event_type IN ('purchase', 'signup')) g
+  ANTI JOIN lab l ON l.pie_id = g.pie_id AND l.t = g.t AND lower(l.lab) = lower(g.lab)),
 l AS (
-  SELECT b.pie_id, min(num) FILTER (lab = 'pao2') AS pao2_min, max(num) FILTER (lab = 'pao2') AS pao2_max,
-         min(num) FILTER (lab = 'sodium lvl') AS na_min, max(num) FILTER (lab = 'sodium lvl') AS na_max
+  SELECT b.pie_id, {_ranges(fv.SEVERITY_LABS, "lab", "num")}
   FROM both_labs b JOIN span s ON b.pie_id = s.pie_id AND t BETWEEN arrival AND arrival + INTERVAL 1 DAY
-  WHERE lab IN ('pao2', 'sodium lvl') AND num IS NOT NULL GROUP BY b.pie_id),
+  WHERE lab IN ({", ".join(f"'{name}'" for name in fv.SEVERITY_LABS)}) AND num IS NOT NULL GROUP BY b.pie_id),
+signs AS (
+  SELECT pie_id, t, value, CASE WHEN event_type IN ('view', 'signup') THEN 'Temperature' WHEN event_type = 'click' THEN 'Mean Arterial Pressure'
+    WHEN event_type = 'error' THEN 'Apical Heart Rate' ELSE 'Respiratory Rate' END AS vital FROM ev),
 v AS (
-  SELECT e.pie_id, min(value) FILTER (event_type = 'error') AS hr_min, max(value) FILTER (event_type = 'error') AS hr_max,
-         min(value) FILTER (event_type = 'click') AS map_min, max(value) FILTER (event_type = 'click') AS map_max,
-         min(value) FILTER (event_type = 'purchase') AS rr_min, max(value) FILTER (event_type = 'purchase') AS rr_max,
-         min(value) FILTER (event_type IN ('view', 'signup')) AS temp_min,
-         max(value) FILTER (event_type IN ('view', 'signup')) AS temp_max
-  FROM ev e JOIN span s ON e.pie_id = s.pie_id AND t BETWEEN arrival AND arrival + INTERVAL 1 DAY GROUP BY e.pie_id)
-SELECT m.pie_id, m.age, pao2_min, pao2_max, na_min, na_max, hr_min, hr_max, map_min, map_max, rr_min, rr_max, temp_min, temp_max
-FROM measured m JOIN l USING (pie_id) JOIN v USING (pie_id)
-""")
+  SELECT e.pie_id, {_ranges(fv.SEVERITY_VITALS, "vital", "value")}
+  FROM signs e JOIN span s ON e.pie_id = s.pie_id AND t BETWEEN arrival AND arrival + INTERVAL 1 DAY GROUP BY e.pie_id),
+severity AS (
+  SELECT m.pie_id, m.age, l.* EXCLUDE (pie_id), v.* EXCLUDE (pie_id) FROM measured m JOIN l ON l.pie_id = m.pie_id JOIN v ON v.pie_id = m.pie_id)
+"""
+
+
+@query("study_severity", f"WITH {EXTRACTS_SQL}, {SEVERITY_SQL} SELECT * FROM severity")
 def study_severity(t: Tables):
-    wide = _features(t)[1].severity
-    empty = ["scr", "gcs", "ph", "pco2", "k", "wbc", "hct", "fio2"]  # measures the derived labs lack
-    return wide.drop(*[f"{c}_{side}" for c in empty for side in ("min", "max")])
+    return _features(t)[1].severity
 
 
 SEDATIVE_NUMBERS = ("dose_auc", "cont_duration", "time_wt_avg_rate", "total_cont_dose", "total_bolus_dose", "total_dose")

@@ -166,6 +166,27 @@ def interval_join_24h(t: Tables):
     return joins.within_span(rows, _first_signup_day(t), "user_id", "ts", "arrival", "until").drop("until")
 
 
+# Spans of five minutes, three hours, four and forty days, and without an end.
+SPAN_END = """CASE event_id % 5 WHEN 0 THEN ts + INTERVAL 5 MINUTE WHEN 1 THEN ts + INTERVAL 3 HOUR WHEN 2 THEN ts + INTERVAL 4 DAY
+  WHEN 3 THEN ts + INTERVAL 40 DAY ELSE TIMESTAMP '9999-12-31 23:59:59' END"""
+
+
+@query("interval_spans", f"""
+WITH spans AS (SELECT user_id, event_id AS span_id, ts AS begin, {SPAN_END} AS finish FROM events WHERE event_type = 'signup')
+SELECT s.user_id, span_id, count(*) AS n, round(sum(e.value), 4) AS total, max(e.ts) AS last_ts
+FROM spans s JOIN events e ON e.user_id = s.user_id AND e.ts BETWEEN begin AND finish GROUP BY ALL
+""")
+def interval_spans(t: Tables):
+    """Events inside spans from minutes to centuries, none of which is more than two rows in the join."""
+    end = F.expr(SPAN_END.replace("TIMESTAMP '", "TIMESTAMP_NTZ '"))
+    spans = t.events.filter("event_type = 'signup'").select(
+        "user_id", F.col("event_id").alias("span_id"), F.col("ts").alias("begin"), end.cast("timestamp_ntz").alias("finish")
+    )
+    found = joins.within_span(t.events.select("user_id", "ts", "value"), spans, "user_id", "ts", "begin", "finish")
+    out = found.groupBy("user_id", "span_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("ts").alias("last_ts"))
+    return rounded(out, 4, "total")
+
+
 @query("worst_values_wide", """
 WITH w AS (
   SELECT e.user_id, e.event_type, e.value FROM events e JOIN (

@@ -308,7 +308,7 @@ def _newton(column: str) -> str:
 
 
 def _shapiro_sql(table: str, group: str, value: str) -> str:
-    """The textbook form: every position gets its weight, and W is a squared weighted sum.
+    """The textbook form: every position gets its weight, and W is a squared weighted sum; ``shapiro`` has w, z and p.
 
     Normal quantiles come from a rough published start (26.2.23 of the handbook of mathematical functions) and three
     Newton steps on the series of the normal integral, the rest from the published polynomials.
@@ -317,7 +317,7 @@ def _shapiro_sql(table: str, group: str, value: str) -> str:
 x AS (
   SELECT {group} AS g, {value} AS v, row_number() OVER (PARTITION BY {group} ORDER BY {value}) AS i,
          count(*) OVER (PARTITION BY {group}) AS n FROM {table} WHERE {value} IS NOT NULL AND {group} IS NOT NULL),
-p AS (SELECT *, (i - 0.375) / (n + 0.25) AS p FROM x),
+p AS (SELECT *, (i - 0.375) / (n + 0.25) AS p FROM x WHERE n >= 3),
 tails AS (SELECT *, least(p, 1 - p) AS tail, sqrt(-2 * ln(least(p, 1 - p))) AS t FROM p),
 start AS (
   SELECT *, greatest(t - (2.515517 + 0.802853 * t + 0.010328 * t * t)
@@ -329,18 +329,84 @@ sized AS (
   SELECT *, sum(m * m) OVER (PARTITION BY g) AS mm, min(m) OVER (PARTITION BY g) AS lowest,
          min(CASE WHEN i = 2 THEN m END) OVER (PARTITION BY g) AS second FROM scored),
 extreme AS (
-  SELECT *, -2.706056 * power(n, -2.5) + 4.434685 * power(n, -2) - 2.07119 * power(n, -1.5) - 0.147981 / n
-           + 0.221157 / sqrt(n) - lowest / sqrt(mm) AS a1,
+  SELECT *, CASE WHEN n = 3 THEN sqrt(0.5) ELSE -2.706056 * power(n, -2.5) + 4.434685 * power(n, -2) - 2.07119 * power(n, -1.5) - 0.147981 / n
+           + 0.221157 / sqrt(n) - lowest / sqrt(mm) END AS a1,
          -3.582633 * power(n, -2.5) + 5.682633 * power(n, -2) - 1.752461 * power(n, -1.5) - 0.293762 / n
            + 0.042981 / sqrt(n) - second / sqrt(mm) AS a2 FROM sized),
 weighted AS (
-  SELECT *, CASE WHEN i = 1 THEN -a1 WHEN i = 2 THEN -a2 WHEN i = n - 1 THEN a2 WHEN i = n THEN a1
+  SELECT *, CASE WHEN i = 1 THEN -a1 WHEN i = n THEN a1 WHEN n = 3 THEN 0
+    WHEN n <= 5 THEN m / sqrt((mm - 2 * lowest * lowest) / (1 - 2 * a1 * a1))
+    WHEN i = 2 THEN -a2 WHEN i = n - 1 THEN a2
     ELSE m / sqrt((mm - 2 * lowest * lowest - 2 * second * second) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) END AS a
   FROM extreme),
-stat AS (SELECT g, max(n) AS n, power(sum(a * v), 2) / (var_samp(v) * (count(*) - 1)) AS w FROM weighted GROUP BY g),
+stat AS (SELECT g, max(n) AS n, least(power(sum(a * v), 2) / nullif(var_samp(v) * (count(*) - 1), 0), 1) AS w FROM weighted GROUP BY g),
+z_scores AS (
+  SELECT *, CASE WHEN n > 11 THEN
+      (ln(1 - w) + 1.5861 + 0.31082 * ln(n) + 0.083751 * ln(n) * ln(n) - 0.0038915 * ln(n) * ln(n) * ln(n))
+      / exp(-0.4803 - 0.082676 * ln(n) + 0.0030302 * ln(n) * ln(n))
+    WHEN n > 3 THEN
+      (-ln(0.459 * n - 2.273 - ln(1 - w)) - 0.544 + 0.39978 * n - 0.025054 * n * n + 6.714e-4 * n * n * n)
+      / exp(1.3822 - 0.77857 * n + 0.062767 * n * n - 0.0020322 * n * n * n) END AS z FROM stat),
 shapiro AS (
-  SELECT *, (ln(1 - w) + 1.5861 + 0.31082 * ln(n) + 0.083751 * ln(n) * ln(n) - 0.0038915 * ln(n) * ln(n) * ln(n))
-    / exp(-0.4803 - 0.082676 * ln(n) + 0.0030302 * ln(n) * ln(n)) AS z FROM stat)
+  SELECT *, CASE WHEN w IS NULL THEN NULL WHEN n = 3 THEN greatest(6 / pi() * (asin(sqrt(w)) - asin(sqrt(0.75))), 0)
+    WHEN z >= 0 THEN {_upper_tail("z")} ELSE 1 - {_upper_tail("(-z)")} END AS p FROM z_scores)
+"""
+
+
+def chosen_tests_sql(table: str) -> str:
+    """The whole choice for rows (k, side a or b, v): ``chosen`` has each k's test with statistic, df and p."""
+    return f"""
+sided AS (SELECT k || '|' || side AS ks, v FROM {table} WHERE v IS NOT NULL),
+{_shapiro_sql("sided", "ks", "v")},
+normal AS (SELECT regexp_replace(g, '[|][ab]$', '') AS k, count(p) = 2 AND min(p) >= 0.05 AS normal FROM shapiro GROUP BY 1),
+places AS (
+  SELECT k, side, v, rank() OVER (PARTITION BY k ORDER BY v) AS lo, count(*) OVER (PARTITION BY k, v) AS ties FROM {table} WHERE v IS NOT NULL),
+sums AS (
+  SELECT k, (count(*) FILTER (side = 'a'))::DOUBLE AS na, (count(*) FILTER (side = 'b'))::DOUBLE AS nb,
+    coalesce(sum(lo + (ties - 1) / 2.0) FILTER (side = 'a'), 0) AS ra, sum(ties::DOUBLE * ties - 1) AS tie_term,
+    avg(v) FILTER (side = 'a') AS mean_a, avg(v) FILTER (side = 'b') AS mean_b,
+    var_samp(v) FILTER (side = 'a') AS va, var_samp(v) FILTER (side = 'b') AS vb FROM places GROUP BY k),
+us AS (
+  SELECT *, ra - na * (na + 1) / 2 AS ua, na + nb - 2 AS df, (na - 1) / 2 AS a, (nb - 1) / 2 AS b,
+    (mean_a - mean_b) / nullif(sqrt(((na - 1) * va + (nb - 1) * vb) / nullif(na + nb - 2, 0) * (1 / nullif(na, 0) + 1 / nullif(nb, 0))), 0) AS pooled,
+    (mean_a - mean_b) / nullif(sqrt(va / nullif(na, 0) + vb / nullif(nb, 0)), 0) AS welch,
+    power(va / na + vb / nb, 2) / nullif(power(va / na, 2) / nullif(na - 1, 0) + power(vb / nb, 2) / nullif(nb - 1, 0), 0) AS df_welch,
+    sqrt(na * nb / 12 * (na + nb + 1 - tie_term / nullif((na + nb) * (na + nb - 1), 0))) AS sigma
+  FROM sums),
+ratios AS (
+  SELECT *, a * (va / nullif(vb, 0)) / (a * (va / nullif(vb, 0)) + b) AS x,
+    (abs(ua - na * nb / 2) - CASE WHEN ua = na * nb / 2 THEN 0 ELSE 0.5 END) / nullif(sigma, 0) AS zu FROM us),
+lowers AS (SELECT *, {_simpson(BETA_DENSITY, "x", 4000)} AS lower FROM ratios),
+picked AS (
+  SELECT lowers.*, CASE WHEN NOT coalesce(normal, false) THEN CASE WHEN zu IS NULL THEN 'not testable' ELSE 'mann-whitney' END
+    WHEN 2 * least(lower, 1 - lower) >= 0.05 THEN 't pooled' ELSE 't welch' END AS test FROM lowers LEFT JOIN normal USING (k)),
+chosen AS (
+  SELECT k, test, CASE test WHEN 'mann-whitney' THEN ua WHEN 't pooled' THEN pooled WHEN 't welch' THEN welch END AS statistic,
+    CASE test WHEN 't pooled' THEN df WHEN 't welch' THEN df_welch END AS df,
+    CASE test WHEN 'mann-whitney' THEN least(2 * CASE WHEN zu >= 0 THEN {_upper_tail("zu")} ELSE 1 - {_upper_tail("(-zu)")} END, 1) WHEN 't pooled' THEN {_t_tail_sql("pooled", "df")}
+      WHEN 't welch' THEN {_t_tail_sql("welch", "df_welch")} END AS p FROM picked)
+"""
+
+
+def chi_squared_sql(table: str) -> str:
+    """Pearson's test of (k, level, side) rows, with Yates' correction for 2 x 2 tables: ``chi`` has each k's test."""
+    return f"""
+cells AS (SELECT k, level, side, count(*) AS o FROM {table} WHERE level IS NOT NULL GROUP BY ALL),
+grid AS (
+  SELECT l.k, l.level, s.side, coalesce(o, 0) AS o FROM (SELECT DISTINCT k, level FROM cells) l
+  JOIN (SELECT DISTINCT k, side FROM cells) s ON l.k = s.k LEFT JOIN cells c ON c.k = l.k AND c.level = l.level AND c.side = s.side),
+expected AS (
+  SELECT *, sum(o) OVER (PARTITION BY k, level) * sum(o) OVER (PARTITION BY k, side) / (sum(o) OVER (PARTITION BY k))::DOUBLE AS e FROM grid),
+chi_sums AS (
+  SELECT k, ((count(DISTINCT level) - 1) * (count(DISTINCT side) - 1))::DOUBLE AS df,
+    CASE WHEN count(*) = 4 AND count(DISTINCT level) = 2 THEN sum(power(abs(o - e) - least(0.5, abs(o - e)), 2) / e)
+    ELSE sum(power(o - e, 2) / e) END AS x FROM expected GROUP BY k),
+chi AS (
+  SELECT k, CASE WHEN df > 0 THEN 'chi-squared' ELSE 'not testable' END AS test, CASE WHEN df > 0 THEN x END AS statistic,
+    CASE WHEN df > 0 THEN df END AS df,
+    CASE df WHEN 1 THEN 2 * {_upper_tail("sqrt(x)")} WHEN 2 THEN exp(-x / 2)
+      WHEN 3 THEN 2 * {_upper_tail("sqrt(x)")} + sqrt(2 * x / pi()) * exp(-x / 2) WHEN 4 THEN exp(-x / 2) * (1 + x / 2) END AS p
+  FROM chi_sums)
 """
 
 
@@ -356,8 +422,7 @@ def shapiro_w(t: Tables):
 
 @query("normality", f"""
 WITH {_shapiro_sql("orders", "o_orderpriority", "o_totalprice")}
-SELECT 'o_totalprice' AS variable, g AS "group", n, 'shapiro-wilk' AS method, round(w, 8) AS statistic,
-  round(CASE WHEN z >= 0 THEN {_upper_tail("z")} ELSE 1 - {_upper_tail("(-z)")} END, 8) AS p
+SELECT 'o_totalprice' AS variable, g AS "group", n, 'shapiro-wilk' AS method, round(w, 8) AS statistic, round(p, 8) AS p
 FROM shapiro
 """)
 def normality(t: Tables):
@@ -367,36 +432,16 @@ def normality(t: Tables):
 
 # Both groups of every nation pass through the whole choice: normality, equal variances, then the test itself.
 @query("group_compare_by_nation", f"""
-WITH {BALANCES_SQL}, keyed AS (SELECT nation || ':' || customers AS k, balance FROM balances),
-{_shapiro_sql("keyed", "k", "balance")},
-normal_p AS (SELECT g, CASE WHEN z >= 0 THEN {_upper_tail("z")} ELSE 1 - {_upper_tail("(-z)")} END AS p FROM shapiro),
-normal AS (SELECT split_part(g, ':', 1)::BIGINT AS nation, min(p) >= 0.05 AND count(*) = 2 AS normal FROM normal_p GROUP BY 1),
-{U_SQL},
-m AS (
-  SELECT nation, avg(balance) FILTER (customers = 'owners') AS mean_a, avg(balance) FILTER (customers = 'others') AS mean_b,
-    var_samp(balance) FILTER (customers = 'owners') AS va, var_samp(balance) FILTER (customers = 'others') AS vb FROM balances GROUP BY nation),
-t AS (
-  SELECT *, n_a::DOUBLE AS na, n_b::DOUBLE AS nb, (n_a - 1) / 2.0 AS a, (n_b - 1) / 2.0 AS b,
-    (mean_a - mean_b) / sqrt(((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2) * (1.0 / n_a + 1.0 / n_b)) AS pooled,
-    (mean_a - mean_b) / sqrt(va / n_a + vb / n_b) AS welch, (n_a + n_b - 2)::DOUBLE AS df,
-    power(va / n_a + vb / n_b, 2) / (power(va / n_a, 2) / (n_a - 1) + power(vb / n_b, 2) / (n_b - 1)) AS df_welch
-  FROM m JOIN us USING (nation) JOIN normal USING (nation)),
-ratios AS (SELECT *, a * (va / vb) / (a * (va / vb) + b) AS x, abs(u_a - na * nb / 2) AS far FROM t),
-l AS (
-  SELECT *, {_simpson(BETA_DENSITY, "x", 4000)} AS lower,
-    (far - CASE WHEN far = 0 THEN 0 ELSE 0.5 END) / sqrt(na * nb / 12 * (na + nb + 1)) AS zu FROM ratios),
-c AS (SELECT *, CASE WHEN NOT normal THEN 'mann-whitney' WHEN 2 * least(lower, 1 - lower) >= 0.05 THEN 't pooled' ELSE 't welch' END AS test FROM l)
-SELECT nation, 'balance' AS variable, test,
-  round(CASE test WHEN 'mann-whitney' THEN u_a WHEN 't pooled' THEN pooled ELSE welch END, 6) AS statistic,
-  round(CASE test WHEN 't pooled' THEN df WHEN 't welch' THEN df_welch END, 4) AS df,
-  round(CASE test WHEN 'mann-whitney' THEN 2 * {_upper_tail("zu")} WHEN 't pooled' THEN {_t_tail_sql("pooled", "df")} ELSE {_t_tail_sql("welch", "df_welch")} END, 6) AS p,
+WITH {BALANCES_SQL}, tested AS (SELECT nation::VARCHAR AS k, CASE customers WHEN 'owners' THEN 'a' ELSE 'b' END AS side, balance AS v FROM balances),
+{chosen_tests_sql("tested")}
+SELECT k::BIGINT AS nation, 'balance' AS variable, test, round(statistic, 6) AS statistic, round(df, 4) AS df, round(p, 6) AS p,
   'shapiro-wilk' AS normality_test
-FROM c
+FROM chosen
 """)
 def group_compare_by_nation(t: Tables):
     """Small samples, where the choice leads to each of the three tests."""
     out = compare.group_compare(_by_nation(t), "customers", BY_NATION, ["balance"], by=["nation"])
-    return rounded(rounded(out, 6, "statistic", "p"), 4, "df")
+    return rounded(rounded(out, 6, "statistic", "p"), 4, "df").withColumn("nation", F.col("nation").cast("long"))
 
 
 CATEGORY_SQL = """

@@ -10,13 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortline.functions.clean import empty_to_null, to_number
 from cohortline.functions.columns import safe_name
 from cohortline.functions.timing import parse_datetime
+from cohortline.session import materialize
 
 
 def as_text(c: Column) -> Column:
@@ -41,6 +42,9 @@ CASTS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+_BAD_RECORD, _FILE = "__bad_record", "__file"
+
+
 @dataclass(frozen=True)
 class ExtractSpec:
     """``fields``: ``(raw header, tidy name, cast)``, the cast being a key of ``CASTS``.
@@ -139,6 +143,9 @@ DIAGNOSIS = tidy_spec("diagnosis", pie_id="text", diag_type="text", diag_code="t
 MPP = tidy_spec("mpp", pie_id="text", mpp="text")
 PROCEDURES = tidy_spec("procedures", pie_id="text", proc_code="text")
 IDENTIFIERS = tidy_spec("identifiers", pie_id="text", fin="text")
+DEMOGRAPHICS = tidy_spec("demographics", pie_id="text", age="number", visit_type="text", facility="text", diagnosis="text")
+CCS_CROSSWALK = tidy_spec("ccs_crosswalk", ccs="text", icd9_code="text")
+DRUG_CLASS_MEMBERS = tidy_spec("drug_class_members", med_class="text", med_name="text")
 MEASURES = tidy_spec(
     "measures",
     pie_id="text", measure="text", measure_units="text", measure_datetime="datetime", measure_result="number",
@@ -149,24 +156,63 @@ def read_text_csv(spark: SparkSession, path: str | Sequence[str], schema: T.Stru
     """CSV files (plain or gzipped) with a header, every column as text.
 
     Values may hold line breaks and doubled quotes, so a file is read by one task: land large ones once as Parquet.
-    A row that does not fit the header ends the read with an error.
+    A row that does not fit the header ends the read with an error; :func:`load_extract` sets such rows aside instead.
     """
-    reader = spark.read.option("header", True).option("inferSchema", False).option("mode", "FAILFAST")
-    reader = reader.option("multiLine", True).option("quote", '"').option("escape", '"')
-    if names is not None:
-        reader = reader.option("pathGlobFilter", names)
+    reader = _csv_reader(spark, names).option("mode", "FAILFAST")
     if schema is not None:
         reader = reader.schema(schema).option("enforceSchema", False)
     return reader.csv(path if isinstance(path, str) else list(path))
 
 
+def _csv_reader(spark: SparkSession, names: str | None) -> DataFrameReader:
+    reader = spark.read.option("header", True).option("inferSchema", False)
+    reader = reader.option("multiLine", True).option("quote", '"').option("escape", '"')
+    return reader if names is None else reader.option("pathGlobFilter", names)
+
+
+def _extract_path(directory: str, spec: ExtractSpec, pattern: str | None) -> str:
+    return f"{directory.rstrip('/')}/{pattern or spec.prefix or spec.name}*"
+
+
 def read_extract(spark: SparkSession, directory: str, spec: ExtractSpec, pattern: str | None = None) -> DataFrame:
     """All files of one kind in a directory as one typed table.
 
     ``pattern`` overrides the spec's file name prefix when one layout serves several files.
     """
-    path = f"{directory.rstrip('/')}/{pattern or spec.prefix or spec.name}*"
-    return spec.project(read_text_csv(spark, path, spec.text_schema(), "*.csv*"))
+    return spec.project(read_text_csv(spark, _extract_path(directory, spec, pattern), spec.text_schema(), "*.csv*"))
+
+
+@dataclass(frozen=True)
+class Loaded:
+    """An extract after loading: its typed ``rows``, and the rows that do not fit its header as ``bad`` (file, record)."""
+
+    rows: DataFrame
+    bad: DataFrame
+
+    def bad_by_file(self) -> DataFrame:
+        """``file`` and ``n_bad`` of every file with a bad row."""
+        return self.bad.groupBy("file").agg(F.count(F.lit(1)).alias("n_bad"))
+
+
+def load_extract(spark: SparkSession, directory: str, spec: ExtractSpec, pattern: str | None = None) -> Loaded:
+    """All files of one kind, read once and written to the shared folder, with the rows that do not fit set aside.
+
+    A row with too few or too many values, or with a quote that never ends, is kept as it stands beside the file's name. So one bad row in
+    thousands of files neither ends the load nor gets lost. A file whose header differs from the first one's still ends it.
+    """
+    path = _extract_path(directory, spec, pattern)
+    schema = spec.text_schema() or _csv_reader(spark, "*.csv*").csv(path).schema
+    wide = T.StructType([*[T.StructField(f.name, T.StringType()) for f in schema], T.StructField(_BAD_RECORD, T.StringType())])
+    reader = _csv_reader(spark, "*.csv*").schema(wide).option("enforceSchema", False).option("mode", "PERMISSIVE")
+    raw = reader.option("columnNameOfCorruptRecord", _BAD_RECORD).csv(path)
+    parsed = raw.select(
+        F.col("_metadata.file_path").alias(_FILE), F.col(_BAD_RECORD),
+        *[F.col(f"`{f.name}`").alias(f"__{i}") for i, f in enumerate(schema)],
+    )
+    stored = materialize(parsed, spec.name)
+    good = stored.filter(F.col(_BAD_RECORD).isNull()).select(*[F.col(f"__{i}").alias(f.name) for i, f in enumerate(schema)])
+    bad = stored.filter(F.col(_BAD_RECORD).isNotNull()).select(F.col(_FILE).alias("file"), F.col(_BAD_RECORD).alias("record"))
+    return Loaded(spec.project(good), bad)
 
 
 def read_lookup(spark: SparkSession, path: str) -> DataFrame:
@@ -184,10 +230,25 @@ def land(df: DataFrame, path: str, partition_by: Sequence[str] = (), files_by: S
     writer.parquet(path)
 
 
+def land_table(df: DataFrame, name: str, key: str, directory: str, buckets: int | None = None, sort: Sequence[str] = ()) -> DataFrame:
+    """Write a table once, dealt into buckets by ``key`` and sorted by it (then by ``sort``), under a catalog name.
+
+    Tables landed on the same key with as many buckets (by default as there are shuffle partitions) meet in a join without a shuffle of
+    either. Rows are dealt by one shuffle, so a bucket is one file; a key with very many rows makes one large file, which scans still split.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key, *sort)
+    writer.option("path", f"{directory.rstrip('/')}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def use_or_load(spark: SparkSession, tables: Mapping[str, DataFrame], name: str, directory: str) -> DataFrame:
-    """The table if the caller already has it, else the saved Parquet table of that name."""
+    """The table if the caller already has it, else the landed table of that name, else the saved Parquet files."""
     if name in tables:
         return tables[name]
+    if spark.catalog.tableExists(name):
+        return spark.table(name)
     return spark.read.parquet(f"{directory.rstrip('/')}/{name}")
 
 
