@@ -74,7 +74,7 @@ def _find(codes: pd.DataFrame) -> pd.DataFrame:
 def _mark(owners: int):
     def mark(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
-            return pd.DataFrame({"__sender": [], "marks": []})
+            return pd.DataFrame({"__sender": [], "__marks": []})
         prints, where, counts = np.unique(rows["__print"].to_numpy(np.int64), return_inverse=True, return_counts=True)
         dup = counts > 1
         cuts = np.concatenate([[0], np.searchsorted(prints, _owner_bounds(owners)), [len(prints)]])
@@ -84,7 +84,7 @@ def _mark(owners: int):
         at = rows["__seq"].to_numpy(np.int64)[dup[where]]
         marks = np.zeros(int(rows["__seq"].max()) // 32 + 1, dtype=np.int64)
         np.bitwise_or.at(marks, at >> 5, np.int64(1) << (at & 31))
-        return pd.DataFrame({"__sender": [rows["__sender"].iloc[0]], "marks": [marks]})
+        return pd.DataFrame({"__sender": [rows["__sender"].iloc[0]], "__marks": [marks]})
 
     return mark
 
@@ -128,12 +128,12 @@ def with_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ow
     light = stored.select("__sender", "__seq", "__print")
     sent = light.groupBy("__sender").applyInPandas(_send(owners), "__sender int, owner int, code binary")
     answers = sent.groupBy("owner").applyInPandas(_find, "__sender int, owner int, found binary")
-    marks = light.groupBy("__sender").cogroup(answers.groupBy("__sender")).applyInPandas(_mark(owners), "__sender int, marks array<bigint>")
+    marks = light.groupBy("__sender").cogroup(answers.groupBy("__sender")).applyInPandas(_mark(owners), "__sender int, __marks array<bigint>")
 
     marked = stored.join(marks.hint("shuffle_hash"), "__sender")
-    word = F.get(F.col("marks"), F.shiftright("__seq", 5).cast("int"))
+    word = F.get(F.col("__marks"), F.shiftright("__seq", 5).cast("int"))
     place = F.col("__seq").bitwiseAND(F.lit(31)).cast("int")
-    marked = marked.withColumn("__suspect", F.getbit(word, place) == 1).drop("marks")
+    marked = marked.withColumn("__suspect", F.getbit(word, place) == 1).drop("__marks")
 
     single = marked.filter(~F.col("__suspect")).withColumns(
         {"keep_id": F.col(key), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)}

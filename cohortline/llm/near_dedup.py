@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.llm import shingles as sh
 from cohortline.llm.components import cluster
-from cohortline.llm.text import one_space, whole_text
+from cohortline.llm.text import map_rows, one_space, whole_text
 from cohortline.session import materialize
 
 SIMILARITY, ROWS, RECALL = 0.8, 4, 0.99999
@@ -74,13 +73,11 @@ def with_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
     bands = sh.tune_bands(similarity, RECALL, rows)
     body = F.trim(one_space(whole_text(text)))
     slim = docs.select(F.col(key).alias("key"), body.alias("body")).withColumn("digest", F.unhex(F.md5("body")))
-    key_type = docs.schema[key].dataType.simpleString()
 
-    def sign(batches):
-        for batch in batches:
-            yield batch[["key", "digest"]].assign(bands=signatures(batch["body"].tolist(), bands, rows))
+    def sign(columns):
+        yield None, {"bands": signatures(columns["body"].to_pylist(), bands, rows)}
 
-    signed = slim.mapInPandas(sign, f"key {key_type}, digest binary, bands array<bigint>").withColumn("row", F.monotonically_increasing_id())
+    signed = map_rows(slim, ["key", "digest"], sign, "bands array<bigint>").withColumn("row", F.monotonically_increasing_id())
     signed = materialize(signed, "signatures")
     items = signed.groupBy("digest").agg(F.min("row").alias("id"), F.first("bands").alias("bands"))
     items = materialize(items, "items")

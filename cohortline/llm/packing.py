@@ -8,13 +8,14 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.llm.text import whole_text
+from cohortline.llm.text import map_rows, whole_text
 from cohortline.session import materialize
 
 WINDOW = 2048
@@ -69,25 +70,25 @@ def pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
 
     Null text is empty and gives the end id alone. Every row of the input counts as a document of its own.
     """
-    key_type = docs.schema[key].dataType.simpleString()
 
-    def cut(batches):
+    def cut(columns):
         encode = encoder(vocabulary)
-        for batch in batches:
-            out = []
-            for id_, body in zip(batch["key"].tolist(), batch["text"].tolist()):
-                ids = np.frombuffer(array("I", encode(body) + [END_ID]), dtype="<u4")
-                for start in range(0, len(ids), window):
-                    part = ids[start : start + window]
-                    row = (id_, start, len(part), zlib.crc32(part.tobytes()), len(ids))
-                    out.append((*row, part.astype(np.int32)) if with_ids else row)
-            names = ["key", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
-            table = pd.DataFrame(out, columns=names)
-            table["key"] = table["key"].astype(batch["key"].dtype)
-            yield table
-
-    schema = f"key {key_type}, {PIECE}" + ", ids array<int>" * with_ids
-    return docs.select(F.col(key).alias("key"), whole_text(text).alias("text")).mapInPandas(cut, schema)
+        places, out = [], {c: [] for c in ("start", "length", "ids_crc32", "doc_tokens", "ids")}
+        for i, body in enumerate(columns["text"]):
+            ids = np.frombuffer(array("I", encode(body.as_py()) + [END_ID]), dtype="<u4")
+            for start in range(0, len(ids), window):
+                part = ids[start : start + window]
+                places.append(i)
+                out["start"].append(start)
+                out["length"].append(len(part))
+                out["ids_crc32"].append(zlib.crc32(part.tobytes()))
+                out["doc_tokens"].append(len(ids))
+                if with_ids:
+                    out["ids"].append(part.astype(np.int32))
+        yield places, out
+
+    rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
+    return map_rows(rows, ["key"], cut, PIECE + ", ids array<int>" * with_ids)
 
 
 class OpenWindows:
@@ -149,16 +150,18 @@ def pack(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
     cut = materialize(pieces(docs, vocabulary, key, text, window, with_ids).withColumn("piece", F.monotonically_increasing_id()), "pieces")
     shards = 1 + cut.count() // SHARD_PIECES
 
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "key", "start", "piece"], ascending=[False, True, True, True], kind="stable")
-        placed = best_fit_decreasing(rows["length"].tolist(), window)
-        rows["sequence_id"] = [(int(rows["shard"].iloc[0]) << 32) + name for name, _ in placed]
-        rows["offset"] = [offset for _, offset in placed]
-        return rows.drop(columns=["piece", "shard"])
+    def place(rows: pa.Table) -> pa.Table:
+        order = [("length", "descending"), *[(c, "ascending") for c in ("key", "start", "piece")]]
+        rows = rows.take(pc.sort_indices(rows, order, null_placement="at_end"))
+        placed = best_fit_decreasing(rows.column("length").to_pylist(), window)
+        shard = rows.column("shard")[0].as_py() << 32
+        rows = rows.drop_columns(["piece", "shard"])
+        rows = rows.append_column("sequence_id", pa.array([shard + name for name, _ in placed], pa.int64()))
+        return rows.append_column("offset", pa.array([offset for _, offset in placed], pa.int64()))
 
     dealt = cut.withColumn("shard", F.pmod(F.xxhash64("piece"), F.lit(shards)))
     out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name != "piece")
-    packed = dealt.groupBy("shard").applyInPandas(place, f"{out}, sequence_id bigint, offset bigint")
+    packed = dealt.groupBy("shard").applyInArrow(place, f"{out}, sequence_id bigint, offset bigint")
     return packed.withColumnRenamed("key", key)
 
 

@@ -6,11 +6,10 @@ import hashlib
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.llm.text import whole_text
+from cohortline.llm.text import map_rows, whole_text
 from cohortline.session import materialize
 
 # Kinds in the order used for ties, then the vocabulary of the labelers.
@@ -23,7 +22,8 @@ FOR_WORDS = ("call", "phone", "tel", "mobile", "fax", "mail", "email", "e-mail",
 AGAINST_WORDS = ("version", "v", "release", "chapter", "section", "figure", "build", "update", "isbn", "page")
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)?")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# Anchored before a digit run and without steps back, so that long runs cost no more than their length.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NAMED = re.compile(r"(?i)\b(" + "|".join(SECRET_NAMES) + r")\s*[=:]\s*[\"']?([^\s\"']{6,})")
@@ -120,12 +120,12 @@ def features(text: str, start: int, end: int, kind: str) -> list[int]:
 
 def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
     """One row per document with its candidate spans: start, end, kind, base, votes and features as one number each."""
-    key_type = docs.schema[key].dataType.simpleString()
 
-    def find(batches):
-        for batch in batches:
+    def find(columns):
+        texts = columns["text"]
+        for first in range(0, len(texts), 1024):
             rows = []
-            for body in batch["text"].tolist():
+            for body in texts[first : first + 1024].to_pylist():
                 spans = [(s, True) for s in base_spans(body)]
                 taken = [s for s, _ in spans]
                 spans += [(s, False) for s in extra_spans(body) if not any(a < s[1] and s[0] < b for a, b, _ in taken)]
@@ -139,10 +139,10 @@ def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
                         described = described * 8 + f
                     row.append({"start": start, "end": end, "kind": kind, "base": base, "vote": vote, "described": described})
                 rows.append(row)
-            yield batch[["key"]].assign(spans=rows)
+            yield range(first, first + len(rows)), {"spans": rows}
 
-    schema = f"key {key_type}, spans array<struct<start:int,end:int,kind:string,base:boolean,vote:int,described:int>>"
-    return docs.select(F.col(key).alias("key"), whole_text(text).alias("text")).mapInPandas(find, schema)
+    rows = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
+    return map_rows(rows, ["key"], find, "spans array<struct<start:int,end:int,kind:string,base:boolean,vote:int,described:int>>")
 
 
 def unpack(code: int, base: int, width: int) -> list[int]:
@@ -210,18 +210,16 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text",
         weight = fit_classifier(forms, by_form["positive"].to_numpy(), by_form["count"].to_numpy(float))
         chance = dict(zip(by_form.index.tolist(), (1 / (1 + np.exp(-one_hot(forms) @ weight))).tolist()))
 
-    def decide(batches):
-        for batch in batches:
-            rows = []
-            for spans in batch["spans"].tolist():
-                kept = [(s, 1.0 if s["base"] else chance[s["described"]]) for s in spans]
-                kept = [{**{k: s[k] for k in ("start", "end", "kind", "base")}, "chance": p} for s, p in kept if p >= least]
-                rows.append(sorted(kept, key=lambda s: (s["start"], KINDS.index(s["kind"]))))
-            yield batch[["key"]].assign(spans=rows)
-
-    key_type = docs.schema[key].dataType.simpleString()
-    out = "array<struct<start:int,end:int,kind:string,base:boolean,chance:double>>"
-    return found.mapInPandas(decide, f"key {key_type}, spans {out}").withColumnRenamed("key", key)
+    def decide(columns):
+        rows = []
+        for spans in columns["found"].to_pylist():
+            kept = [(s, 1.0 if s["base"] else chance[s["described"]]) for s in spans]
+            kept = [{**{k: s[k] for k in ("start", "end", "kind", "base")}, "chance": p} for s, p in kept if p >= least]
+            rows.append(sorted(kept, key=lambda s: (s["start"], KINDS.index(s["kind"]))))
+        yield None, {"spans": rows}
+
+    out = "spans array<struct<start:int,end:int,kind:string,base:boolean,chance:double>>"
+    return map_rows(found.withColumnRenamed("spans", "found"), ["key"], decide, out).withColumnRenamed("key", key)
 
 
 def digest_columns(found: DataFrame) -> DataFrame:

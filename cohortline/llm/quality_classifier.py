@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.llm.text import whole_text, word_array
+from cohortline.llm.text import map_rows, whole_text, word_array
 from cohortline.session import materialize
 
-FIT_ROWS, BINS, BLOCK_WORDS = 20_000, 12, 200
+FIT_ROWS, BINS, BLOCK_WORDS, PLACES = 20_000, 12, 200, 1_000_000
 SHAPE = ("letters", "capitals", "symbols", "marks", "digits", "stutter", "variety", "word_length", "line_words")
 
 
@@ -75,12 +74,18 @@ class ShapeModel:
 
 def fit_shape(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS, seed: int = 0) -> ShapeModel | None:
     """Fit on at most about ``fit_rows`` labelled rows (quality 0/1), chosen by a hash of the key; null if there are none."""
-    known = labels.filter("quality IS NOT NULL").select(F.col(key).alias("__key"), "quality").dropDuplicates(["__key"])
-    total = known.count()
-    limit = int(min(1.0, fit_rows / max(total, 1)) * 1_000_000)
-    chosen = known.filter(F.pmod(F.xxhash64("__key", F.lit(seed)), F.lit(1_000_000)) < limit)
-    joined = docs.select(key, text).join(chosen, F.col(key) == F.col("__key"))
-    rows = add_shape(joined, text).select("quality", *[f"s_{s}" for s in SHAPE]).toPandas()
+    known = labels.filter(F.col("quality").isNotNull() & F.col(key).isNotNull())
+    known = known.groupBy(F.col(key).alias("__key")).agg(F.min("quality").alias("quality"))
+    limit = int(min(1.0, fit_rows / max(known.count(), 1)) * PLACES)
+
+    def place(name: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(name).cast("string"), F.lit(seed)), F.lit(PLACES))
+
+    # The chosen labels are written first: their small size is known then, and they, not the documents, move in the join.
+    chosen = materialize(known.filter(place("__key") < limit), "sample")
+    inside = docs.select(F.col(key).alias("__doc"), F.col(text).alias("__body")).filter(place("__doc") < limit)
+    joined = inside.join(chosen, F.col("__doc") == F.col("__key"))
+    rows = add_shape(joined, "__body").select("quality", *[f"s_{s}" for s in SHAPE]).toPandas()
     if rows["quality"].nunique() < 2:
         return None
     return ShapeModel(rows[[f"s_{s}" for s in SHAPE]].to_numpy(float), rows["quality"].to_numpy(float))
@@ -114,19 +119,18 @@ def score_documents(docs: DataFrame, labels: DataFrame, host: Column, path: Colu
     """
     model = fit_shape(docs, labels, key, text)
     key_type = docs.schema[key].dataType.simpleString()
-    schema = f"key {key_type}, host string, path string, evidence double"
     if model is None:
         empty = docs.sparkSession.createDataFrame([], f"`{key}` {key_type}, host string, path string, p_document double, p_host double, p_path double, p_quality double, kept boolean")
         return empty
     names = [f"s_{s}" for s in SHAPE]
 
-    def weigh(batches):
-        for batch in batches:
-            yield batch[["key", "host", "path"]].assign(evidence=model.evidence(batch[names].to_numpy(float)))
+    def weigh(columns):
+        x = np.column_stack([columns[n].to_numpy(zero_copy_only=False) for n in names]).astype(float)
+        yield None, {"evidence": model.evidence(x)}
 
     shaped = add_shape(docs.select(F.col(key).alias("key"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), F.col(text).alias("text")))
     prior = float(np.log(model.prior / (1 - model.prior)))
-    rows = shaped.select("key", "host", "path", *names).mapInPandas(weigh, schema)
+    rows = map_rows(shaped.select("key", "host", "path", *names), ["key", "host", "path"], weigh, "evidence double")
     rows = materialize(rows.withColumn("p", 1 / (1 + F.exp(-(F.col("evidence") + prior)))), "evidence")
 
     sums = [F.count("*").alias("n"), F.sum("p").alias("p1"), F.sum(F.col("p") ** 2).alias("p2")]

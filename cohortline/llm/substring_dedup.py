@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortline.llm import shingles as sh
 from cohortline.llm.components import cluster
-from cohortline.llm.text import whole_text
+from cohortline.llm.text import map_rows, whole_text
 from cohortline.session import materialize
 
 MIN_WORDS, SIMILARITY, ROWS, RECALL = 20, 0.8, 4, 0.9999
@@ -108,25 +108,23 @@ def word_edges(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def paragraph_table(docs: DataFrame, bands: int, rows: int, min_words: int, key: str, text: str) -> DataFrame:
     """One row per document: ``key``, ``mark`` (hash of the text), ``n_paragraphs``, its long paragraphs with bands and its anchors."""
-    key_type = docs.schema[key].dataType.simpleString()
-
-    def split(batches):
-        for batch in batches:
-            texts = batch["text"].tolist()
-            for at, group in sh.batches(texts):
-                found = [(i, place, start, body) for i, t in enumerate(texts[at : at + len(group)]) for place, (start, body) in enumerate(_paragraphs(t))]
-                n_words, digests, keys = describe([f[3] for f in found], bands, rows, min_words)
-                parts = [[] for _ in group]
-                for (i, place, start, body), n, digest, k in zip(found, n_words.tolist(), digests.tolist(), keys):
-                    if n >= min_words:
-                        parts[i].append({"place": place, "start": start, "end": start + len(body), "digest": digest, "bands": k})
-                count = np.bincount([f[0] for f in found], minlength=len(group)) if found else np.zeros(len(group), int)
-                places, hashes = anchors(group, min_words)
-                yield batch[["key", "mark"]].iloc[at : at + len(group)].assign(n_paragraphs=count, parts=parts, places=places, anchors=hashes)
+
+    def split(columns):
+        texts = columns["text"].to_pylist()
+        for at, group in sh.batches(texts):
+            found = [(i, place, start, body) for i, t in enumerate(texts[at : at + len(group)]) for place, (start, body) in enumerate(_paragraphs(t))]
+            n_words, digests, keys = describe([f[3] for f in found], bands, rows, min_words)
+            parts = [[] for _ in group]
+            for (i, place, start, body), n, digest, k in zip(found, n_words.tolist(), digests.tolist(), keys):
+                if n >= min_words:
+                    parts[i].append({"place": place, "start": start, "end": start + len(body), "digest": digest, "bands": k})
+            count = np.bincount([f[0] for f in found], minlength=len(group)) if found else np.zeros(len(group), int)
+            places, hashes = anchors(group, min_words)
+            yield range(at, at + len(group)), {"n_paragraphs": count, "parts": parts, "places": places, "anchors": hashes}
 
     body = whole_text(text)
-    schema = f"key {key_type}, mark bigint, n_paragraphs bigint, parts array<struct<place:int,start:int,end:int,digest:bigint,bands:array<bigint>>>, places array<int>, anchors array<bigint>"
-    return docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("mark"), body.alias("text")).mapInPandas(split, schema)
+    made = "n_paragraphs bigint, parts array<struct<place:int,start:int,end:int,digest:bigint,bands:array<bigint>>>, places array<int>, anchors array<bigint>"
+    return map_rows(docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("mark"), body.alias("text")), ["key", "mark"], split, made)
 
 
 def line_spans(stored: DataFrame, slim: DataFrame, similarity: float) -> DataFrame:
@@ -168,7 +166,6 @@ def run_spans(stored: DataFrame, slim: DataFrame, lines: DataFrame, width: int)
     Equal runs have equal anchors, so only runs with an anchor that occurs twice are compared, by digest and with the
     first of their kind alone. Where a run overlaps the first one of its kind, that one's words stay.
     """
-    key_type = stored.schema["key"].dataType.simpleString()
     points = stored.select("key", "mark", F.explode(F.arrays_zip("places", "anchors")).alias("a")).select("key", "mark", F.col("a.places").alias("at"), F.col("a.anchors").alias("anchor"))
     repeated = materialize(stored.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().filter("count > 1").select("anchor"), "repeated")
     places = points.join(repeated, "anchor").groupBy("key", "mark").agg(F.collect_set("at").alias("places"))
@@ -177,34 +174,32 @@ def run_spans(stored: DataFrame, slim: DataFrame, lines: DataFrame, width: int)
     )
     asked = materialize(asked.select("p.key", "p.mark", "places", "lines"), "asked")
 
-    def compare(batches):
-        for batch in batches:
-            asked_of = list(zip(batch["places"], batch["lines"]))
-            for first, group in sh.batches(batch["text"].tolist()):
-                out = []
-                number, place, digest, at, _ = word_runs(group, width)
-                bounds = np.searchsorted(number, np.arange(len(group) + 1))
-                for i, text in enumerate(group):
-                    (places, spans), mine = asked_of[first + i], slice(bounds[i], bounds[i + 1])
-                    starts, ends = word_edges(text)
-                    gone = np.zeros(len(starts) + 1, dtype=np.int64)
-                    for span in spans if spans is not None else ():
-                        low, high = np.searchsorted(starts, [span["start"], span["end"]])
-                        gone[low + 1 : high + 1] = 1
-                    gone = np.cumsum(gone)
-                    p, wanted = place[mine], np.zeros(len(starts), dtype=bool)
-                    wanted[np.asarray(places, dtype=np.int64)] = True
-                    use = wanted[at[mine]] & (gone[p + width] == gone[p])
-                    p, after = p[use], np.append(starts, ends[-1:])
-                    out.append((np.full(len(p), first + i), p, starts[p], ends[p + width - 1], after[p + width], digest[mine][use]))
-                of, *columns = [np.concatenate(c) for c in zip(*out)]
-                found = dict(zip(["place", "start", "end", "next", "digest"], columns))
-                yield batch[["key", "mark"]].iloc[of].reset_index(drop=True).assign(**found)
+    def compare(columns):
+        asked_of = list(zip(columns["places"].to_pylist(), columns["lines"].to_pylist()))
+        for first, group in sh.batches(columns["text"].to_pylist()):
+            out = []
+            number, place, digest, at, _ = word_runs(group, width)
+            bounds = np.searchsorted(number, np.arange(len(group) + 1))
+            for i, text in enumerate(group):
+                (places, spans), mine = asked_of[first + i], slice(bounds[i], bounds[i + 1])
+                starts, ends = word_edges(text)
+                gone = np.zeros(len(starts) + 1, dtype=np.int64)
+                for span in spans if spans is not None else ():
+                    low, high = np.searchsorted(starts, [span["start"], span["end"]])
+                    gone[low + 1 : high + 1] = 1
+                gone = np.cumsum(gone)
+                p, wanted = place[mine], np.zeros(len(starts), dtype=bool)
+                wanted[np.asarray(places, dtype=np.int64)] = True
+                use = wanted[at[mine]] & (gone[p + width] == gone[p])
+                p, after = p[use], np.append(starts, ends[-1:])
+                out.append((np.full(len(p), first + i), p, starts[p], ends[p + width - 1], after[p + width], digest[mine][use]))
+            of, *found = [np.concatenate(c) for c in zip(*out)]
+            yield of, dict(zip(["place", "start", "end", "next", "digest"], found))
 
     same = F.col("s.key").eqNullSafe(F.col("q.key")) & (F.col("s.mark") == F.col("q.mark"))
     wanted = slim.alias("s").join(asked.alias("q"), same).select("s.key", "s.mark", "text", "places", "lines")
-    schema = f"key {key_type}, mark bigint, place int, start int, end int, next int, digest bigint"
-    runs = materialize(wanted.mapInPandas(compare, schema), "runs")
+    made = "place int, start int, end int, next int, digest bigint"
+    runs = materialize(map_rows(wanted, ["key", "mark"], compare, made), "runs")
     where = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), "mark", "place", "next")
     first = runs.groupBy("digest").agg(F.min(where).alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
     own = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("mark") == F.col("first.mark"))

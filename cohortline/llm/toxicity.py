@@ -7,15 +7,16 @@ import sys
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.llm.text import whole_text
+from cohortline.llm.text import map_rows, whole_text
+from cohortline.session import materialize
 
 FIT_ROWS, FEATURES, MIN_DOCS = 2000, 1024, 5
 PREFIXES = (4, 5)
 SCALE = 50.0
+PLACES = 1_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -112,21 +113,29 @@ def fit(rows: list[tuple[list[str], int]], features: int = FEATURES, rounds: int
 def labelled_sample(docs: DataFrame, labels: DataFrame, grade: str, key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS, seed: int = 0) -> list[tuple[list[str], int]]:
     """At most about ``fit_rows`` labelled rows of each grade, chosen by a hash of the key: (words, grade).
 
-    The bound holds for every size of the tables, so the fit on the driver has a fixed size. Null grades are left out.
+    The bound holds for every size of the tables, so the fit on the driver has a fixed size. Null grades and keys are left out; of several
+    grades of one key the highest counts. The chosen labels are written first, so that their small size is known and they,
+    not the documents, move in the join; documents outside the sample's range of hashes are not read into it.
     """
-    known = labels.filter(F.col(grade).isNotNull()).select(F.col(key).alias("__key"), F.col(grade).cast("int").alias("grade")).dropDuplicates(["__key"])
-    sizes = known.groupBy("grade").count().collect()
-    place = F.pmod(F.xxhash64("__key", F.lit(seed)), F.lit(1_000_000))
+    known = labels.filter(F.col(grade).isNotNull() & F.col(key).isNotNull())
+    known = known.groupBy(F.col(key).alias("__key")).agg(F.max(F.col(grade).cast("int")).alias("__grade"))
+
+    def place(name: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(name).cast("string"), F.lit(seed)), F.lit(PLACES))
+
+    limits = {r["__grade"]: int(min(1.0, fit_rows / r["count"]) * PLACES) for r in known.groupBy("__grade").count().collect()}
     chosen = F.lit(False)
-    for row in sizes:
-        chosen = chosen | ((F.col("grade") == row["grade"]) & (place < int(min(1.0, fit_rows / row["count"]) * 1_000_000)))
-    joined = docs.join(known.filter(chosen), docs[key] == F.col("__key")).select("grade", "__key", whole_text(text).alias("text"))
-    return [([sys.intern(w) for w in words_of(r["text"])], r["grade"]) for r in sorted(joined.collect(), key=lambda r: r["__key"])]
+    for level, limit in limits.items():
+        chosen = chosen | ((F.col("__grade") == level) & (place("__key") < limit))
+    sample = materialize(known.filter(chosen), "sample")
+    rows = docs.select(F.col(key).alias("__doc"), whole_text(text).alias("__text")).filter(place("__doc") < max(limits.values(), default=0))
+    joined = rows.join(sample, F.col("__doc") == F.col("__key")).select("__grade", "__key", "__text")
+    return [([sys.intern(w) for w in words_of(r["__text"])], r["__grade"]) for r in sorted(joined.collect(), key=lambda r: (r["__key"], r["__text"]))]
 
 
 def graded(rows: list[tuple[list[str], int]], levels: int = 3) -> list[tuple[list[str], int]]:
     """Ordered grades for rows that only say toxic or not: toxic ones are cut into ``levels`` equal parts by the share of
-    their words with a form that is typical of toxic rows (in 2 % of them, and at least 50 times as likely as in others)."""
+    their words with a form that is typical of toxic rows (in 2 % of them, and at least five times as likely as in others)."""
     toxic = [set(f for w in found for f in forms(w)) for found, g in rows if g]
     clean = [set(f for w in found for f in forms(w)) for found, g in rows if not g]
     counts: dict[str, list[int]] = {}
@@ -134,7 +143,7 @@ def graded(rows: list[tuple[list[str], int]], levels: int = 3) -> list[tuple[lis
         for found in group:
             for form in found:
                 counts.setdefault(form, [0, 0])[side] += 1
-    typical = {f for f, (a, b) in counts.items() if b >= 0.02 * len(toxic) and b * max(len(clean), 1) >= 50 * max(a, 1) * max(len(toxic), 1) / 10}
+    typical = {f for f, (a, b) in counts.items() if b >= 0.02 * len(toxic) and b * max(len(clean), 1) >= 5 * max(a, 1) * max(len(toxic), 1)}
 
     def share(found):
         return sum(any(f in typical for f in forms(w)) for w in found) / max(len(found), 1)
@@ -149,20 +158,22 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     Whole texts are read; null is empty. A text without known features gets the grade of the cuts alone. Equal rows give equal
     results. An empty table gives an empty result.
     """
-    key_type = docs.schema[key].dataType.simpleString()
 
-    def score(batches):
-        for batch in batches:
-            above = model.above(np.array([model.score(t) for t in batch["text"].tolist()]).reshape(-1))
-            chance = np.concatenate([np.ones((len(above), 1)), above], axis=1) - np.concatenate([above, np.zeros((len(above), 1))], axis=1)
-            yield batch[["key"]].assign(severity=above.sum(axis=1), grade=chance.argmax(axis=1), toxic=above[:, 0] >= least)
+    def score(columns):
+        above = model.above(np.array([model.score(t.as_py()) for t in columns["text"]]).reshape(-1))
+        chance = np.concatenate([np.ones((len(above), 1)), above], axis=1) - np.concatenate([above, np.zeros((len(above), 1))], axis=1)
+        yield None, {"severity": above.sum(axis=1), "grade": chance.argmax(axis=1), "toxic": above[:, 0] >= least}
 
     slim = docs.select(F.col(key).alias("key"), whole_text(text).alias("text"))
-    return slim.mapInPandas(score, f"key {key_type}, severity double, grade int, toxic boolean").withColumnRenamed("key", key)
+    return map_rows(slim, ["key"], score, "severity double, grade int, toxic boolean").withColumnRenamed("key", key)
 
 
 def grade_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", fit_rows: int = FIT_ROWS, seed: int = 0) -> DataFrame:
-    """Fit on ``labels`` (key, toxic 0/1) and grade all of ``docs``; without labels the result is empty but for its columns."""
+    """Fit on ``labels`` (key, toxic 0/1) and grade all of ``docs`` as :func:`predict` does; without labels of both kinds the result is empty.
+
+    Labels without a document, null labels and null keys play no part; of several labels of one key toxic counts. Rows of ``docs`` that repeat
+    a key are graded each by its own text. Null text is empty; an empty table gives an empty result. Other columns play no part.
+    """
     rows = graded(labelled_sample(docs, labels, "toxic", key, text, fit_rows, seed))
     if not any(g for _, g in rows) or all(g for _, g in rows):
         return predict(docs.limit(0), Model({}, np.zeros(0), np.zeros(1)), key, text)
