@@ -10,10 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortline.operators import codes
+from cohortline.operators import codes, joins
 from cohortline.plans import fixed_values as fv
-from cohortline.plans import study
+from cohortline.plans import study, study_files
 from cohortline.queries.registry import Tables, query, rounded
+from cohortline.queries.statistics import chi_squared_sql, chosen_tests_sql
+from cohortline.session import new_folder
+from cohortline.sources.extracts import read_text_csv
 
 CROSSWALK = (
     ("177", "630.1"), ("6", "070.1"), ("6", "070.2"), ("98", "401.9"), ("49", "250.0"), ("157", "584.9"), ("127", "491.2"),
@@ -363,26 +366,30 @@ HISTORY = {
 }
 
 
-@query("study_history", f"""
-WITH {EXTRACTS_SQL},
-final AS (SELECT pie_id, code FROM dx WHERE diag_type = 'Final')
-SELECT c.pie_id, {", ".join(f"coalesce(bool_or(code = '{code}'), false) AS {state}" for state, code in HISTORY.items())}
-FROM cohort c LEFT JOIN final f ON c.pie_id = f.pie_id GROUP BY c.pie_id
-""")
+HISTORY_SQL = f"""
+final AS (SELECT pie_id, code FROM dx WHERE diag_type = 'Final'),
+history AS (
+  SELECT c.pie_id, {", ".join(f"coalesce(bool_or(code = '{code}'), false) AS {state}" for state, code in HISTORY.items())}
+  FROM cohort c LEFT JOIN final f ON c.pie_id = f.pie_id GROUP BY c.pie_id)
+"""
+HOME_SQL = f"""
+h AS (SELECT o_custkey::VARCHAR AS pie_id, lower({HOME}) AS med FROM orders),
+home AS (
+  SELECT c.pie_id, coalesce(bool_or(med IN ('lorazepam', 'clonazepam')), false) AS benzodiazepines,
+    coalesce(bool_or(med = 'oxycodone'), false) AS narcotic_analgesics, coalesce(bool_or(med = 'sertraline'), false) AS antidepressants,
+    coalesce(bool_or(med = 'haloperidol'), false) AS antipsychotics, coalesce(bool_or(med = 'phenytoin'), false) AS anticonvulsants,
+    coalesce(bool_or(med = 'gabapentin'), false) AS gamma_aminobutyric_acid_analogs
+  FROM cohort c LEFT JOIN h ON c.pie_id = h.pie_id GROUP BY c.pie_id)
+"""
+
+
+@query("study_history", f"WITH {EXTRACTS_SQL}, {HISTORY_SQL} SELECT * FROM history")
 def study_history(t: Tables):
     tables, chosen = _study(t)
     return study.history(tables, chosen.keys)
 
 
-@query("study_home_meds", f"""
-WITH {EXTRACTS_SQL},
-h AS (SELECT o_custkey::VARCHAR AS pie_id, lower({HOME}) AS med FROM orders)
-SELECT c.pie_id, coalesce(bool_or(med IN ('lorazepam', 'clonazepam')), false) AS benzodiazepines,
-  coalesce(bool_or(med = 'oxycodone'), false) AS narcotic_analgesics, coalesce(bool_or(med = 'sertraline'), false) AS antidepressants,
-  coalesce(bool_or(med = 'haloperidol'), false) AS antipsychotics, coalesce(bool_or(med = 'phenytoin'), false) AS anticonvulsants,
-  coalesce(bool_or(med = 'gabapentin'), false) AS gamma_aminobutyric_acid_analogs
-FROM cohort c LEFT JOIN h ON c.pie_id = h.pie_id GROUP BY c.pie_id
-""")
+@query("study_home_meds", f"WITH {EXTRACTS_SQL}, {HOME_SQL} SELECT * FROM home")
 def study_home_meds(t: Tables):
     tables, chosen = _study(t)
     return study.home_meds(tables, chosen.keys)
@@ -438,42 +445,135 @@ def study_assessments(t: Tables):
     return study.assessments(tables, chosen.span)
 
 
+SHEET_SQL = f"""
+a AS (SELECT pie_id, c_mktsegment, {ANSWER} AS answer FROM pat WHERE NOT c_acctbal BETWEEN 5000 AND 5500),
+sheet AS (
+  SELECT pie_id, CASE trim(lower(answer)) WHEN 'yes' THEN true WHEN 'no' THEN false END AS alcohol_use,
+    1.5::DOUBLE AS num_packs_day, CASE trim(lower(answer)) WHEN 'yes' THEN true WHEN 'no' THEN false END AS organ_insuff,
+    CASE WHEN c_mktsegment = 'FURNITURE' THEN 'hiv' END AS organ_insuff_type, lower(c_mktsegment) AS diagnosis_categories
+  FROM a)
+"""
+MEMBERS_SQL = f"""
+members AS (SELECT d.pie_id, CASE WHEN bzd THEN '{fv.GROUP_LABELS[0]}' ELSE '{fv.GROUP_LABELS[1]}' END AS "group" FROM demographics d JOIN review r ON d.pie_id = r.pie_id)
+"""
+ANALYSIS = ("demographics", "pmh", "home_meds", "apache", "sedatives")
+
+
+def _analysis(t: Tables) -> dict[str, DataFrame]:
+    tables, found = _features(t)
+    return study.review_tables(study.clean_review(tables["manual_review"], tables["identifiers"]), found)
+
+
 @query("study_review", f"""
-WITH {EXTRACTS_SQL}
-SELECT d.pie_id, CASE WHEN bzd THEN 'BZD' ELSE 'No BZD' END AS "group", med, round(time_wt_avg_rate, 3) AS time_wt_avg_rate,
+WITH {EXTRACTS_SQL}, {MEMBERS_SQL}
+SELECT pie_id, "group", med, round(time_wt_avg_rate, 3) AS time_wt_avg_rate,
   round(total_cont_dose, 3) AS total_cont_dose, round(total_bolus_dose, 3) AS total_bolus_dose, round(total_dose, 3) AS total_dose
-FROM demographics d JOIN review r ON d.pie_id = r.pie_id JOIN given g ON g.pie_id = d.pie_id
+FROM members JOIN given USING (pie_id)
 """)
 def study_review(t: Tables):
-    tables, found = _features(t)
-    review = study.clean_review(tables["manual_review"], tables["identifiers"])
-    return rounded(study.review_tables(review, found)["sedatives"], 3, *SEDATIVE_NUMBERS[2:])
+    return rounded(_analysis(t)["sedatives"], 3, *SEDATIVE_NUMBERS[2:])
 
 
-@query("study_review_sheet", f"""
-WITH {EXTRACTS_SQL},
-a AS (SELECT pie_id, c_mktsegment, {ANSWER} AS answer FROM pat WHERE NOT c_acctbal BETWEEN 5000 AND 5500)
-SELECT pie_id, CASE trim(lower(answer)) WHEN 'yes' THEN true WHEN 'no' THEN false END AS alcohol_use,
-  1.5::DOUBLE AS num_packs_day, CASE trim(lower(answer)) WHEN 'yes' THEN true WHEN 'no' THEN false END AS organ_insuff,
-  CASE WHEN c_mktsegment = 'FURNITURE' THEN 'hiv' END AS organ_insuff_type, lower(c_mktsegment) AS diagnosis_categories
-FROM a
+@query("study_review_demographics", f"""
+WITH {EXTRACTS_SQL}, {SHEET_SQL}, {MEMBERS_SQL}
+SELECT pie_id, "group", age, diagnosis, round(unit_length_stay, 5) AS unit_length_stay, round(vent_duration, 5) AS vent_duration,
+       weight, height, ast, alt, cam_icu_pos, diagnosis_categories
+FROM members JOIN demographics USING (pie_id) JOIN sheet USING (pie_id)
+""")
+def study_review_demographics(t: Tables):
+    return rounded(_analysis(t)["demographics"], 5, "unit_length_stay", "vent_duration")
+
+
+@query("study_review_pmh", f"""
+WITH {EXTRACTS_SQL}, {SHEET_SQL}, {MEMBERS_SQL}, {HISTORY_SQL}
+SELECT pie_id, "group", history.* EXCLUDE (pie_id), alcohol_use, num_packs_day
+FROM members JOIN history USING (pie_id) JOIN sheet USING (pie_id)
+""")
+def study_review_pmh(t: Tables):
+    return _analysis(t)["pmh"]
+
+
+@query("study_review_home_meds", f"""
+WITH {EXTRACTS_SQL}, {MEMBERS_SQL}, {HOME_SQL} SELECT pie_id, "group", home.* EXCLUDE (pie_id) FROM members JOIN home USING (pie_id)
+""")
+def study_review_home_meds(t: Tables):
+    return _analysis(t)["home_meds"]
+
+
+@query("study_review_apache", f"""
+WITH {EXTRACTS_SQL}, {SHEET_SQL}, {MEMBERS_SQL}, {SEVERITY_SQL}
+SELECT pie_id, "group", severity.* EXCLUDE (pie_id), organ_insuff, organ_insuff_type
+FROM members JOIN severity USING (pie_id) JOIN sheet USING (pie_id)
 """)
+def study_review_apache(t: Tables):
+    return _analysis(t)["apache"]
+
+
+@query("study_exports", f"""
+WITH {EXTRACTS_SQL}, {MEMBERS_SQL}, {SEVERITY_SQL}
+SELECT 'demographics' AS name, count(*) AS n_rows, count(DISTINCT pie_id) AS n_patients FROM members
+UNION ALL SELECT 'pmh', count(*), count(DISTINCT pie_id) FROM members
+UNION ALL SELECT 'home_meds', count(*), count(DISTINCT pie_id) FROM members
+UNION ALL SELECT 'apache', count(*), count(DISTINCT pie_id) FROM members JOIN severity USING (pie_id)
+UNION ALL SELECT 'sedatives', count(*), count(DISTINCT pie_id) FROM members JOIN given USING (pie_id)
+""")
+def study_exports(t: Tables):
+    """The five analysis tables written as CSV files and read back."""
+    paths = study_files.write_analysis_tables(_analysis(t), new_folder(t.spark, "exports"))
+    counts = [F.count(F.lit(1)).alias("n_rows"), F.count_distinct("pie_id").alias("n_patients")]
+    return joins.union_all(*[read_text_csv(t.spark, path).agg(F.lit(name).alias("name"), *counts) for name, path in paths.items()])
+
+
+@query("study_review_sheet", f"WITH {EXTRACTS_SQL}, {SHEET_SQL} SELECT * FROM sheet")
 def study_review_sheet(t: Tables):
     tables = extracts(t)
     return study.clean_review(tables["manual_review"], tables["identifiers"])
 
 
-@query("study_report")
-def study_report(t: Tables):
-    tables, found = _features(t)
-    review = study.clean_review(tables["manual_review"], tables["identifiers"])
-    report = study.report_tables({"demographics": study.review_tables(review, found)["demographics"]})["demographics"]
-    return rounded(report, 6, "pct", "mean", "sd", "statistic", "p")
+REPORT_NUMBERS = ("age", "unit_length_stay", "vent_duration", "weight", "height")
+REPORT_LEVELS = ("ast", "alt", "cam_icu_pos", "diagnosis_categories")
+REPORT_DOSES = ("time_wt_avg_rate", "total_cont_dose", "total_bolus_dose", "total_dose")
+
+
+def _label(side: str) -> str:
+    return f"CASE {side} WHEN 'a' THEN '{fv.GROUP_LABELS[0]}' ELSE '{fv.GROUP_LABELS[1]}' END"
+
+
+def _stacked(columns: tuple[str, ...], source: str, key: str, value: str) -> str:
+    return " UNION ALL ".join(f"SELECT {key.format(c)} AS k, side, {c}::{value[1]} AS {value[0]} FROM {source}" for c in columns)
+
 
+def _report_rows(report: DataFrame) -> DataFrame:
+    return rounded(rounded(report, 4, "pct", "mean", "sd", "statistic"), 6, "p")
 
-@query("study_report_sedatives")
+
+@query("study_report", f"""
+WITH {EXTRACTS_SQL}, {SHEET_SQL}, {MEMBERS_SQL},
+reported AS (
+  SELECT d.*, diagnosis_categories, CASE WHEN bzd THEN 'a' ELSE 'b' END AS side FROM demographics d JOIN members USING (pie_id) JOIN sheet USING (pie_id)),
+numbers AS ({_stacked(REPORT_NUMBERS, "reported", "'{}'", ("v", "DOUBLE"))}),
+levels AS ({_stacked(REPORT_LEVELS, "reported", "'{}'", ("level", "VARCHAR"))}),
+{chosen_tests_sql("numbers")}, {chi_squared_sql("levels")},
+counted AS (SELECT k, level, side, count(*) AS n, sum(count(*)) OVER (PARTITION BY k, side) AS whole FROM levels WHERE level IS NOT NULL GROUP BY k, level, side)
+SELECT k AS variable, NULL::VARCHAR AS level, {_label("side")} AS stratum, count(v) AS n, NULL::DOUBLE AS pct, round(avg(v), 4) AS mean,
+  round(stddev_samp(v), 4) AS sd, any_value(test) AS test, round(any_value(statistic), 4) AS statistic, round(any_value(p), 6) AS p
+FROM numbers JOIN chosen USING (k) WHERE v IS NOT NULL GROUP BY k, side
+UNION ALL
+SELECT k, level, {_label("side")}, n, round(100.0 * n / whole, 4), NULL, NULL, test, round(statistic, 4), round(p, 6) FROM counted JOIN chi USING (k)
+""")
+def study_report(t: Tables):
+    return _report_rows(study.report_tables({"demographics": _analysis(t)["demographics"]})["demographics"])
+
+
+@query("study_report_sedatives", f"""
+WITH {EXTRACTS_SQL}, {MEMBERS_SQL},
+reported AS (SELECT g.*, CASE "group" WHEN '{fv.GROUP_LABELS[0]}' THEN 'a' ELSE 'b' END AS side FROM given g JOIN members USING (pie_id)),
+numbers AS ({_stacked(REPORT_DOSES, "reported", "med || '/{}'", ("v", "DOUBLE"))}),
+{chosen_tests_sql("numbers")}
+SELECT split_part(k, '/', 1) AS med, split_part(k, '/', 2) AS variable, NULL::VARCHAR AS level, {_label("side")} AS stratum, count(v) AS n,
+  NULL::DOUBLE AS pct, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS sd, any_value(test) AS test,
+  round(any_value(statistic), 4) AS statistic, round(any_value(p), 6) AS p
+FROM numbers JOIN chosen USING (k) WHERE v IS NOT NULL GROUP BY k, side
+""")
 def study_report_sedatives(t: Tables):
-    tables, found = _features(t)
-    review = study.clean_review(tables["manual_review"], tables["identifiers"])
-    report = study.report_tables({"sedatives": study.review_tables(review, found)["sedatives"]})["sedatives"]
-    return rounded(report, 6, "pct", "mean", "sd", "statistic", "p")
+    return _report_rows(study.report_tables({"sedatives": _analysis(t)["sedatives"]})["sedatives"])

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from cohortline.queries import clinical
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -37,6 +38,21 @@ def connections():
     return get
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_study():
+    """The study's steps are taken once per directory, not once per query that reads them."""
+    patch, kept = pytest.MonkeyPatch(), {}
+    for step in ("_study", "_features"):
+        def once(t, step=step, build=getattr(clinical, step)):
+            if (step, t.directory) not in kept:
+                kept[step, t.directory] = build(t)
+            return kept[step, t.directory]
+
+        patch.setattr(clinical, step, once)
+    yield
+    patch.undo()
+
+
 def plain(v):
     if isinstance(v, float) and math.isnan(v):
         return None

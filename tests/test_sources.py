@@ -118,3 +118,66 @@ def test_dates(frame):
 def test_fixed_value_sizes():
     assert len(fv.EXCLUSION_CODES) == 29 and len(fv.HISTORY_CODES) == 20 and len(fv.HOME_MED_TIERS) == 7
     assert set(fv.HISTORY_STATES) == {state for state, _, _ in fv.HISTORY_CODES}
+
+
+def test_bad_rows_are_set_aside_by_file(spark, tmp_path):
+    head = "PowerInsight Encounter Id,Clinical Event,Clinical Event End Date/Time,Infusion Rate,Infusion Rate Unit,Event ID\n"
+    (tmp_path / "cont_meds_1.csv").write_text(head + '1,"A ""b"",\nc",1/2/2015 3:04:05,1,mg/hr,7\n2,short,1/2/2015 3:04:05\n3,x,1/2/2015 3:04:05,1,mg/hr,8,more\n')
+    with gzip.open(tmp_path / "cont_meds_2.csv.gz", "wt") as f:
+        f.write(head + "4,Fentanyl,1/2/2015 3:04:05,2,,9\n5,short\n")
+    loaded = ex.load_extract(spark, str(tmp_path), ex.MEDS_CONT)
+    assert rows(loaded.rows, "pie_id", "med", "rate", "event_id") == [("1", 'a "b",\nc', 1.0, "7"), ("4", "fentanyl", 2.0, "9")]
+    assert {r["record"] for r in loaded.bad.collect()} == {"2,short,1/2/2015 3:04:05", "3,x,1/2/2015 3:04:05,1,mg/hr,8,more", "5,short"}
+    counts = {r["file"].rsplit("/", 1)[1]: r["n_bad"] for r in loaded.bad_by_file().collect()}
+    assert counts == {"cont_meds_1.csv": 2, "cont_meds_2.csv.gz": 1}
+    (tmp_path / "cont_meds_3.csv").write_text("Event ID,Other\n1,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        ex.load_extract(spark, str(tmp_path), ex.MEDS_CONT)
+
+
+def test_landed_tables_join_without_a_shuffle(spark, frame, tmp_path):
+    people = frame([(k % 50, f"p{k}") for k in range(200)], "pie_id int, name string")
+    stays = frame([(k % 70, k) for k in range(300)], "pie_id int, stay int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ex.land_table(people, "landed_people", "pie_id", str(tmp_path))
+        ex.land_table(stays, "landed_stays", "pie_id", str(tmp_path), sort=["stay"])
+        tables = [ex.use_or_load(spark, {}, name, "/nowhere") for name in ("landed_people", "landed_stays")]
+        joined = tables[0].join(tables[1], "pie_id")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == people.join(stays, "pie_id").count()
+        assert "Exchange" not in tables[0].groupBy("pie_id").count()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE IF EXISTS landed_people")
+        spark.sql("DROP TABLE IF EXISTS landed_stays")
+
+
+def test_study_from_files_to_files(spark, frame, tmp_path):
+    from cohortline.plans import study_files
+
+    for name, (spec, prefix) in study_files.STUDY_FILES.items():
+        header = ",".join(f'"{raw}"' for raw, _, _ in spec.fields)
+        file = prefix or {"labs": "labs2015", "meds_cont": "cont_meds", "meds_bolus": "bolus_meds"}.get(name, name)
+        (tmp_path / f"{file}.csv").write_text(header + "\n" + ",".join("1" for _ in spec.fields) + "\nbad" + ",x" * len(spec.fields) + "\n")
+    (tmp_path / "manual_review.csv").write_text("FIN,Exclude,Number of Packs/day\n1,,2\n")
+    loaded = study_files.load_study(spark, str(tmp_path))
+    assert {name: df.count() for name, df in loaded.tables.items()} == {**{name: 1 for name in study_files.STUDY_FILES}, "manual_review": 1}
+    assert loaded.tables["manual_review"].columns == ["fin", "exclude", "number_of_packs_day"]
+    assert {r["extract"] for r in loaded.bad.collect()} == set(study_files.STUDY_FILES)
+    paths = study_files.write_analysis_tables({"pmh": loaded.tables["mpp"]}, str(tmp_path / "out"))
+    assert ex.read_text_csv(spark, paths["pmh"]).count() == 1
+
+
+def test_intermediate_folders_go_although_the_session_has_stopped(tmp_path):
+    import subprocess
+    import sys
+
+    code = (
+        "from cohortline.session import local_session, materialize\n"
+        f"spark = local_session('gone', '2', **{{'spark.checkpoint.dir': 'file://{tmp_path}/shared'}})\n"
+        "materialize(spark.range(5), 'x').count()\nspark.stop()\n"
+    )
+    subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, timeout=300)
+    assert not list((tmp_path / "shared").rglob("*.parquet"))
