@@ -116,4 +116,7 @@ CORPUS_SQL = {
     "op3_exact_dedup": sql.EXACT_DEDUP,
     "op6_quality_rules": sql.QUALITY_RULES,
     "op8_warc": sql.WARC,
+    "op11_suffix_dedup": sql.SUFFIX_DEDUP,
+    "op12_conversations": sql.CONVERSATIONS,
+    "op13_importance": sql.IMPORTANCE,
 }
