@@ -41,6 +41,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 Elements = tuple[np.ndarray, np.ndarray]
+MAP_BITS = 512
 
 
 def cluster(
@@ -49,24 +50,30 @@ def cluster(
     describe: Callable[[list[str]], list[Elements]],
     close: Callable[[Elements, Elements], bool],
     similarity: float,
-    block: int = 8,
 ) -> DataFrame:
     """``id`` and ``component`` of the items of ``items`` (id, bands) that are linked to another one.
 
-    Items that share a bucket are candidates. All pairs of a bucket would grow with its square, so each member is
-    compared with one leader, then in buckets that still hold two components with ``block`` more. What is left are
-    buckets of unlike items, such as texts around one common passage. Their items are compared exactly by prefixes:
-    take each item's elements from the rarest on. With shares a and b of two items from their first common element on,
-    neither kind of similarity exceeds 1 / (1/a + 1/b - 1), so only items of different components with a common element
-    at which this still reaches ``similarity`` are compared. No link between candidates is lost.
+    Items that share a bucket are candidates. All pairs of a bucket would grow with its square, so each member is first
+    compared with one leader: the one that meets most items in all its buckets, most likely what the others are copies of. What is
+    left are buckets that still hold several components, such as texts around one common passage, or copies too far
+    from each other. Their items are compared exactly by prefixes: take each item's elements from the rarest on. With shares a and b
+    of two items from their first common element on, neither kind of similarity exceeds 1 / (1/a + 1/b - 1), so only items of
+    different components with a common element at which this still reaches ``similarity`` meet. Of those without repeated elements, the
+    parities of the elements' numbers in 512 hash classes give a second bound: with d classes that differ, of n
+    elements in both together, the Jaccard similarity is at most (n - d) / (n + d). No link between candidates is lost.
 
     An id may come more than once, with the same bands. ``fetch`` gives (id, body) for a table of ids, ``describe`` the
     ascending element hashes and weights of each body, and ``close`` decides a pair, by a similarity that
     keeps this bound for numbers or weights of elements, as Jaccard and probability Jaccard similarity do.
     """
-    rows = items.select("id", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("other")).filter("leader != other")
-    members = materialize(rows.join(shared, "bucket").select("bucket", "id", "leader").distinct(), "members")
+    rows = items.select("id", F.explode("bands").alias("bucket")).distinct()
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    met = materialize(rows.join(shared, "bucket"), "met")
+    known = met.groupBy("id").agg(F.sum("n").alias("known"))
+    members = materialize(met.select("bucket", "id").join(known, "id"), "members")
+    # An item that meets many others is most likely what they are copies of.
+    leader = F.max_by("id", F.struct("known", -F.col("id"))).alias("leader")
+    led = members.join(members.groupBy("bucket").agg(leader), "bucket")
     bodies = materialize(fetch(members.select("id").distinct()), "bodies")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,6 +93,16 @@ def cluster(
                 weight = np.concatenate([np.asarray(w, float) for _, w in known])
                 yield batch[["id", "component"]].iloc[again].assign(element=element, weight=weight)
 
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            maps, sizes, flat = [], [], []
+            for element, weight in describe(batch["body"].tolist()):
+                bits = np.bincount((element % np.uint64(MAP_BITS)).astype(np.int64), minlength=MAP_BITS) & 1
+                maps.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
+                sizes.append(len(element))
+                flat.append(bool((np.asarray(weight) == 1).all()))
+            yield batch[["id"]].assign(size=sizes, flat=flat, map=maps)
+
     def verified(pairs: DataFrame) -> DataFrame:
         left = bodies.select(F.col("id").alias("a"), F.col("body").alias("body_a"))
         right = bodies.select(F.col("id").alias("b"), F.col("body").alias("body_b"))
@@ -97,31 +114,20 @@ def cluster(
 
     def unsettled(members: DataFrame, parts: DataFrame, compared: int) -> DataFrame:
         """The members, with components, of buckets of several components with members that were not compared."""
-        placed = members.select("bucket", "id").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        placed = members.select("bucket", "id", "known").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
         open_ = mixed.filter((F.col("low") < F.col("high")) & (F.col("n") > compared + 1)).select("bucket")
         return materialize(placed.join(open_, "bucket", "left_semi"), "unsettled")
 
-    tested = materialize(members.filter("id != leader").select(*ordered("id", "leader")).distinct(), "pairs")
+    tested = materialize(led.filter("id != leader").select(*ordered("id", "leader")).distinct(), "pairs")
     links = verified(tested)
     parts = connected_components(links)
 
     left = unsettled(members, parts, 1)
-    if left.isEmpty():
-        return parts
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("id"), "id"))
-    leaders = left.withColumn("rank", rank).filter(F.col("rank") <= block).select("bucket", F.col("id").alias("lead"), F.col("component").alias("lead_component"))
-    fresh = left.join(leaders, "bucket").filter("component != lead_component").select(*ordered("id", "lead")).distinct()
-    fresh = materialize(fresh.join(tested, ["a", "b"], "left_anti"), "pairs")
-    found = verified(fresh)
-    if not found.isEmpty():
-        links = links.unionByName(found)
-        parts = connected_components(links)
-
-    left = unsettled(left, parts, block)
     if left.isEmpty():
         return parts
     rest = bodies.join(left.select("id", "component").distinct(), "id")
+    maps = materialize(rest.mapInPandas(sketch, "id bigint, size bigint, flat boolean, map array<bigint>"), "maps")
     each = materialize(rest.mapInPandas(spread, "id bigint, component bigint, element bigint, weight double"), "elements")
     common = each.groupBy("element").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
     item = Window.partitionBy("id")
@@ -131,14 +137,19 @@ def cluster(
         "load": 1 - F.coalesce(F.sum("weight").over(rarest), F.lit(0.0)) / F.sum("weight").over(item),
     }
     prefix = each.join(common, "element").withColumns(rest_of).filter(F.greatest("number", "load") >= similarity - 1e-9)
-    prefix = prefix.filter("low < high").select("element", "id", "component", "number", "load")
-    other = prefix.select("element", *[F.col(c).alias(f"lead_{c}") for c in ("id", "component", "number", "load")])
+    prefix = prefix.filter("low < high").select("element", "id", "component", "number", "load").join(maps, "id")
+    other = prefix.select("element", *[F.col(c).alias(f"lead_{c}") for c in prefix.columns if c != "element"])
 
     def reachable(share: str) -> Column:
         return 1 / F.col(share) + 1 / F.col(f"lead_{share}") - 1 <= 1 / similarity + 1e-9
 
+    # Every bit in which the maps differ is an element that only one of both has, so it bounds what they share.
+    apart = sum((F.bit_count(F.col("map")[i].bitwiseXOR(F.col("lead_map")[i])) for i in range(MAP_BITS // 64)), F.lit(0))
+    sizes = F.col("size") + F.col("lead_size")
+    may = (sizes - apart) / (sizes + apart) >= similarity - 1e-9
     near = (F.col("id") < F.col("lead_id")) & (F.col("component") != F.col("lead_component")) & (reachable("number") | reachable("load"))
+    near = near & (~(F.col("flat") & F.col("lead_flat")) | may)
     met = prefix.join(other, "element").filter(near).select(*ordered("id", "lead_id")).distinct()
-    met = met.join(tested.unionByName(fresh), ["a", "b"], "left_anti")
+    met = met.join(tested, ["a", "b"], "left_anti")
     found = verified(materialize(met, "pairs"))
     return parts if found.isEmpty() else connected_components(links.unionByName(found))
