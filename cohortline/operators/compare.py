@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 
 from cohortline.functions.clean import not_nan, ratio
 from cohortline.functions.pvalues import p_chi2, p_f, p_normal, p_rank_sum, p_t, t_limit
-from cohortline.operators.ranks import exact_quantiles, tie_ranks
-from cohortline.session import materialize
+from cohortline.operators.ranks import exact_quantiles, group_ranks, tie_ranks
 
 NORMALITY_TESTS = ("shapiro-wilk", "jarque-bera")
 ALPHA = 0.05
@@ -149,6 +148,11 @@ def mann_whitney(long: DataFrame, groups: tuple[str, str], by: Sequence[str] = (
         "value",
         {"in_a": F.col("group") == a, "in_b": F.col("group") == b},
     )
+    return _rank_sums(ranked, keys)
+
+
+def _rank_sums(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """From rows (ties, below, in_a, in_b) per distinct value: counts, rank sum, U, tie term and z per key."""
     ties = F.col("ties").cast("double")
     mid_rank = F.col("below") + (ties + 1) / 2
     sums = ranked.groupBy(*keys).agg(
@@ -295,7 +299,13 @@ def shapiro_wilk(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     up to 5000 and is carried on beyond. A value that very many rows share is one row with the closed sum of its scores.
     """
     keys = list(keys)
-    ranked = tie_ranks(long, keys, "value").filter(F.col("total") >= 3).withColumnRenamed("total", "n")
+    spread = long.groupBy(*keys).agg((F.var_samp("value") * (F.count("value") - 1)).alias("ss"))
+    return _shapiro(tie_ranks(long, keys, "value"), spread, keys)
+
+
+def _shapiro(ranked: DataFrame, spread: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """From rows (value, ties, below, total) per distinct value and the sums of squares ``ss`` per key."""
+    ranked = ranked.filter(F.col("total") >= 3).withColumnRenamed("total", "n")
     n = F.col("n").cast("double")
     last = F.col("below") + F.col("ties")
 
@@ -313,7 +323,6 @@ def shapiro_wilk(long: DataFrame, keys: Sequence[str]) -> DataFrame:
         at(F.col("n") - 1, "y2"),
         at(F.col("n"), "y1"),
     )
-    spread = long.groupBy(*keys).agg((F.var_samp("value") * (F.count("value") - 1)).alias("ss"))
     s = sums.join(spread, keys)
     s = s.withColumns({"m1": -score(F.lit(1)), "m2": -score(F.lit(2)), "u": 1 / F.sqrt(n)})
     s = s.withColumn("a1", F.when(n == 3, F.sqrt(F.lit(0.5))).otherwise(
@@ -438,26 +447,36 @@ def compare_numeric(
     Both pass and variances differ: Welch t. Otherwise Mann-Whitney, also where a group has too few or only equal values
     to be tested for normality. Where that has no p either, as a group is empty or all values are equal: "not testable".
 
-    The choice is made first, and only the variables that need rank sums are ranked for them.
+    Every distinct value is dealt out once with its counts in both groups: normality of either and the ranks of both together
+    come from that one table.
     """
     keys = [*by, "variable"]
     long = long.filter(F.col("group").isin(*groups))
     stats = f_statistics(t_statistics(two_group_moments(long, groups, by)))
-    normal = (
-        normality(long, [*keys, "group"], normality_test)
-        .groupBy(*keys)
-        .agg(((F.count("p") == 2) & (F.min("p") >= ALPHA)).alias("normal"))
-    )
+    ranked = group_ranks(long, keys, "value", {side: F.col("group") == g for side, g in zip("ab", groups)})
+    if normality_test == "shapiro-wilk":
+        sides = [
+            F.struct(F.lit(s).alias("group"), F.col(f"n_{s}").alias("ties"), F.col(f"below_{s}").alias("below"), F.col(f"total_{s}").alias("total"))
+            for s in "ab"
+        ]
+        apart = ranked.select(*keys, "value", F.explode(F.array(*sides)).alias("side")).select(*keys, "value", "side.*").filter("ties > 0")
+        squares = [F.struct(F.lit(s).alias("group"), (F.col(f"var_{s}") * (F.col(f"n_{s}") - 1)).alias("ss")) for s in "ab"]
+        spread = stats.select(*keys, F.explode(F.array(*squares)).alias("side")).select(*keys, "side.*")
+        tested = _shapiro(apart, spread, [*keys, "group"]).withColumn("p", F.coalesce("p_exact", p_normal("z")))
+    else:
+        tested = normality(long, [*keys, "group"], normality_test)
+    normal = tested.groupBy(*keys).agg(((F.count("p") == 2) & (F.min("p") >= ALPHA)).alias("normal"))
     chosen = stats.join(normal, keys, "left").withColumns(
         {
+            "normal": F.coalesce("normal", F.lit(False)),
             "p_f": p_f("f", "df1", "df2"),
             "p_pooled": p_t("t_pooled", "df_pooled"),
             "p_welch": p_t("t_welch", "df_welch"),
         }
     )
-    chosen = materialize(chosen, "tests")
-    ranked = long.join(chosen.filter("NOT normal").select(*keys), keys, "left_semi")
-    ranks = rank_sum_p(mann_whitney(ranked, groups, by), rank_sum).select(*keys, "u_a", F.col("p").alias("p_u"))
+    pooled = ranked.withColumns({"ties": F.col("n_a") + F.col("n_b"), "below": F.col("below_a") + F.col("below_b"), "in_a": F.col("n_a"), "in_b": F.col("n_b")})
+    sums = _rank_sums(pooled, keys).join(chosen.filter("NOT normal").select(*keys), keys, "left_semi") if rank_sum == "exact" else _rank_sums(pooled, keys)
+    ranks = rank_sum_p(sums, rank_sum).select(*keys, "u_a", F.col("p").alias("p_u"))
     equal = F.col("p_f") >= ALPHA
     rank_test = F.when(F.col("p_u").isNull(), F.lit("not testable")).otherwise(F.lit("mann-whitney"))
 

@@ -51,6 +51,28 @@ def tie_ranks(
     )
 
 
+def group_ranks(df: DataFrame, keys: Sequence[str], value: str, sides: Mapping[str, Column]) -> DataFrame:
+    """One row per distinct non-null value with the ranks of several groups of rows at once.
+
+    For each entry of ``sides``, a condition on the rows: ``n_<side>`` (how often the value occurs in it), ``below_<side>`` (how many of
+    its values are smaller) and ``total_<side>``. Everything that ranks need of any group, or of all together, follows from these, so
+    the values are dealt out once. See :func:`tie_ranks` for how.
+    """
+    keys = list(keys)
+    tied = df.filter(col(value).isNotNull()).groupBy(*keys, value).agg(*[F.count_if(c).alias(f"n_{s}") for s, c in sides.items()])
+    tied = range_buckets(tied, [*keys, value])
+    in_bucket = Window.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    by_bucket = Window.partitionBy(*keys).orderBy("__bucket")
+    whole = by_bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    starts = tied.groupBy(*keys, "__bucket").agg(*[F.sum(f"n_{s}").alias(f"__{s}") for s in sides])
+    ahead = {f"__start_{s}": F.sum(f"__{s}").over(by_bucket.rowsBetween(Window.unboundedPreceding, 0)) - F.col(f"__{s}") for s in sides}
+    starts = starts.withColumns(ahead | {f"total_{s}": F.sum(f"__{s}").over(whole) for s in sides}).drop(*[f"__{s}" for s in sides])
+    local = tied.withColumns({f"__upto_{s}": F.sum(f"n_{s}").over(in_bucket) for s in sides})
+    placed = local.join(starts, [*keys, "__bucket"])
+    below = [(F.col(f"__start_{s}") + F.col(f"__upto_{s}") - F.col(f"n_{s}")).alias(f"below_{s}") for s in sides]
+    return placed.select(*keys, value, *[f"n_{s}" for s in sides], *below, *[f"total_{s}" for s in sides])
+
+
 def _bucket_starts(df: DataFrame, keys: list[str], size: Column) -> DataFrame:
     by_bucket = Window.partitionBy(*keys).orderBy("__bucket")
     whole = by_bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
