@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortline.llm.text import NO_SPACE, whole_text, word_array
+from cohortline.session import materialize
 
 WINDOW = 8
+SAMPLE_ROWS, PLACES, LEAST_SECONDS = 4000, 10_000_000, 1e-3
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects``: whether it rejects a row (null counts as no). ``cost``: units of work for a row, such as characters read."""
+    """``rejects``: whether it rejects a row (null counts as no). ``cost``: what its time grows with, such as characters read."""
 
     name: str
     rejects: Column
@@ -81,12 +84,30 @@ def standard_rules(text: str = "text") -> list[Rule]:
     ]
 
 
-def order_rules(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
-    """The rules in the order of rejections per unit of cost, each judged on what the ones before it let pass.
+def measured_rates(sample: DataFrame, rules: list[Rule]) -> list[float]:
+    """Seconds per unit of each rule's cost: the faster of two runs over the sample, less those of a rule that does nothing."""
 
-    One aggregation over the sample: a row for each combination of verdicts (2^rules at most) with each rule's total
+    def seconds(condition: Column) -> float:
+        taken = []
+        for _ in range(2):
+            start = time.perf_counter()
+            sample.agg(F.count_if(condition)).collect()
+            taken.append(time.perf_counter() - start)
+        return min(taken)
+
+    idle = seconds(F.col("n_words") < 0)
+    units = sample.agg(*[F.sum(r.cost).alias(f"c{i}") for i, r in enumerate(rules)]).first()
+    return [max(seconds(r.rejects) - idle, LEAST_SECONDS) / (units[f"c{i}"] or 1.0) for i, r in enumerate(rules)]
+
+
+def order_rules(sample: DataFrame, rules: list[Rule], rates: list[float] | None = None) -> list[Rule]:
+    """The rules in the order of rejections per cost, each judged on what the ones before it let pass.
+
+    A rule's cost on a row is its units times its rate (1 without ``rates``). One aggregation over the sample: a row for each
+    combination of verdicts (2^rules at most) with each rule's total
     cost there; rows that fail the base are left out. An empty sample keeps the given order, which also breaks ties.
     """
+    rates = rates or [1.0] * len(rules)
     flags = [F.coalesce(r.rejects, F.lit(False)).alias(f"r{i}") for i, r in enumerate(rules)]
     costs = [r.cost.alias(f"c{i}") for i, r in enumerate(rules)]
     groups = (
@@ -99,7 +120,7 @@ def order_rules(sample: DataFrame, rules: list[Rule]) -> list[Rule]:
     left, order = list(range(len(rules))), []
     while left:
         def gain(i):
-            cost = sum(g[f"c{i}"] or 0.0 for g in groups)
+            cost = rates[i] * sum(g[f"c{i}"] or 0.0 for g in groups)
             return sum(g["n"] for g in groups if g[f"r{i}"]) / cost if cost else 0.0
 
         best = max(left, key=lambda i: (gain(i), -i))
@@ -117,17 +138,19 @@ def first_failure(rules: list[Rule]) -> Column:
     return chain.otherwise(F.lit(None).cast("string")) if rules else F.lit(None).cast("string")
 
 
-def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: list[Rule] | None = None, sample_share: float = 0.02) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Every row with its counts, ``base_failed``, ``kept`` and ``failed_rule`` (null if kept).
 
-    The sample that orders the rules holds the rows whose key hashes into ``sample_share``; it only sets the order, so
-    the verdicts do not depend on it. A row that fails the base is not shown to the rules (``failed_rule`` is ``base``).
+    The sample that orders the rules holds about ``sample_rows`` rows, those whose keys hash lowest; each rule's time is taken on
+    it. It only sets the order, so the verdicts do not depend on it, nor on the times. A row that fails the base is not shown to the rules (``failed_rule`` is ``base``).
     Null or empty text has no words and fails the base. Each of several equal rows is judged alike. An empty table
     gives an empty result. Columns of the input with the added names are replaced.
     """
     rules = standard_rules(text) if rules is None else rules
-    sample = docs.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(1_000_000)) < int(sample_share * 1_000_000))
-    ordered = order_rules(add_counts(sample, text), rules)
+    share = min(1.0, sample_rows / max(docs.count(), 1))
+    sample = docs.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(PLACES)) < int(share * PLACES))
+    sample = materialize(add_counts(sample, text), "sample")
+    ordered = order_rules(sample, rules, measured_rates(sample, rules))
     judged = add_counts(docs, text).withColumn("base_failed", base_failed())
     verdict = F.when(F.col("base_failed"), F.lit("base")).otherwise(first_failure(ordered))
     return judged.withColumn("failed_rule", verdict).withColumn("kept", F.col("failed_rule").isNull()).drop("words")

@@ -81,6 +81,10 @@ def test_rules_are_ordered_by_rejections_per_cost(spark):
     rules = [quality_rules.Rule("few", few, F.lit(1.0)), quality_rules.Rule("dear", many, F.lit(100.0)), quality_rules.Rule("many", many, F.lit(1.0))]
     assert [r.name for r in quality_rules.order_rules(df, rules)] == ["many", "few", "dear"]
     assert [r.name for r in quality_rules.order_rules(df.limit(0), rules)] == ["few", "dear", "many"]
+    # With measured rates a rule that is dear by its units may come first.
+    assert [r.name for r in quality_rules.order_rules(df, rules, [1.0, 1e-9, 1.0])][0] == "dear"
+    rates = quality_rules.measured_rates(df, rules)
+    assert len(rates) == 3 and all(rate > 0 for rate in rates)
     first = df.select(quality_rules.first_failure(rules).alias("f")).groupBy("f").count().collect()
     assert {r["f"]: r["count"] for r in first} == {"few": 10, "dear": 40, None: 50}
 
