@@ -8,8 +8,9 @@ and written to the shared folder; each is small next to the extracts.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,26 +125,41 @@ def first_day(rows: DataFrame, span: DataFrame, ts: str) -> DataFrame:
     return joins.within_span(rows, day, KEY, ts, "arrival", "until")
 
 
-@dataclass(frozen=True)
 class StudyCohort:
-    """The screened encounters, what was derived to judge them, and who is left."""
+    """The screened encounters, what was derived to judge them, and who is left. Each table is computed when first asked for, then kept."""
+
+    def __init__(self, tables: Tables, units: StudyUnits = StudyUnits()):
+        self.tables, self.units = tables, units
+
+    @cached_property
+    def screened(self) -> DataFrame:
+        return materialize(screen(self.tables["patients"]), "screened")
+
+    @cached_property
+    def vent(self) -> DataFrame:
+        return materialize(vent_episodes(self.tables, self.screened), "vent")
 
-    vent: DataFrame
-    stays: DataFrame
-    funnel: funnel.Funnel
-    keys: DataFrame
-    span: DataFrame
+    @cached_property
+    def stays(self) -> DataFrame:
+        return materialize(location_stays(self.tables), "stays")
+
+    @cached_property
+    def funnel(self) -> funnel.Funnel:
+        judged = study_funnel(self.tables, self.screened, self.vent, self.stays, self.units)
+        return replace(judged, status=materialize(judged.status, "status"))
+
+    @cached_property
+    def keys(self) -> DataFrame:
+        return self.funnel.cohort_keys()
+
+    @cached_property
+    def span(self) -> DataFrame:
+        return materialize(unit_span(self.keys, self.stays, self.units), "span")
 
 
 def study_cohort(tables: Tables, units: StudyUnits = StudyUnits()) -> StudyCohort:
     """Screen, include and exclude."""
-    screened = materialize(screen(tables["patients"]), "screened")
-    vent = materialize(vent_episodes(tables, screened), "vent")
-    stays = materialize(location_stays(tables), "stays")
-    judged = study_funnel(tables, screened, vent, stays, units)
-    judged = replace(judged, status=materialize(judged.status, "status"))
-    keys = judged.cohort_keys()
-    return StudyCohort(vent, stays, judged, keys, materialize(unit_span(keys, stays, units), "span"))
+    return StudyCohort(tables, units)
 
 
 def first_weight_height(tables: Tables, cohort: DataFrame) -> DataFrame:
@@ -261,50 +277,65 @@ def cohort_losses(tables: Tables, chosen: StudyCohort) -> funnel.Funnel:
     return funnel.join_losses(chosen.keys, parts, KEY)
 
 
-@dataclass(frozen=True)
 class StudyFeatures:
-    demographics: DataFrame
-    history: DataFrame
-    home_meds: DataFrame
-    severity: DataFrame
-    sedatives: DataFrame
-    assessments: DataFrame
-
-
-def study_features(tables: Tables, chosen: StudyCohort) -> StudyFeatures:
-    """All feature tables of a cohort.
+    """The feature tables of a cohort. Each is computed when first asked for, from no more than it needs, then kept.
 
     Demographics are inner-joined step by step: an encounter without a weight, height,
-    episode or assessment row leaves the demographics, as in the study.
+    episode or assessment row leaves the demographics, as in the study (:func:`cohort_losses` counts them).
     """
-    cohort, span = chosen.keys, chosen.span
-    vent_total = chosen.vent.withColumnRenamed("vent_duration", "duration_hours")
-    vent_total = episodes.total_duration(joins.keep_in(vent_total, cohort, KEY), KEY, "vent_duration")
-    people = tables["demographics"]
-    if {"visit_type", "facility"} <= set(people.columns):
-        people = drop_between(people, "visit_type", "facility")
-    measured = materialize(
-        people.join(span.select(KEY, "unit_length_stay"), KEY)
-        .join(vent_total, KEY)
-        .join(first_weight_height(tables, cohort), KEY)
-        .join(liver_flags(tables, cohort, span), KEY),
-        "measured",
-    )
-    given = materialize(sedatives(tables, measured, span), "sedatives")
-    daily = materialize(assessments(tables, span), "assessments")
-    delirium = features.any_positive(daily, KEY, "num_cam_icu_pos", "cam_icu_pos")
-    members = measured.join(delirium, KEY)
-    exposed = funnel.exposure_group(
-        members, given, KEY, funnel.listed_drug_given("med", "cont_duration", fv.EXPOSURE_DRUGS), fv.GROUP_LABELS
-    ).select(KEY, F.col("exposed").alias("bzd"))
-    return StudyFeatures(
-        demographics=materialize(members.join(exposed, KEY), "demographics"),
-        history=history(tables, cohort),
-        home_meds=home_meds(tables, cohort),
-        severity=severity_inputs(tables, measured, span),
-        sedatives=given,
-        assessments=daily,
-    )
+
+    def __init__(self, tables: Tables, chosen: StudyCohort):
+        self.tables, self.chosen = tables, chosen
+
+    @cached_property
+    def measured(self) -> DataFrame:
+        tables, cohort, span = self.tables, self.chosen.keys, self.chosen.span
+        vent_total = self.chosen.vent.withColumnRenamed("vent_duration", "duration_hours")
+        vent_total = episodes.total_duration(joins.keep_in(vent_total, cohort, KEY), KEY, "vent_duration")
+        people = tables["demographics"]
+        if {"visit_type", "facility"} <= set(people.columns):
+            people = drop_between(people, "visit_type", "facility")
+        return materialize(
+            people.join(span.select(KEY, "unit_length_stay"), KEY)
+            .join(vent_total, KEY)
+            .join(first_weight_height(tables, cohort), KEY)
+            .join(liver_flags(tables, cohort, span), KEY),
+            "measured",
+        )
+
+    @cached_property
+    def sedatives(self) -> DataFrame:
+        return materialize(sedatives(self.tables, self.measured, self.chosen.span), "sedatives")
+
+    @cached_property
+    def assessments(self) -> DataFrame:
+        return materialize(assessments(self.tables, self.chosen.span), "assessments")
+
+    @cached_property
+    def demographics(self) -> DataFrame:
+        delirium = features.any_positive(self.assessments, KEY, "num_cam_icu_pos", "cam_icu_pos")
+        members = self.measured.join(delirium, KEY)
+        exposed = funnel.exposure_group(
+            members, self.sedatives, KEY, funnel.listed_drug_given("med", "cont_duration", fv.EXPOSURE_DRUGS), fv.GROUP_LABELS
+        ).select(KEY, F.col("exposed").alias("bzd"))
+        return materialize(members.join(exposed, KEY), "demographics")
+
+    @cached_property
+    def history(self) -> DataFrame:
+        return history(self.tables, self.chosen.keys)
+
+    @cached_property
+    def home_meds(self) -> DataFrame:
+        return home_meds(self.tables, self.chosen.keys)
+
+    @cached_property
+    def severity(self) -> DataFrame:
+        return severity_inputs(self.tables, self.measured, self.chosen.span)
+
+
+def study_features(tables: Tables, chosen: StudyCohort) -> StudyFeatures:
+    """All feature tables of a cohort."""
+    return StudyFeatures(tables, chosen)
 
 
 # Review sheet columns that keep or lose their names.
@@ -347,20 +378,31 @@ def clean_review(sheet: DataFrame, identifiers: DataFrame) -> DataFrame:
 
 def review_tables(review: DataFrame, found: StudyFeatures) -> dict[str, DataFrame]:
     """Analysis tables: every feature table restricted to reviewed patients, with the group."""
-    grouped = joins.keep_in(found.demographics, review, KEY).withColumn(
-        "group", clean.labelled("bzd", *fv.GROUP_LABELS)
-    )
-    if "diagnosis_categories" in review.columns:
-        grouped = grouped.join(review.select(KEY, "diagnosis_categories"), KEY)
-    grouped = front(grouped.drop("bzd"), KEY, "group")
-    members = grouped.select(KEY, "group")
-    doses = keep_between(found.sedatives, "time_wt_avg_rate", "total_dose", also=[KEY, "med"])
+    return {name: build() for name, build in review_builders(review, found).items()}
+
+
+def review_builders(review: DataFrame, found: StudyFeatures) -> dict[str, Callable[[], DataFrame]]:
+    """The analysis tables by name, each as a function that computes no more than it needs."""
+
+    def demographics() -> DataFrame:
+        grouped = joins.keep_in(found.demographics, review, KEY).withColumn("group", clean.labelled("bzd", *fv.GROUP_LABELS))
+        if "diagnosis_categories" in review.columns:
+            grouped = grouped.join(review.select(KEY, "diagnosis_categories"), KEY)
+        return front(grouped.drop("bzd"), KEY, "group")
+
+    def members() -> DataFrame:
+        return demographics().select(KEY, "group")
+
+    def sedative_doses() -> DataFrame:
+        doses = keep_between(found.sedatives, "time_wt_avg_rate", "total_dose", also=[KEY, "med"])
+        return front(members().join(doses, KEY), KEY, "med", "group")
+
     return {
-        "demographics": grouped,
-        "pmh": members.join(found.history, KEY).join(drop_prefix(review, "diagnosis", "organ"), KEY),
-        "home_meds": members.join(found.home_meds, KEY),
-        "apache": members.join(found.severity, KEY).join(keep_prefix(review, "organ", also=[KEY]), KEY),
-        "sedatives": front(members.join(doses, KEY), KEY, "med", "group"),
+        "demographics": demographics,
+        "pmh": lambda: members().join(found.history, KEY).join(drop_prefix(review, "diagnosis", "organ"), KEY),
+        "home_meds": lambda: members().join(found.home_meds, KEY),
+        "apache": lambda: members().join(found.severity, KEY).join(keep_prefix(review, "organ", also=[KEY]), KEY),
+        "sedatives": sedative_doses,
     }
 
 

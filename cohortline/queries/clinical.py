@@ -459,9 +459,11 @@ members AS (SELECT d.pie_id, CASE WHEN bzd THEN '{fv.GROUP_LABELS[0]}' ELSE '{fv
 ANALYSIS = ("demographics", "pmh", "home_meds", "apache", "sedatives")
 
 
-def _analysis(t: Tables) -> dict[str, DataFrame]:
+def _analysis(t: Tables, *names: str) -> dict[str, DataFrame]:
+    """The named analysis tables."""
     tables, found = _features(t)
-    return study.review_tables(study.clean_review(tables["manual_review"], tables["identifiers"]), found)
+    builders = study.review_builders(study.clean_review(tables["manual_review"], tables["identifiers"]), found)
+    return {name: builders[name]() for name in names}
 
 
 @query("study_review", f"""
@@ -471,7 +473,7 @@ SELECT pie_id, "group", med, round(time_wt_avg_rate, 3) AS time_wt_avg_rate,
 FROM members JOIN given USING (pie_id)
 """)
 def study_review(t: Tables):
-    return rounded(_analysis(t)["sedatives"], 3, *SEDATIVE_NUMBERS[2:])
+    return rounded(_analysis(t, "sedatives")["sedatives"], 3, *SEDATIVE_NUMBERS[2:])
 
 
 @query("study_review_demographics", f"""
@@ -481,7 +483,7 @@ SELECT pie_id, "group", age, diagnosis, round(unit_length_stay, 5) AS unit_lengt
 FROM members JOIN demographics USING (pie_id) JOIN sheet USING (pie_id)
 """)
 def study_review_demographics(t: Tables):
-    return rounded(_analysis(t)["demographics"], 5, "unit_length_stay", "vent_duration")
+    return rounded(_analysis(t, "demographics")["demographics"], 5, "unit_length_stay", "vent_duration")
 
 
 @query("study_review_pmh", f"""
@@ -490,14 +492,14 @@ SELECT pie_id, "group", history.* EXCLUDE (pie_id), alcohol_use, num_packs_day
 FROM members JOIN history USING (pie_id) JOIN sheet USING (pie_id)
 """)
 def study_review_pmh(t: Tables):
-    return _analysis(t)["pmh"]
+    return _analysis(t, "pmh")["pmh"]
 
 
 @query("study_review_home_meds", f"""
 WITH {EXTRACTS_SQL}, {MEMBERS_SQL}, {HOME_SQL} SELECT pie_id, "group", home.* EXCLUDE (pie_id) FROM members JOIN home USING (pie_id)
 """)
 def study_review_home_meds(t: Tables):
-    return _analysis(t)["home_meds"]
+    return _analysis(t, "home_meds")["home_meds"]
 
 
 @query("study_review_apache", f"""
@@ -506,7 +508,7 @@ SELECT pie_id, "group", severity.* EXCLUDE (pie_id), organ_insuff, organ_insuff_
 FROM members JOIN severity USING (pie_id) JOIN sheet USING (pie_id)
 """)
 def study_review_apache(t: Tables):
-    return _analysis(t)["apache"]
+    return _analysis(t, "apache")["apache"]
 
 
 @query("study_exports", f"""
@@ -519,7 +521,7 @@ UNION ALL SELECT 'sedatives', count(*), count(DISTINCT pie_id) FROM members JOIN
 """)
 def study_exports(t: Tables):
     """The five analysis tables written as CSV files and read back."""
-    paths = study_files.write_analysis_tables(_analysis(t), new_folder(t.spark, "exports"))
+    paths = study_files.write_analysis_tables(_analysis(t, *ANALYSIS), new_folder(t.spark, "exports"))
     counts = [F.count(F.lit(1)).alias("n_rows"), F.count_distinct("pie_id").alias("n_patients")]
     return joins.union_all(*[read_text_csv(t.spark, path).agg(F.lit(name).alias("name"), *counts) for name, path in paths.items()])
 
@@ -562,7 +564,7 @@ UNION ALL
 SELECT k, level, {_label("side")}, n, round(100.0 * n / whole, 4), NULL, NULL, test, round(statistic, 4), round(p, 6) FROM counted JOIN chi USING (k)
 """)
 def study_report(t: Tables):
-    return _report_rows(study.report_tables({"demographics": _analysis(t)["demographics"]})["demographics"])
+    return _report_rows(study.report_tables({"demographics": _analysis(t, "demographics")["demographics"]})["demographics"])
 
 
 @query("study_report_sedatives", f"""
@@ -576,4 +578,4 @@ SELECT split_part(k, '/', 1) AS med, split_part(k, '/', 2) AS variable, NULL::VA
 FROM numbers JOIN chosen USING (k) WHERE v IS NOT NULL GROUP BY k, side
 """)
 def study_report_sedatives(t: Tables):
-    return _report_rows(study.report_tables({"sedatives": _analysis(t)["sedatives"]})["sedatives"])
+    return _report_rows(study.report_tables({"sedatives": _analysis(t, "sedatives")["sedatives"]})["sedatives"])
