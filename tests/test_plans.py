@@ -123,7 +123,7 @@ def test_interval_join_spreads_a_hot_key(spark):
         text = plan(joins.within_span(df, spans, "k", "t", "a", "b"))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert all("__slot" in k for k in heavy_exchanges(text))
+    assert all("__cell" in k for k in heavy_exchanges(text))
 
 
 def test_ranks_shuffle_by_bucket(events):
