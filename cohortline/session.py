@@ -115,6 +115,25 @@ def bucketed(df: DataFrame, column: str, name: str) -> Iterator[DataFrame]:
         _delete(*next(w for w in _written if folder.startswith(w[2])))
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Inside the block, a query's shuffle files are deleted as soon as it has ended.
+
+    Spark otherwise keeps them until the driver collects garbage. It suits chains of written tables, whose shuffles nobody
+    reads again; a lost executor during a query is made good as ever.
+    """
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Compute a table once, write it to the shared folder and read it back.
 
@@ -124,3 +143,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """The table as :func:`materialize` gives it, whose files go when the block ends; what comes of it must be written before."""
+    table = materialize(df, name)
+    written = _written[-1]
+    try:
+        yield table
+    finally:
+        _delete(*written)
