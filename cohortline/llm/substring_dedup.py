@@ -1,8 +1,8 @@
-"""Passages that repeat across documents: near-equal lines by MinHash and components, then equal runs of words anywhere."""
+"""Passages that repeat across documents: near-equal paragraphs by MinHash and components, extended to equal runs of words."""
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,40 +12,69 @@ from pyspark.sql import functions as F
 from cohortline.llm import shingles as sh
 from cohortline.llm.components import cluster
 from cohortline.llm.text import map_rows, whole_text
-from cohortline.session import materialize
+from cohortline.session import materialize, shuffles_freed, temporary
 
 MIN_WORDS, SIMILARITY, ROWS, RECALL = 20, 0.8, 4, 0.9999
-_PARAGRAPH = re.compile(r"[^\n]+")
+CUT, SLICES = 32, 3
 _DIGEST = np.array([0x9FB21C651E98DF25, 0xB492B66FBE98F273], dtype=np.uint64)
 
 
-def _paragraphs(text: str) -> list[tuple[int, str]]:
-    """The lines of a text that hold a word, with the position of their first character."""
-    return [(m.start(), m.group()) for m in _PARAGRAPH.finditer(text) if m.group().strip(" \t\x0b\x0c\r")]
+def word_bytes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes at which each word starts and ends."""
+    word = np.concatenate([[False], ~sh._space(data), [False]])
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    return edges[::2], edges[1::2]
+
+
+def cut_words(word: np.ndarray, reach: int) -> np.ndarray:
+    """Whether a cut comes before each word: its run of three words has the least hash of all up to ``reach`` words away.
+
+    That depends on the words around it alone, so a passage is cut alike wherever it lies. Cuts are more than ``reach``
+    words apart, about twice as many on average.
+    """
+    n, most = len(word), np.uint64(2**64 - 1)
+    padded = np.concatenate([word, np.zeros(2, dtype=np.uint64)])
+    gram = sh.mix((padded[:n] * _DIGEST[0] + padded[1 : n + 1]) * _DIGEST[0] + padded[2:])
+    edge = np.full(reach, most)
+    least, width = np.concatenate([edge, gram, edge]), 1
+    while width < reach:
+        step = min(width, reach - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    return (gram < least[:n]) & (gram <= least[reach + 1 : reach + 1 + n])
+
+
+def paragraphs(text: bytes, word: np.ndarray, reach: int) -> np.ndarray:
+    """Start and end (code points) and number of words of each paragraph of a text with these word hashes.
+
+    A paragraph is a line with a word, from its first word to its last. Lines of over four times ``reach`` words are cut by their content.
+    """
+    data = np.frombuffer(text, dtype=np.uint8)
+    starts, ends = word_bytes(data)
+    if not len(starts):
+        return np.zeros((0, 3), dtype=np.int64)
+    heads = np.flatnonzero(np.diff(np.cumsum(data == 10)[starts], prepend=-1))
+    sizes = np.diff(np.append(heads, len(starts)))
+    inside = np.repeat(sizes > 4 * reach, sizes)
+    if inside.any():
+        heads = np.union1d(heads, np.flatnonzero(inside & cut_words(word, reach)))
+    letters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    after = np.append(heads[1:], len(starts))
+    return np.column_stack([letters[starts[heads]], letters[ends[after - 1]], after - heads])
 
 
-def describe(texts: list[str], bands: int, rows: int, min_words: int) -> tuple[np.ndarray, np.ndarray, list]:
-    """Number of words, a 64-bit digest of the word sequence, and band keys (None for short ones) of each paragraph."""
-    n_words, digests, keys = [], [], []
+def describe(texts: list[str], bands: int, rows: int) -> tuple[np.ndarray, list]:
+    """A 64-bit digest of the word sequence and the band keys of each paragraph."""
+    digests, keys = [np.zeros(0, dtype=np.uint64)], []
     for _, group in sh.batches(texts):
         number, word = sh.words(group)
         count = np.bincount(number, minlength=len(group))
-        place = np.arange(len(word)) - (np.cumsum(count) - count)[number]
-        mixed = sh.mix(word * _DIGEST[0] + place.astype(np.uint64) * _DIGEST[1])
-        starts = np.flatnonzero(place == 0)
-        digest = np.zeros(len(group), dtype=np.uint64)
-        if len(starts):
-            digest[number[starts]] = np.add.reduceat(mixed, starts)
-        long = np.flatnonzero(count >= min_words)
-        signed = [None] * len(group)
-        if len(long):
-            of, element, _ = sh.shingles([group[i] for i in long])
-            for i, k in zip(long, sh.band_keys(sh.minhash(of, element, len(long), bands * rows), bands)):
-                signed[i] = k
-        n_words.append(count)
-        digests.append(digest.view(np.int64))
-        keys += signed
-    return np.concatenate(n_words or [np.zeros(0, int)]), np.concatenate(digests or [np.zeros(0, np.int64)]), keys
+        starts = np.cumsum(count) - count
+        place = np.arange(len(word)) - starts[number]
+        digests.append(np.add.reduceat(sh.mix(word * _DIGEST[0] + place.astype(np.uint64) * _DIGEST[1]), starts))
+        of, element, _ = sh.shingles(group)
+        keys += list(sh.band_keys(sh.minhash(of, element, len(group), bands * rows), bands))
+    return np.concatenate(digests).view(np.int64), keys
 
 
 def elements(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -63,13 +92,12 @@ def similar(similarity: float):
     return lambda x, y: sh.set_jaccard(x[0], y[0]) >= similarity
 
 
-def word_runs(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_runs(number: np.ndarray, word: np.ndarray, texts: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Every run of ``width`` words: text number, place of its first word, digest, and place and hash of its anchor.
 
     The anchor is the half run with the least hash in the run, the leftmost of equal ones. It depends on the run's
     words alone, so equal runs have equal anchors wherever they lie, and neighbouring runs mostly share one.
     """
-    number, word = sh.words(texts)
     half, n = (width + 1) // 2, len(word) - width + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
@@ -84,26 +112,25 @@ def word_runs(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, n
         less = np.flatnonzero(part[j : j + n] < least)
         least[less], at[less] = part[less + j], less + j
     inside = np.flatnonzero(number[:n] == number[width - 1 :])
-    count = np.bincount(number, minlength=len(texts))
+    count = np.bincount(number, minlength=texts)
     before = (np.cumsum(count) - count)[number[inside]]
     return number[inside], inside - before, digest[inside].view(np.int64), at[inside] - before, least[inside].view(np.int64)
 
 
-def anchors(group: list[bytes], width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def anchors(number: np.ndarray, word: np.ndarray, texts: int, width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The places and hashes of the distinct anchors of each text's runs."""
-    number, _, _, place, anchor = word_runs(group, width)
+    number, _, _, place, anchor = word_runs(number, word, texts, width)
     new = np.flatnonzero((np.diff(number, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0))
-    cuts = np.searchsorted(number[new], np.arange(1, len(group)))
+    cuts = np.searchsorted(number[new], np.arange(1, texts))
     return np.split(place[new].astype(np.int32), cuts), np.split(anchor[new], cuts)
 
 
 def word_edges(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The code points at which each word starts and ends."""
     data = np.frombuffer(text, dtype=np.uint8)
-    word = np.concatenate([[False], ~sh._space(data), [False]])
-    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = word_bytes(data)
     letters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    return letters[edges[::2]], letters[edges[1::2]]
+    return letters[starts], letters[ends]
 
 
 def paragraph_table(docs: DataFrame, bands: int, rows: int, min_words: int, key: str, text: str) -> DataFrame:
@@ -112,14 +139,19 @@ def paragraph_table(docs: DataFrame, bands: int, rows: int, min_words: int, key:
     def split(columns):
         texts = columns["text"].to_pylist()
         for at, group in sh.batches(texts):
-            found = [(i, place, start, body) for i, t in enumerate(texts[at : at + len(group)]) for place, (start, body) in enumerate(_paragraphs(t))]
-            n_words, digests, keys = describe([f[3] for f in found], bands, rows, min_words)
+            number, word = sh.words(group)
+            bounds = np.searchsorted(number, np.arange(len(group) + 1))
+            found = []
+            for i, body in enumerate(group):
+                cuts = paragraphs(body, word[bounds[i] : bounds[i + 1]], CUT).tolist()
+                found += [(i, place, *cut) for place, cut in enumerate(cuts)]
+            items = [f for f in found if f[4] >= min_words]
+            digests, keys = describe([texts[at + i][start:end] for i, _, start, end, _ in items], bands, rows)
             parts = [[] for _ in group]
-            for (i, place, start, body), n, digest, k in zip(found, n_words.tolist(), digests.tolist(), keys):
-                if n >= min_words:
-                    parts[i].append({"place": place, "start": start, "end": start + len(body), "digest": digest, "bands": k})
+            for (i, place, start, end, _), digest, k in zip(items, digests.tolist(), keys):
+                parts[i].append({"place": place, "start": start, "end": end, "digest": digest, "bands": k})
             count = np.bincount([f[0] for f in found], minlength=len(group)) if found else np.zeros(len(group), int)
-            places, hashes = anchors(group, min_words)
+            places, hashes = anchors(number, word, len(group), min_words)
             yield range(at, at + len(group)), {"n_paragraphs": count, "parts": parts, "places": places, "anchors": hashes}
 
     body = whole_text(text)
@@ -128,69 +160,73 @@ def paragraph_table(docs: DataFrame, bands: int, rows: int, min_words: int, key:
 
 
 def line_spans(stored: DataFrame, slim: DataFrame, similarity: float) -> DataFrame:
-    """``key``, ``mark`` and ``lines`` (start, end): the long paragraphs to remove, of documents that have any."""
+    """``key``, ``mark`` and ``lines`` (start, end, exact: an equal one comes before): the paragraphs to remove, of documents that have any."""
     found = stored.select("key", "mark", F.explode("parts").alias("part")).select("key", "mark", "part.*")
-    where = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), "mark", "place")
+    where = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), "mark", "place", "start", "end")
     first = materialize(found.groupBy("digest").agg(F.min(where).alias("first"), F.count("*").alias("copies")), "first")
 
     def fetch(ids: DataFrame) -> DataFrame:
-        wanted = first.join(ids, first["digest"] == ids["id"]).select("id", "first.key", "first.mark", "first.place")
-        wanted = wanted.groupBy("key", "mark").agg(F.collect_list(F.struct("id", "place")).alias("wanted"))
+        wanted = first.join(ids, first["digest"] == ids["id"]).select("id", "first.key", "first.mark", "first.start", "first.end")
+        wanted = wanted.groupBy("key", "mark").agg(F.collect_list(F.struct("id", "start", "end")).alias("wanted"))
         same = slim["key"].eqNullSafe(wanted["key"]) & (slim["mark"] == wanted["mark"])
 
         def pull(batches):
             for batch in batches:
                 out = []
                 for text_, asked in zip(batch["text"].tolist(), batch["wanted"].tolist()):
-                    parts = _paragraphs(text_)
-                    out += [(w["id"], parts[w["place"]][1]) for w in asked]
+                    out += [(w["id"], text_[w["start"] : w["end"]]) for w in asked]
                 yield pd.DataFrame(out, columns=["id", "body"])
 
         pulled = slim.join(wanted, same).select("text", "wanted").mapInPandas(pull, "id bigint, body string")
         return pulled.groupBy("id").agg(F.first("body").alias("body"))
 
     items = found.select(F.col("digest").alias("id"), "bands")
-    parts = materialize(cluster(items, fetch, elements, similar(similarity), similarity), "parts")
+    parts = materialize(cluster(items, fetch, elements, similar(similarity), similarity, SLICES), "parts")
     groups = first.join(parts, first["digest"] == parts["id"], "left").withColumn("component", F.coalesce("component", "digest"))
     groups = groups.select("digest", "first", "copies", "component")
     keepers = groups.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("copies").alias("members")).filter("members > 1")
-    doomed = groups.join(keepers, "component").select("digest", "keeper")
-    stays = F.col("key").eqNullSafe(F.col("keeper.key")) & (F.col("mark") == F.col("keeper.mark")) & (F.col("place") == F.col("keeper.place"))
-    gone = found.drop("bands").join(doomed, "digest").filter(~stays)
-    return gone.groupBy("key", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("lines"))
+    doomed = groups.join(keepers, "component").select("digest", "first", "keeper")
 
+    def at(place: str) -> Column:
+        return F.col("key").eqNullSafe(F.col(f"{place}.key")) & (F.col("mark") == F.col(f"{place}.mark")) & (F.col("place") == F.col(f"{place}.place"))
 
-def run_spans(stored: DataFrame, slim: DataFrame, lines: DataFrame, width: int) -> DataFrame:
-    """``key``, ``mark`` and ``runs`` (start, end, unmerged): runs of ``width`` words outside ``lines`` that came before.
+    gone = found.drop("bands").join(doomed, "digest").filter(~at("keeper"))
+    return gone.groupBy("key", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end", (~at("first")).alias("exact")))).alias("lines"))
 
-    Equal runs have equal anchors, so only runs with an anchor that occurs twice are compared, by digest and with the
-    first of their kind alone. Where a run overlaps the first one of its kind, that one's words stay.
-    """
+
+def asked_places(stored: DataFrame, lines: DataFrame) -> DataFrame:
+    """``key``, ``mark``, ``places`` of the anchors that occur twice, and ``lines``, of documents with any such anchor."""
     points = stored.select("key", "mark", F.explode(F.arrays_zip("places", "anchors")).alias("a")).select("key", "mark", F.col("a.places").alias("at"), F.col("a.anchors").alias("anchor"))
     repeated = materialize(stored.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().filter("count > 1").select("anchor"), "repeated")
     places = points.join(repeated, "anchor").groupBy("key", "mark").agg(F.collect_set("at").alias("places"))
-    asked = places.alias("p").join(
-        lines.alias("l"), F.col("p.key").eqNullSafe(F.col("l.key")) & (F.col("p.mark") == F.col("l.mark")), "left"
-    )
-    asked = materialize(asked.select("p.key", "p.mark", "places", "lines"), "asked")
+    same = F.col("p.key").eqNullSafe(F.col("l.key")) & (F.col("p.mark") == F.col("l.mark"))
+    return places.alias("p").join(lines.alias("l"), same, "left").select("p.key", "p.mark", "places", "lines")
+
+
+def run_spans(asked: DataFrame, slim: DataFrame, width: int) -> DataFrame:
+    """``key``, ``mark`` and ``runs`` (start, end, unmerged): runs of ``width`` words that came before.
+
+    Equal runs have equal anchors, so only runs with an anchor that occurs twice are compared, by digest and with the
+    first of their kind alone. Where a run overlaps the first one of its kind, that one's words stay. Runs inside a
+    paragraph that equals an earlier one are left out: they go with it and are the first of no kind.
+    """
 
     def compare(columns):
         asked_of = list(zip(columns["places"].to_pylist(), columns["lines"].to_pylist()))
         for first, group in sh.batches(columns["text"].to_pylist()):
             out = []
-            number, place, digest, at, _ = word_runs(group, width)
+            number, place, digest, at, _ = word_runs(*sh.words(group), len(group), width)
             bounds = np.searchsorted(number, np.arange(len(group) + 1))
             for i, text in enumerate(group):
                 (places, spans), mine = asked_of[first + i], slice(bounds[i], bounds[i + 1])
                 starts, ends = word_edges(text)
-                gone = np.zeros(len(starts) + 1, dtype=np.int64)
-                for span in spans if spans is not None else ():
-                    low, high = np.searchsorted(starts, [span["start"], span["end"]])
-                    gone[low + 1 : high + 1] = 1
-                gone = np.cumsum(gone)
-                p, wanted = place[mine], np.zeros(len(starts), dtype=bool)
+                p, wanted, going = place[mine], np.zeros(len(starts), dtype=bool), np.zeros(len(starts), dtype=bool)
                 wanted[np.asarray(places, dtype=np.int64)] = True
-                use = wanted[at[mine]] & (gone[p + width] == gone[p])
+                for span in spans or ():
+                    low, high = np.searchsorted(starts, [span["start"], span["end"]])
+                    if span["exact"]:
+                        going[low : high - width + 1] = True
+                use = wanted[at[mine]] & ~going[p]
                 p, after = p[use], np.append(starts, ends[-1:])
                 out.append((np.full(len(p), first + i), p, starts[p], ends[p + width - 1], after[p + width], digest[mine][use]))
             of, *found = [np.concatenate(c) for c in zip(*out)]
@@ -199,13 +235,19 @@ def run_spans(stored: DataFrame, slim: DataFrame, lines: DataFrame, width: int)
     same = F.col("s.key").eqNullSafe(F.col("q.key")) & (F.col("s.mark") == F.col("q.mark"))
     wanted = slim.alias("s").join(asked.alias("q"), same).select("s.key", "s.mark", "text", "places", "lines")
     made = "place int, start int, end int, next int, digest bigint"
-    runs = materialize(map_rows(wanted, ["key", "mark"], compare, made), "runs")
     where = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), "mark", "place", "next")
-    first = runs.groupBy("digest").agg(F.min(where).alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
     own = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("mark") == F.col("first.mark"))
-    later = runs.join(first, "digest").filter(~(own & (F.col("place") == F.col("first.place"))))
     start = F.when(own, F.greatest("start", "first.next")).otherwise(F.col("start"))
-    return later.groupBy("key", "mark").agg(F.collect_set(F.struct(start.alias("start"), "end")).alias("runs"))
+
+    def later(runs: DataFrame) -> DataFrame:
+        first = runs.groupBy("digest").agg(F.min(where).alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+        found = runs.join(first, "digest").filter(~(own & (F.col("place") == F.col("first.place"))))
+        return found.groupBy("key", "mark").agg(F.collect_set(F.struct(start.alias("start"), "end")).alias("runs"))
+
+    # In rounds by digest, so that only a part of the runs is shuffled at once.
+    with temporary(map_rows(wanted, ["key", "mark"], compare, made), "runs") as runs:
+        rounds = [materialize(later(runs.filter(F.pmod("digest", F.lit(SLICES)) == k)), "later") for k in range(SLICES)]
+    return reduce(DataFrame.unionByName, rounds).groupBy("key", "mark").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def _merged(lines: pd.Series, runs: pd.Series) -> pd.Series:
@@ -228,26 +270,30 @@ def repeated_spans(
 ) -> DataFrame:
     """Every row's ``key``, ``mark``, ``n_paragraphs``, ``n_removed`` and ``spans`` (start, end) to remove.
 
-    A paragraph is a line with a word. Paragraphs of at least ``min_words`` words (20) are items: equal word sequences
+    Paragraphs are lines, long ones cut by their content (:func:`paragraphs`). Those of at least ``min_words`` words (20) are items: equal word sequences
     (64-bit digest) are one, others are linked if the Jaccard similarity of their five-word shingles is at least 0.8.
     Of each connected component the first paragraph (by key, nulls last, then
     mark and place) stays and all others go, in other documents or the same. Bands are
-    tuned to miss a pair at the limit with probability 1e-4. In what then is left, of all equal runs of ``min_words``
-    words the first stays and the words of all others go, wherever they lie in lines and however the lines are broken:
-    a common passage goes over its full length. Spans count code points, end exclusive,
-    and start and end at words or lines. Null text is empty. Rows equal in key and text are one document: they keep and lose the same. An empty table gives an empty result.
+    tuned to miss a pair at the limit with probability 1e-4. Matches are then extended to the full length of common
+    passages: of all equal runs of ``min_words`` words the first stays and the words of all others go, wherever they lie
+    in paragraphs and however the lines are broken. Both are judged on the input; whatever goes has an equal or linked one that
+    comes before it, so of each kind one stays. Spans count code points, end exclusive,
+    and start and end at words. Null text is empty. Rows equal in key and text are one document: they keep and lose the same. An empty table gives an empty result.
     """
     bands = sh.tune_bands(similarity, RECALL, rows)
-    stored = materialize(paragraph_table(docs, bands, rows, min_words, key, text), "paragraphs")
     body = whole_text(text)
     slim = docs.select(F.col(key).alias("key"), F.xxhash64(body).alias("mark"), body.alias("text"))
-    lines = materialize(line_spans(stored, slim, similarity), "lines")
-    runs = run_spans(stored, slim, lines, min_words)
+    with shuffles_freed(docs.sparkSession):
+        with temporary(paragraph_table(docs, bands, rows, min_words, key, text), "paragraphs") as stored:
+            every = materialize(stored.select("key", "mark", "n_paragraphs"), "documents")
+            lines = materialize(line_spans(stored, slim, similarity), "lines")
+            asked = materialize(asked_places(stored, lines), "asked")
+        runs = run_spans(asked, slim, min_words)
 
     def same(other: str) -> Column:
         return F.col("d.key").eqNullSafe(F.col(f"{other}.key")) & (F.col("d.mark") == F.col(f"{other}.mark"))
 
-    joined = stored.select("key", "mark", "n_paragraphs").alias("d").join(lines.alias("l"), same("l"), "left").join(runs.alias("r"), same("r"), "left")
+    joined = every.alias("d").join(lines.alias("l"), same("l"), "left").join(runs.alias("r"), same("r"), "left")
     merged = F.pandas_udf(_merged, "array<struct<start:int,end:int>>")
     marked = joined.select(F.col("d.key").alias(key), "d.mark", "n_paragraphs", merged("lines", "runs").alias("spans"))
     return marked.select(key, "mark", "n_paragraphs", F.size("spans").cast("long").alias("n_removed"), "spans")
