@@ -51,6 +51,7 @@ def cluster(
     close: Callable[[Elements, Elements], bool],
     similarity: float,
     slices: int = 1,
+    unique: bool = False,
 ) -> DataFrame:
     """``id`` and ``component`` of the items of ``items`` (id, bands) that are linked to another one.
 
@@ -66,17 +67,20 @@ def cluster(
     An id may come more than once, with the same bands. ``fetch`` gives (id, body) for a table of ids, ``describe`` the
     ascending element hashes and weights of each body, and ``close`` decides a pair, by a similarity that
     keeps this bound for numbers or weights of elements, as Jaccard and probability Jaccard similarity do. With ``slices``
-    the bands meet in so many rounds, one after the other, of which each shuffles its own bands alone.
+    the bands meet in so many rounds, one after the other, of which each shuffles its own bands alone. ``unique`` says that
+    no id comes twice and no item has a bucket twice, which saves a shuffle.
     """
 
     def meet(bands: Column) -> DataFrame:
-        rows = items.select("id", F.explode(bands).alias("bucket")).distinct()
+        rows = items.select("id", F.explode(bands).alias("bucket"))
+        rows = rows if unique else rows.distinct()
         shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
         return materialize(rows.join(shared, "bucket"), "met")
 
-    met = meet(F.col("bands")) if slices == 1 else meet(F.filter("bands", lambda _, i: i % slices == 0))
+    share = F.ceil(F.size("bands") / slices).cast("int")
+    met = meet(F.col("bands") if slices == 1 else F.slice("bands", 1, share))
     for k in range(1, slices):
-        met = met.unionByName(meet(F.filter("bands", lambda _, i: i % slices == F.lit(k))))
+        met = met.unionByName(meet(F.slice("bands", share * k + 1, share)))
     known = met.groupBy("id").agg(F.sum("n").alias("known"))
     members = materialize(met.select("bucket", "id").join(known, "id"), "members")
     # An item that meets many others is most likely what they are copies of.

@@ -15,7 +15,7 @@ from cohortline.llm.text import map_rows, whole_text
 from cohortline.session import materialize, shuffles_freed, temporary
 
 MIN_WORDS, SIMILARITY, ROWS, RECALL = 20, 0.8, 4, 0.9999
-CUT, SLICES = 32, 3
+CUT, SLICES = 32, 2
 _DIGEST = np.array([0x9FB21C651E98DF25, 0xB492B66FBE98F273], dtype=np.uint64)
 
 
@@ -163,7 +163,7 @@ def line_spans(stored: DataFrame, slim: DataFrame, similarity: float) -> DataFra
     """``key``, ``mark`` and ``lines`` (start, end, exact: an equal one comes before): the paragraphs to remove, of documents that have any."""
     found = stored.select("key", "mark", F.explode("parts").alias("part")).select("key", "mark", "part.*")
     where = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), "mark", "place", "start", "end")
-    first = materialize(found.groupBy("digest").agg(F.min(where).alias("first"), F.count("*").alias("copies")), "first")
+    first = materialize(found.groupBy("digest").agg(F.min(where).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "first")
 
     def fetch(ids: DataFrame) -> DataFrame:
         wanted = first.join(ids, first["digest"] == ids["id"]).select("id", "first.key", "first.mark", "first.start", "first.end")
@@ -180,8 +180,8 @@ def line_spans(stored: DataFrame, slim: DataFrame, similarity: float) -> DataFra
         pulled = slim.join(wanted, same).select("text", "wanted").mapInPandas(pull, "id bigint, body string")
         return pulled.groupBy("id").agg(F.first("body").alias("body"))
 
-    items = found.select(F.col("digest").alias("id"), "bands")
-    parts = materialize(cluster(items, fetch, elements, similar(similarity), similarity, SLICES), "parts")
+    items = first.select(F.col("digest").alias("id"), "bands")
+    parts = materialize(cluster(items, fetch, elements, similar(similarity), similarity, SLICES, unique=True), "parts")
     groups = first.join(parts, first["digest"] == parts["id"], "left").withColumn("component", F.coalesce("component", "digest"))
     groups = groups.select("digest", "first", "copies", "component")
     keepers = groups.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("copies").alias("members")).filter("members > 1")
