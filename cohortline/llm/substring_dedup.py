@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -242,7 +244,7 @@ def run_spans(asked: DataFrame, slim: DataFrame, width: int) -> DataFrame:
     def later(runs: DataFrame) -> DataFrame:
         first = runs.groupBy("digest").agg(F.min(where).alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
         found = runs.join(first, "digest").filter(~(own & (F.col("place") == F.col("first.place"))))
-        return found.groupBy("key", "mark").agg(F.collect_set(F.struct(start.alias("start"), "end")).alias("runs"))
+        return found.groupBy("key", "mark").agg(F.collect_list(F.struct(start.alias("start"), "end")).alias("runs"))
 
     # In rounds by digest, so that only a part of the runs is shuffled at once.
     with temporary(map_rows(wanted, ["key", "mark"], compare, made), "runs") as runs:
@@ -250,19 +252,25 @@ def run_spans(asked: DataFrame, slim: DataFrame, width: int) -> DataFrame:
     return reduce(DataFrame.unionByName, rounds).groupBy("key", "mark").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
-def _merged(lines: pd.Series, runs: pd.Series) -> pd.Series:
-    """The spans of both lists, ascending, overlapping ones as one."""
-
-    def one(a, b):
-        out = []
-        for start, end in sorted((s["start"], s["end"]) for spans in (a, b) if spans is not None for s in spans):
-            if out and start < out[-1]["end"]:
-                out[-1]["end"] = max(out[-1]["end"], end)
-            else:
-                out.append({"start": start, "end": end})
-        return out
-
-    return pd.Series([one(a, b) for a, b in zip(lines, runs)])
+def merged(columns: dict) -> Iterator[tuple]:
+    """The ``spans`` of each row: those of ``lines`` and ``runs``, ascending, overlapping ones as one."""
+    rows = len(columns["lines"])
+    row, start, end = [], [], []
+    for listed in (columns["lines"], columns["runs"]):
+        row.append(np.repeat(np.arange(rows), pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False)))
+        flat = listed.flatten()
+        start.append(pc.struct_field(flat, "start").to_numpy(zero_copy_only=False).astype(np.int64))
+        end.append(pc.struct_field(flat, "end").to_numpy(zero_copy_only=False).astype(np.int64))
+    row, start, end = np.concatenate(row), np.concatenate(start), np.concatenate(end)
+    order = np.lexsort((start, row))
+    base = row[order] << 32
+    reached = np.maximum.accumulate(base + end[order])
+    heads = np.flatnonzero(base + start[order] >= np.concatenate([[-1], reached[:-1]]))
+    last = np.append(heads[1:], len(order))[: len(heads)] - 1
+    spans = [[] for _ in range(rows)]
+    for i, a, b in zip(row[order][heads].tolist(), start[order][heads].tolist(), (reached[last] - base[last]).tolist()):
+        spans[i].append({"start": a, "end": b})
+    yield None, {"spans": spans}
 
 
 def repeated_spans(
@@ -294,8 +302,8 @@ def repeated_spans(
         return F.col("d.key").eqNullSafe(F.col(f"{other}.key")) & (F.col("d.mark") == F.col(f"{other}.mark"))
 
     joined = every.alias("d").join(lines.alias("l"), same("l"), "left").join(runs.alias("r"), same("r"), "left")
-    merged = F.pandas_udf(_merged, "array<struct<start:int,end:int>>")
-    marked = joined.select(F.col("d.key").alias(key), "d.mark", "n_paragraphs", merged("lines", "runs").alias("spans"))
+    joined = joined.select(F.col("d.key").alias(key), "d.mark", "n_paragraphs", "lines", "runs")
+    marked = map_rows(joined, [key, "mark", "n_paragraphs"], merged, "spans array<struct<start:int,end:int>>")
     return marked.select(key, "mark", "n_paragraphs", F.size("spans").cast("long").alias("n_removed"), "spans")
 
 
