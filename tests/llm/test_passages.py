@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 
+from cohortline.llm import shingles as sh
 from cohortline.llm import substring_dedup
 
 WIDTH = substring_dedup.MIN_WORDS
@@ -78,3 +79,33 @@ def test_many_planted_passages(spark):
     texts += ["so " * 100, "a b c " * 40 + "end", "", " \n"]
     assert sum(map(len, spans_by_hand(texts))) > 200
     assert got(spark, texts) == spans_by_hand(texts)
+
+
+def test_long_lines_are_cut_by_their_content():
+    rng = np.random.default_rng(5)
+    passage = [f"p{i}" for i in rng.integers(0, 500, 300)]
+    pieces = []
+    for before, after in ((200, 90), (57, 310)):
+        words = [f"w{i}" for i in rng.integers(0, 10**6, before)] + passage + [f"w{i}" for i in rng.integers(0, 10**6, after)]
+        body = " ".join(words)
+        _, hashes = sh.words([body.encode()])
+        found = substring_dedup.paragraphs(body.encode(), hashes, substring_dedup.CUT)
+        assert [body[a:b].split() for a, b, _ in found] and sum(found[:, 2]) == len(words)
+        pieces.append({body[a:b] for a, b, _ in found})
+    assert len(pieces[0] & pieces[1]) >= 2
+    short = "\n".join([" ".join(["a"] * 128), "", " b c "]).encode()
+    assert substring_dedup.paragraphs(short, sh.words([short])[1], substring_dedup.CUT)[:, 2].tolist() == [128, 2]
+
+
+def test_near_equal_passages_inside_long_lines(spark):
+    rng = np.random.default_rng(6)
+    own = lambda n: [f"o{i}" for i in rng.integers(0, 10**7, n)]
+    passage = own(400)
+    changed = [f"new{i}" if i % 90 == 45 else w for i, w in enumerate(passage)]
+    texts = [" ".join(own(150) + passage + own(150)), " ".join(own(170) + changed + own(160)), " ".join(own(300))]
+    first, second, third = got(spark, texts)
+    assert first == third == []
+    left = "".join(texts[1][b:a] for (_, b), (a, _) in zip([(0, 0), *second], [*second, (len(texts[1]), 0)])).split()
+    assert not set(left) & set(passage)
+    assert sum(w.startswith("new") for w in left) < sum(w.startswith("new") for w in changed)
+    assert sum(w.startswith("o") for w in left) == 330
