@@ -174,8 +174,7 @@ def rank_sum_p(sums: DataFrame, method: str = "normal") -> DataFrame:
     """Adds the two-sided ``p`` to the sums of :func:`mann_whitney`, null where it is not defined.
 
     ``normal`` is the approximation by z. ``exact`` counts all rankings and holds without ties only; a variable with ties ends the
-    query with an error. It suits small samples: counting takes the product of both sizes times the smaller one. The caller
-    chooses; size does not.
+    query with an error. Its cost grows as the smaller size, not as the product of both. The caller chooses; size does not.
     """
     if method not in RANK_SUM_METHODS:
         raise ValueError(f"method must be one of {RANK_SUM_METHODS}")

@@ -212,6 +212,22 @@ def test_exact_rank_sums_equal_all_rankings(frame):
     assert pvalues.rank_sum_two_sided(23, 10, 10) <= 0.05 < pvalues.rank_sum_two_sided(24, 10, 10)
 
 
+def test_exact_rank_sums_of_thousands_of_values(spark):
+    for small, large in [(40, 60), (32, 900), (127, 127)]:
+        ways, whole = pvalues._rank_sum_counts(small, large, small * large // 2), math.comb(small + large, small)
+        for share in (1.0, 0.9, 0.6):
+            u = int(small * large / 2 * share)
+            assert pvalues._rank_sum_tail(u, small, large) == pytest.approx(sum(ways[: u + 1]) / whole, rel=1e-11)
+    # The counts of the whole product would take 1e12 steps here.
+    sizes = (14_400, 21_600)
+    spread = math.sqrt(sizes[0] * sizes[1] * (sum(sizes) + 1) / 12)
+    for z in (0.3, 2.0, 4.0):
+        u = int(sizes[0] * sizes[1] / 2 - z * spread)
+        df = spark.createDataFrame([(float(u), *map(float, sizes)), (float(sizes[0] * sizes[1] - u), *map(float, sizes[::-1]))], "u double, a double, b double")
+        low, high = [r["p"] for r in df.select(pvalues.p_rank_sum("u", "a", "b").alias("p")).collect()]
+        assert low == high == pytest.approx(2 * pvalues.normal_sf(z), rel=1e-3)
+
+
 def test_exact_rank_sum_is_chosen_by_the_caller_and_refuses_ties(frame):
     rows = [("a", float(v)) for v in (1, 4, 6, 9)] + [("b", float(v)) for v in (2, 3, 5, 7, 8)]
     long = compare.unpivot_numeric(frame(rows, "g string, x double"), "g", ["x"])
