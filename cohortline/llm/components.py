@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
+def _shared_buckets(rows: DataFrame) -> DataFrame:
+    """The rows (id, bucket) of buckets of several, with their number ``n``: one shuffle and sort, counted along the sorted rows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((2, 0), dtype=np.int64)
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                held = np.hstack([held, np.vstack([batch.column(c).to_numpy() for c in ("id", "bucket")])])
+            heads = np.flatnonzero(np.concatenate([[True], held[1, 1:] != held[1, :-1]])) if held.shape[1] else np.zeros(0, np.int64)
+            # The last bucket may go on in the next batch.
+            done = held.shape[1] if batch is None else heads[-1] if len(heads) else 0
+            heads = heads[heads < done]
+            n = np.diff(np.append(heads, done))
+            n = np.repeat(n, n)
+            several = np.flatnonzero(n > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(held[0, several]), pa.array(held[1, several]), pa.array(n[several])], names=["id", "bucket", "n"])
+            held = held[:, done:]
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "id bigint, bucket bigint, n bigint")
+
+
 Elements = tuple[np.ndarray, np.ndarray]
 MAP_BITS = 512
 
@@ -68,12 +91,14 @@ def cluster(
     ascending element hashes and weights of each body, and ``close`` decides a pair, by a similarity that
     keeps this bound for numbers or weights of elements, as Jaccard and probability Jaccard similarity do. With ``slices``
     the bands meet in so many rounds, one after the other, of which each shuffles its own bands alone. ``unique`` says that
-    no id comes twice and no item has a bucket twice, which saves a shuffle.
+    no id comes twice and no item has a bucket twice, which saves two shuffles.
     """
 
     def meet(bands: Column) -> DataFrame:
         rows = items.select("id", F.explode(bands).alias("bucket"))
-        rows = rows if unique else rows.distinct()
+        if unique:
+            return materialize(_shared_buckets(rows), "met")
+        rows = rows.distinct()
         shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
         return materialize(rows.join(shared, "bucket"), "met")
 

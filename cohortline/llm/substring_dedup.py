@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortline.llm import shingles as sh
@@ -17,7 +17,7 @@ from cohortline.llm.text import map_rows, whole_text
 from cohortline.session import materialize, shuffles_freed, temporary
 
 MIN_WORDS, SIMILARITY, ROWS, RECALL = 20, 0.8, 4, 0.9999
-CUT, SLICES = 32, 2
+CUT, SLICES, PLACE_BITS = 32, 2, 30
 _DIGEST = np.array([0x9FB21C651E98DF25, 0xB492B66FBE98F273], dtype=np.uint64)
 
 
@@ -51,32 +51,44 @@ def paragraphs(text: bytes, word: np.ndarray, reach: int) -> np.ndarray:
 
     A paragraph is a line with a word, from its first word to its last. Lines of over four times ``reach`` words are cut by their content.
     """
-    data = np.frombuffer(text, dtype=np.uint8)
+    return all_paragraphs([text], np.zeros(len(word), dtype=np.int64), word, reach)[:, 1:]
+
+
+def all_paragraphs(texts: list[bytes], number: np.ndarray, word: np.ndarray, reach: int) -> np.ndarray:
+    """The :func:`paragraphs` of several texts, each after its text's number; ``number`` and ``word`` are those of their words."""
+    data = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
     starts, ends = word_bytes(data)
     if not len(starts):
-        return np.zeros((0, 3), dtype=np.int64)
+        return np.zeros((0, 4), dtype=np.int64)
     heads = np.flatnonzero(np.diff(np.cumsum(data == 10)[starts], prepend=-1))
     sizes = np.diff(np.append(heads, len(starts)))
     inside = np.repeat(sizes > 4 * reach, sizes)
     if inside.any():
-        heads = np.union1d(heads, np.flatnonzero(inside & cut_words(word, reach)))
+        bounds = np.searchsorted(number, np.arange(len(texts) + 1))
+        cut = np.zeros(len(word), dtype=bool)
+        for i in np.unique(number[inside]):
+            cut[bounds[i] : bounds[i + 1]] = cut_words(word[bounds[i] : bounds[i + 1]], reach)
+        heads = np.union1d(heads, np.flatnonzero(inside & cut))
     letters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    sizes = np.array([len(t) + 1 for t in texts])
+    of = number[heads]
+    before = letters[np.cumsum(sizes) - sizes][of]
     after = np.append(heads[1:], len(starts))
-    return np.column_stack([letters[starts[heads]], letters[ends[after - 1]], after - heads])
+    return np.column_stack([of, letters[starts[heads]] - before, letters[ends[after - 1]] - before, after - heads])
 
 
-def describe(texts: list[str], bands: int, rows: int) -> tuple[np.ndarray, list]:
+def describe(texts: list[str], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit digest of the word sequence and the band keys of each paragraph."""
-    digests, keys = [np.zeros(0, dtype=np.uint64)], []
+    digests, keys = [np.zeros(0, dtype=np.uint64)], [np.zeros((0, bands), dtype=np.int64)]
     for _, group in sh.batches(texts):
         number, word = sh.words(group)
         count = np.bincount(number, minlength=len(group))
         starts = np.cumsum(count) - count
         place = np.arange(len(word)) - starts[number]
         digests.append(np.add.reduceat(sh.mix(word * _DIGEST[0] + place.astype(np.uint64) * _DIGEST[1]), starts))
-        of, element, _ = sh.shingles(group)
-        keys += list(sh.band_keys(sh.minhash(of, element, len(group), bands * rows), bands))
-    return np.concatenate(digests).view(np.int64), keys
+        of, element, _ = sh.shingles(group, known=(number, word))
+        keys.append(sh.band_keys(sh.minhash(of, element, len(group), bands * rows), bands))
+    return np.concatenate(digests).view(np.int64), np.concatenate(keys)
 
 
 def elements(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -119,12 +131,16 @@ def word_runs(number: np.ndarray, word: np.ndarray, texts: int, width: int) -> t
     return number[inside], inside - before, digest[inside].view(np.int64), at[inside] - before, least[inside].view(np.int64)
 
 
-def anchors(number: np.ndarray, word: np.ndarray, texts: int, width: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The places and hashes of the distinct anchors of each text's runs."""
+def anchors(number: np.ndarray, word: np.ndarray, texts: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many distinct anchors the runs of each text have, and the places and hashes of these."""
     number, _, _, place, anchor = word_runs(number, word, texts, width)
     new = np.flatnonzero((np.diff(number, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0))
-    cuts = np.searchsorted(number[new], np.arange(1, texts))
-    return np.split(place[new].astype(np.int32), cuts), np.split(anchor[new], cuts)
+    return np.bincount(number[new], minlength=texts), place[new].astype(np.int32), anchor[new]
+
+
+def lists(values, sizes: np.ndarray) -> pa.ListArray:
+    """Values as lists of these sizes, one after the other."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(values) if isinstance(values, np.ndarray) else values)
 
 
 def word_edges(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -142,19 +158,17 @@ def paragraph_table(docs: DataFrame, bands: int, rows: int, min_words: int, key:
         texts = columns["text"].to_pylist()
         for at, group in sh.batches(texts):
             number, word = sh.words(group)
-            bounds = np.searchsorted(number, np.arange(len(group) + 1))
-            found = []
-            for i, body in enumerate(group):
-                cuts = paragraphs(body, word[bounds[i] : bounds[i + 1]], CUT).tolist()
-                found += [(i, place, *cut) for place, cut in enumerate(cuts)]
-            items = [f for f in found if f[4] >= min_words]
-            digests, keys = describe([texts[at + i][start:end] for i, _, start, end, _ in items], bands, rows)
-            parts = [[] for _ in group]
-            for (i, place, start, end, _), digest, k in zip(items, digests.tolist(), keys):
-                parts[i].append({"place": place, "start": start, "end": end, "digest": digest, "bands": k})
-            count = np.bincount([f[0] for f in found], minlength=len(group)) if found else np.zeros(len(group), int)
-            places, hashes = anchors(number, word, len(group), min_words)
-            yield range(at, at + len(group)), {"n_paragraphs": count, "parts": parts, "places": places, "anchors": hashes}
+            found = all_paragraphs(group, number, word, CUT)
+            count = np.bincount(found[:, 0], minlength=len(group))
+            place = np.arange(len(found)) - (np.cumsum(count) - count)[found[:, 0]]
+            long = found[:, 3] >= min_words
+            items, place = found[long], place[long]
+            digests, keys = describe([texts[at + i][start:end] for i, start, end, _ in items.tolist()], bands, rows)
+            columns = [place.astype(np.int32), items[:, 1].astype(np.int32), items[:, 2].astype(np.int32), digests, lists(keys.ravel(), np.full(len(keys), bands))]
+            names = ["place", "start", "end", "digest", "bands"]
+            parts = lists(pa.StructArray.from_arrays([pa.array(c) for c in columns], names), np.bincount(items[:, 0], minlength=len(group)))
+            kept, places, hashes = anchors(number, word, len(group), min_words)
+            yield range(at, at + len(group)), {"n_paragraphs": count, "parts": parts, "places": lists(places, kept), "anchors": lists(hashes, kept)}
 
     body = whole_text(text)
     made = "n_paragraphs bigint, parts array<struct<place:int,start:int,end:int,digest:bigint,bands:array<bigint>>>, places array<int>, anchors array<bigint>"
@@ -165,35 +179,36 @@ def line_spans(stored: DataFrame, slim: DataFrame, similarity: float) -> DataFra
     """``key``, ``mark`` and ``lines`` (start, end, exact: an equal one comes before): the paragraphs to remove, of documents that have any."""
     found = stored.select("key", "mark", F.explode("parts").alias("part")).select("key", "mark", "part.*")
     where = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), "mark", "place", "start", "end")
-    first = materialize(found.groupBy("digest").agg(F.min(where).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "first")
+    with temporary(found.groupBy("digest").agg(F.min(where).alias("first"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "first") as first:
 
-    def fetch(ids: DataFrame) -> DataFrame:
-        wanted = first.join(ids, first["digest"] == ids["id"]).select("id", "first.key", "first.mark", "first.start", "first.end")
-        wanted = wanted.groupBy("key", "mark").agg(F.collect_list(F.struct("id", "start", "end")).alias("wanted"))
-        same = slim["key"].eqNullSafe(wanted["key"]) & (slim["mark"] == wanted["mark"])
+        def fetch(ids: DataFrame) -> DataFrame:
+            wanted = first.join(ids, first["digest"] == ids["id"]).select("id", "first.key", "first.mark", "first.start", "first.end")
+            wanted = wanted.groupBy("key", "mark").agg(F.collect_list(F.struct("id", "start", "end")).alias("wanted"))
+            same = slim["key"].eqNullSafe(wanted["key"]) & (slim["mark"] == wanted["mark"])
 
-        def pull(batches):
-            for batch in batches:
-                out = []
-                for text_, asked in zip(batch["text"].tolist(), batch["wanted"].tolist()):
-                    out += [(w["id"], text_[w["start"] : w["end"]]) for w in asked]
-                yield pd.DataFrame(out, columns=["id", "body"])
+            def pull(batches):
+                for batch in batches:
+                    out = []
+                    for text_, asked in zip(batch["text"].tolist(), batch["wanted"].tolist()):
+                        out += [(w["id"], text_[w["start"] : w["end"]]) for w in asked]
+                    yield pd.DataFrame(out, columns=["id", "body"])
 
-        pulled = slim.join(wanted, same).select("text", "wanted").mapInPandas(pull, "id bigint, body string")
-        return pulled.groupBy("id").agg(F.first("body").alias("body"))
+            pulled = slim.join(wanted, same).select("text", "wanted").mapInPandas(pull, "id bigint, body string")
+            return pulled.groupBy("id").agg(F.first("body").alias("body"))
 
-    items = first.select(F.col("digest").alias("id"), "bands")
-    parts = materialize(cluster(items, fetch, elements, similar(similarity), similarity, SLICES, unique=True), "parts")
-    groups = first.join(parts, first["digest"] == parts["id"], "left").withColumn("component", F.coalesce("component", "digest"))
-    groups = groups.select("digest", "first", "copies", "component")
-    keepers = groups.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("copies").alias("members")).filter("members > 1")
-    doomed = groups.join(keepers, "component").select("digest", "first", "keeper")
+        items = first.select(F.col("digest").alias("id"), "bands")
+        parts = materialize(cluster(items, fetch, elements, similar(similarity), similarity, SLICES, unique=True), "parts")
+        groups = first.join(parts, first["digest"] == parts["id"], "left").withColumn("component", F.coalesce("component", "digest"))
+        groups = groups.select("digest", "first", "copies", "component")
+        keepers = groups.groupBy("component").agg(F.min("first").alias("keeper"), F.sum("copies").alias("members")).filter("members > 1")
+        doomed = groups.join(keepers, "component").select("digest", "first", "keeper")
 
-    def at(place: str) -> Column:
-        return F.col("key").eqNullSafe(F.col(f"{place}.key")) & (F.col("mark") == F.col(f"{place}.mark")) & (F.col("place") == F.col(f"{place}.place"))
+        def at(place: str) -> Column:
+            return F.col("key").eqNullSafe(F.col(f"{place}.key")) & (F.col("mark") == F.col(f"{place}.mark")) & (F.col("place") == F.col(f"{place}.place"))
 
-    gone = found.drop("bands").join(doomed, "digest").filter(~at("keeper"))
-    return gone.groupBy("key", "mark").agg(F.sort_array(F.collect_set(F.struct("start", "end", (~at("first")).alias("exact")))).alias("lines"))
+        gone = found.drop("bands").join(doomed, "digest").filter(~at("keeper"))
+        listed = F.sort_array(F.collect_set(F.struct("start", "end", (~at("first")).alias("exact"))))
+        return materialize(gone.groupBy("key", "mark").agg(listed.alias("lines")), "lines")
 
 
 def asked_places(stored: DataFrame, lines: DataFrame) -> DataFrame:
@@ -205,8 +220,20 @@ def asked_places(stored: DataFrame, lines: DataFrame) -> DataFrame:
     return places.alias("p").join(lines.alias("l"), same, "left").select("p.key", "p.mark", "places", "lines")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with ``doc``, their number in order of key (nulls last) and mark, which no two share."""
+    ordered = docs.orderBy(F.col("key").isNull(), "key", "mark").withColumn("__id", F.monotonically_increasing_id())
+    ordered = materialize(ordered, "ordered")
+    part, row = F.shiftright("__id", 33).alias("__part"), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ordered.groupBy(part).count()
+    # One row per range here, not per document.
+    starts = sizes.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__start"))
+    placed = ordered.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return placed.withColumn("doc", F.col("__start") + row).drop("__id", "__part", "__start")
+
+
 def run_spans(asked: DataFrame, slim: DataFrame, width: int) -> DataFrame:
-    """``key``, ``mark`` and ``runs`` (start, end, unmerged): runs of ``width`` words that came before.
+    """``key``, ``mark`` and ``runs`` (start << 32 | end, unmerged): runs of ``width`` words that came before.
 
     Equal runs have equal anchors, so only runs with an anchor that occurs twice are compared, by digest and with the
     first of their kind alone. Where a run overlaps the first one of its kind, that one's words stay. Runs inside a
@@ -234,33 +261,44 @@ def run_spans(asked: DataFrame, slim: DataFrame, width: int) -> DataFrame:
             of, *found = [np.concatenate(c) for c in zip(*out)]
             yield of, dict(zip(["place", "start", "end", "next", "digest"], found))
 
+    asked = materialize(numbered(asked), "asked")
     same = F.col("s.key").eqNullSafe(F.col("q.key")) & (F.col("s.mark") == F.col("q.mark"))
-    wanted = slim.alias("s").join(asked.alias("q"), same).select("s.key", "s.mark", "text", "places", "lines")
+    wanted = slim.alias("s").join(asked.alias("q"), same).select("doc", "text", "places", "lines")
     made = "place int, start int, end int, next int, digest bigint"
-    where = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), "mark", "place", "next")
-    own = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("mark") == F.col("first.mark"))
-    start = F.when(own, F.greatest("start", "first.next")).otherwise(F.col("start"))
-
-    def later(runs: DataFrame) -> DataFrame:
-        first = runs.groupBy("digest").agg(F.min(where).alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-        found = runs.join(first, "digest").filter(~(own & (F.col("place") == F.col("first.place"))))
-        return found.groupBy("key", "mark").agg(F.collect_list(F.struct(start.alias("start"), "end")).alias("runs"))
-
-    # In rounds by digest, so that only a part of the runs is shuffled at once.
-    with temporary(map_rows(wanted, ["key", "mark"], compare, made), "runs") as runs:
-        rounds = [materialize(later(runs.filter(F.pmod("digest", F.lit(SLICES)) == k)), "later") for k in range(SLICES)]
-    return reduce(DataFrame.unionByName, rounds).groupBy("key", "mark").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    # Place and document as one number; a text has less than 2^31 bytes and so at most 2^30 words.
+    at = F.shiftleft("doc", PLACE_BITS).bitwiseOR(F.col("place").cast("long"))
+
+    def later(batches):
+        """Of the runs by digest and place all but the first of their kind, which alone is held from batch to batch."""
+        kind = first = after = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            digest, at, start, end, next_ = (batch.column(c).to_numpy().astype(np.int64) for c in ("digest", "at", "start", "end", "next"))
+            head = np.diff(np.append(kind, digest)) != 0 if len(kind) else np.append(True, np.diff(digest) != 0)
+            of = np.cumsum(head) - (0 if len(kind) else 1)
+            first, after = np.append(first, at[head])[of], np.append(after, next_[head])[of]
+            start = np.where(at >> PLACE_BITS == first >> PLACE_BITS, np.maximum(start, after), start)
+            gone = np.flatnonzero(at != first)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> PLACE_BITS)[gone]), pa.array((start << 32 | end)[gone])], names=["doc", "run"])
+            kind, first, after = digest[-1:], first[-1:], after[-1:]
+
+    with temporary(map_rows(wanted, ["doc"], compare, made), "runs") as runs:
+        dealt = runs.select("digest", at.alias("at"), "start", "end", "next").repartition("digest").sortWithinPartitions("digest", "at")
+        found = dealt.mapInArrow(later, "doc bigint, run bigint").repartition("doc")
+        found = materialize(found.groupBy("doc").agg(F.collect_list("run").alias("runs")), "later")
+    return found.join(asked.select("doc", "key", "mark"), "doc").drop("doc")
 
 
 def merged(columns: dict) -> Iterator[tuple]:
     """The ``spans`` of each row: those of ``lines`` and ``runs``, ascending, overlapping ones as one."""
     rows = len(columns["lines"])
-    row, start, end = [], [], []
+    row = []
     for listed in (columns["lines"], columns["runs"]):
         row.append(np.repeat(np.arange(rows), pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False)))
-        flat = listed.flatten()
-        start.append(pc.struct_field(flat, "start").to_numpy(zero_copy_only=False).astype(np.int64))
-        end.append(pc.struct_field(flat, "end").to_numpy(zero_copy_only=False).astype(np.int64))
+    flat, runs = columns["lines"].flatten(), columns["runs"].flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    start = [pc.struct_field(flat, "start").to_numpy(zero_copy_only=False).astype(np.int64), runs >> 32]
+    end = [pc.struct_field(flat, "end").to_numpy(zero_copy_only=False).astype(np.int64), runs & 0xFFFFFFFF]
     row, start, end = np.concatenate(row), np.concatenate(start), np.concatenate(end)
     order = np.lexsort((start, row))
     base = row[order] << 32
@@ -294,7 +332,7 @@ def repeated_spans(
     with shuffles_freed(docs.sparkSession):
         with temporary(paragraph_table(docs, bands, rows, min_words, key, text), "paragraphs") as stored:
             every = materialize(stored.select("key", "mark", "n_paragraphs"), "documents")
-            lines = materialize(line_spans(stored, slim, similarity), "lines")
+            lines = line_spans(stored, slim, similarity)
             asked = materialize(asked_places(stored, lines), "asked")
         runs = run_spans(asked, slim, min_words)
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import random
 import re
+from collections import Counter
 
 import numpy as np
 
 from cohortline.llm import shingles as sh
 from cohortline.llm import substring_dedup
+from cohortline.llm.components import _shared_buckets
 
 WIDTH = substring_dedup.MIN_WORDS
 
@@ -109,3 +112,38 @@ def test_near_equal_passages_inside_long_lines(spark):
     assert not set(left) & set(passage)
     assert sum(w.startswith("new") for w in left) < sum(w.startswith("new") for w in changed)
     assert sum(w.startswith("o") for w in left) == 330
+
+
+def test_buckets_and_runs_that_go_on_in_the_next_batch(spark, frame):
+    rng = random.Random(8)
+    items = [(i, b) for i in range(60) for b in rng.sample(range(40), 3)] + [(i, 99) for i in range(50)]
+    passage = " ".join(f"p{i}" for i in range(45))
+    docs = frame([(i, f"own{i} " + passage + f" end{i} " + " ".join(f"w{rng.randrange(9)}" for _ in range(60))) for i in range(12)], "doc_id bigint, text string")
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, found = spark.conf.get(setting), []
+    try:
+        for most in ("10000", "7"):
+            spark.conf.set(setting, most)
+            shared = _shared_buckets(frame(items, "id bigint, bucket bigint"))
+            plan = shared._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == 1 and "Join" not in plan
+            sizes = Counter(b for _, b in items)
+            assert Counter(map(tuple, shared.collect())) == Counter((i, b, sizes[b]) for i, b in items if sizes[b] > 1)
+            spans = substring_dedup.repeated_spans(docs).collect()
+            found.append(sorted((r["doc_id"], [tuple(s) for s in r["spans"]]) for r in spans))
+    finally:
+        spark.conf.set(setting, before)
+    assert found[0] == found[1] and all(spans for doc, spans in found[0] if doc)
+
+
+def test_paragraphs_of_a_batch_are_those_of_its_texts():
+    rng = random.Random(9)
+    texts = ["", " \n\n", "a b\r\nc éè d\n\n e", " ".join(f"w{rng.randrange(50)}" for _ in range(500)) + "\n x", "€ z"]
+    texts = [t.encode() for t in texts]
+    number, word = sh.words(texts)
+    found = substring_dedup.all_paragraphs(texts, number, word, substring_dedup.CUT)
+    for i, text in enumerate(texts):
+        alone = substring_dedup.paragraphs(text, sh.words([text])[1], substring_dedup.CUT)
+        assert found[found[:, 0] == i, 1:].tolist() == alone.tolist()
+        for start, end, size in alone.tolist():
+            assert len(text.decode()[start:end].split()) == size
