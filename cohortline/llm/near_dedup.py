@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from cohortline.llm import shingles as sh
 from cohortline.llm.components import cluster
 from cohortline.llm.text import map_rows, one_space, whole_text
-from cohortline.session import materialize
+from cohortline.session import materialize, small_batches
 
 SIMILARITY, ROWS, RECALL = 0.8, 4, 0.99999
+GROUP_BYTES = 500_000
 ADDED = ["class_id", "class_size", "kept"]
 
 
@@ -27,7 +28,7 @@ def signatures(texts: list[str], bands: int, rows: int) -> list[np.ndarray]:
     so that a text without repeats meets each kind with the one set it has.
     """
     out = []
-    for _, group in sh.batches(texts):
+    for _, group in sh.batches(texts, GROUP_BYTES):
         number, element, counts = sh.shingles(group)
         repeats = np.zeros(len(group), dtype=bool)
         repeats[number[counts > 1]] = True
@@ -44,7 +45,7 @@ def signatures(texts: list[str], bands: int, rows: int) -> list[np.ndarray]:
 def describe(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Each text's distinct shingles, ascending, and their weights."""
     out = []
-    for _, group in sh.batches(texts):
+    for _, group in sh.batches(texts, GROUP_BYTES):
         number, element, counts = sh.shingles(group)
         cuts = np.searchsorted(number, np.arange(len(group) + 1))
         out += [(element[i:j], weights(counts[i:j])) for i, j in zip(cuts[:-1], cuts[1:])]
@@ -78,7 +79,8 @@ def with_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
         yield None, {"bands": signatures(columns["body"].to_pylist(), bands, rows)}
 
     signed = map_rows(slim, ["key", "digest"], sign, "bands array<bigint>").withColumn("row", F.monotonically_increasing_id())
-    signed = materialize(signed, "signatures")
+    with small_batches(docs.sparkSession):
+        signed = materialize(signed, "signatures")
     items = signed.groupBy("digest").agg(F.min("row").alias("id"), F.first("bands").alias("bands"))
     items = materialize(items, "items")
 
@@ -86,7 +88,8 @@ def with_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", simil
         wanted = items.join(ids, "id").select("id", "digest")
         return slim.select("digest", "body").join(wanted, "digest").groupBy("id").agg(F.first("body").alias("body"))
 
-    parts = materialize(cluster(items.select("id", "bands"), fetch, describe, similar(similarity), similarity), "parts")
+    with small_batches(docs.sparkSession):
+        parts = materialize(cluster(items.select("id", "bands"), fetch, describe, similar(similarity), similarity), "parts")
     placed = signed.select("key", "digest", "row").join(items.select("digest", "id"), "digest").join(parts, "id", "left")
     placed = placed.select("key", "digest", "row", F.coalesce("component", "id").alias("component"))
     first = F.min(F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("key"), "row")).alias("first")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortline.llm import exact_dedup, mixing, near_dedup, packing, quality_rules
 from cohortline.llm.queries import MAX_EPOCHS, SEED, VOCABULARY, WEIGHTS, domain
-from cohortline.session import materialize
+from cohortline.session import materialize, small_batches
 
 def _whole(docs: DataFrame) -> DataFrame:
     """The rows with a copy of all their columns, which no added column can replace."""
@@ -40,7 +40,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, VOCABULARY)
+    with small_batches(spark):  # the stages before it leave their workers large
+        return packing.pack(docs, VOCABULARY)
 
 
 STAGES = [
