@@ -60,7 +60,8 @@ def all_paragraphs(texts: list[bytes], number: np.ndarray, word: np.ndarray, rea
     starts, ends = word_bytes(data)
     if not len(starts):
         return np.zeros((0, 4), dtype=np.int64)
-    heads = np.flatnonzero(np.diff(np.cumsum(data == 10)[starts], prepend=-1))
+    heads = np.unique(np.append(0, np.searchsorted(starts, np.flatnonzero(data == 10))))
+    heads = heads[heads < len(starts)]
     sizes = np.diff(np.append(heads, len(starts)))
     inside = np.repeat(sizes > 4 * reach, sizes)
     if inside.any():
@@ -69,25 +70,27 @@ def all_paragraphs(texts: list[bytes], number: np.ndarray, word: np.ndarray, rea
         for i in np.unique(number[inside]):
             cut[bounds[i] : bounds[i + 1]] = cut_words(word[bounds[i] : bounds[i + 1]], reach)
         heads = np.union1d(heads, np.flatnonzero(inside & cut))
-    letters = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    inner = np.flatnonzero((data & 0xC0) == 0x80)
+    letters = lambda place: place - np.searchsorted(inner, place)
     sizes = np.array([len(t) + 1 for t in texts])
     of = number[heads]
-    before = letters[np.cumsum(sizes) - sizes][of]
+    before = letters(np.cumsum(sizes) - sizes)[of]
     after = np.append(heads[1:], len(starts))
-    return np.column_stack([of, letters[starts[heads]] - before, letters[ends[after - 1]] - before, after - heads])
+    return np.column_stack([of, letters(starts[heads]) - before, letters(ends[after - 1]) - before, after - heads])
 
 
-def describe(texts: list[str], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit digest of the word sequence and the band keys of each paragraph."""
+def describe(word: np.ndarray, heads: np.ndarray, sizes: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit digest of the word sequence and the band keys of each paragraph, from its first word, their number and the hashes of all words."""
     digests, keys = [np.zeros(0, dtype=np.uint64)], [np.zeros((0, bands), dtype=np.int64)]
-    for _, group in sh.batches(texts):
-        number, word = sh.words(group)
-        count = np.bincount(number, minlength=len(group))
+    for at in range(0, len(heads), sh.BATCH_TEXTS):
+        count = sizes[at : at + sh.BATCH_TEXTS]
         starts = np.cumsum(count) - count
-        place = np.arange(len(word)) - starts[number]
-        digests.append(np.add.reduceat(sh.mix(word * _DIGEST[0] + place.astype(np.uint64) * _DIGEST[1]), starts))
-        of, element, _ = sh.shingles(group, known=(number, word))
-        keys.append(sh.band_keys(sh.minhash(of, element, len(group), bands * rows), bands))
+        number = np.repeat(np.arange(len(count)), count)
+        place = np.arange(len(number)) - starts[number]
+        own = word[heads[at : at + sh.BATCH_TEXTS][number] + place]
+        digests.append(np.add.reduceat(sh.mix(own * _DIGEST[0] + place.astype(np.uint64) * _DIGEST[1]), starts))
+        of, element, _ = sh.shingles([b""] * len(count), known=(number, own))
+        keys.append(sh.band_keys(sh.minhash(of, element, len(count), bands * rows), bands))
     return np.concatenate(digests).view(np.int64), np.concatenate(keys)
 
 
@@ -118,13 +121,15 @@ def word_runs(number: np.ndarray, word: np.ndarray, texts: int, width: int) -> t
         return none, none, none, none, none
     part = np.zeros(len(word) - half + 1, dtype=np.uint64)
     for j in range(half):
-        part = (part + word[j : j + len(part)]) * _DIGEST[0]
+        part += word[j : j + len(part)]
+        part *= _DIGEST[0]
     part = sh.mix(part)
     digest = sh.mix(part[:n] * _DIGEST[0] + part[width - half : width - half + n] * _DIGEST[1])
-    least, at = part[:n].copy(), np.arange(n)
-    for j in range(1, width - half + 1):
-        less = np.flatnonzero(part[j : j + n] < least)
-        least[less], at[less] = part[less + j], less + j
+    least, at, reach = part, np.arange(len(part)), 1
+    while reach < width - half + 1:
+        step = min(reach, width - half + 1 - reach)
+        at = np.where(least[step:] < least[:-step], at[step:], at[:-step])
+        least, reach = part[at], reach + step
     inside = np.flatnonzero(number[:n] == number[width - 1 :])
     count = np.bincount(number, minlength=texts)
     before = (np.cumsum(count) - count)[number[inside]]
@@ -161,9 +166,10 @@ def paragraph_table(docs: DataFrame, bands: int, rows: int, min_words: int, key:
             found = all_paragraphs(group, number, word, CUT)
             count = np.bincount(found[:, 0], minlength=len(group))
             place = np.arange(len(found)) - (np.cumsum(count) - count)[found[:, 0]]
+            heads = np.cumsum(found[:, 3]) - found[:, 3]  # every word lies in one paragraph
             long = found[:, 3] >= min_words
             items, place = found[long], place[long]
-            digests, keys = describe([texts[at + i][start:end] for i, start, end, _ in items.tolist()], bands, rows)
+            digests, keys = describe(word, heads[long], items[:, 3], bands, rows)
             columns = [place.astype(np.int32), items[:, 1].astype(np.int32), items[:, 2].astype(np.int32), digests, lists(keys.ravel(), np.full(len(keys), bands))]
             names = ["place", "start", "end", "digest", "bands"]
             parts = lists(pa.StructArray.from_arrays([pa.array(c) for c in columns], names), np.bincount(items[:, 0], minlength=len(group)))
@@ -211,11 +217,33 @@ def line_spans(stored: DataFrame, slim: DataFrame, similarity: float) -> DataFra
         return materialize(gone.groupBy("key", "mark").agg(listed.alias("lines")), "lines")
 
 
+def repeated(points: DataFrame) -> DataFrame:
+    """The points (key, mark, at, anchor) whose anchor comes more than once, without it: one shuffle and sort, each row beside its neighbours."""
+
+    def twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last row of a batch may have its like in the next one; it alone is held.
+        last, equal = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            anchor, rows = batch.column("anchor").to_numpy(), batch.select(["key", "mark", "at"])
+            first = last is not None and last[1] == anchor[0]
+            if equal or first:
+                yield last[0]
+            same = np.concatenate([[first], anchor[1:] == anchor[:-1]])
+            yield rows.slice(0, len(anchor) - 1).filter(pa.array(same[:-1] | same[1:]))
+            last, equal = (rows.slice(len(anchor) - 1), anchor[-1]), bool(same[-1])
+        if equal:
+            yield last[0]
+
+    dealt = points.repartition("anchor").sortWithinPartitions("anchor")
+    return dealt.mapInArrow(twice, points.drop("anchor").schema)
+
+
 def asked_places(stored: DataFrame, lines: DataFrame) -> DataFrame:
     """``key``, ``mark``, ``places`` of the anchors that occur twice, and ``lines``, of documents with any such anchor."""
     points = stored.select("key", "mark", F.explode(F.arrays_zip("places", "anchors")).alias("a")).select("key", "mark", F.col("a.places").alias("at"), F.col("a.anchors").alias("anchor"))
-    repeated = materialize(stored.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().filter("count > 1").select("anchor"), "repeated")
-    places = points.join(repeated, "anchor").groupBy("key", "mark").agg(F.collect_set("at").alias("places"))
+    places = repeated(points).groupBy("key", "mark").agg(F.collect_set("at").alias("places"))
     same = F.col("p.key").eqNullSafe(F.col("l.key")) & (F.col("p.mark") == F.col("l.mark"))
     return places.alias("p").join(lines.alias("l"), same, "left").select("p.key", "p.mark", "places", "lines")
 

@@ -147,3 +147,70 @@ def test_paragraphs_of_a_batch_are_those_of_its_texts():
         assert found[found[:, 0] == i, 1:].tolist() == alone.tolist()
         for start, end, size in alone.tolist():
             assert len(text.decode()[start:end].split()) == size
+
+
+def test_repeated_anchors_meet_in_one_shuffle(spark, frame):
+    rng = random.Random(10)
+    points = [(rng.choice([None, 2**53 + 1, 7]), i, i % 5, rng.randrange(-60, 60)) for i in range(100)] + [(1, 200 + i, 0, 99) for i in range(30)]
+    sizes = Counter(p[3] for p in points)
+    assert 1 in sizes.values()
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        for most in ("10000", "7", "1"):
+            spark.conf.set(setting, most)
+            found = substring_dedup.repeated(frame(points, "key bigint, mark bigint, at int, anchor bigint"))
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == 1 and "Join" not in plan and "Aggregate" not in plan
+            assert Counter(map(tuple, found.collect())) == Counter(p[:3] for p in points if sizes[p[3]] > 1)
+    finally:
+        spark.conf.set(setting, before)
+
+
+def test_paragraphs_are_described_by_the_words_of_their_texts():
+    rng = random.Random(11)
+    lines = [" ".join(f"é{rng.randrange(30)}" for _ in range(rng.randrange(1, 40))) for _ in range(5000)]
+    lines += [lines[3], "  " + lines[3].replace(" ", "\t") + " "]
+    text = "\n".join(lines).encode()
+    number, word = sh.words([text])
+    sizes = substring_dedup.paragraphs(text, word, substring_dedup.CUT)[:, 2]
+    digests, keys = substring_dedup.describe(word, np.cumsum(sizes) - sizes, sizes, 3, 4)
+    for i in (0, 3, 4095, 4096, 5001):
+        own = sh.words([lines[i].encode()])[1]
+        digest, key = substring_dedup.describe(own, np.array([0]), np.array([len(own)]), 3, 4)
+        assert digests[i] == digest[0] and keys[i].tolist() == key[0].tolist()
+    same = {}
+    for line, digest in zip(lines, digests.tolist()):
+        assert same.setdefault(tuple(line.split()), digest) == digest
+    assert len(set(same.values())) == len(same)
+    none = np.zeros(0, dtype=np.int64)
+    assert [len(x) for x in substring_dedup.describe(np.zeros(0, np.uint64), none, none, 3, 4)] == [0, 0]
+
+
+def test_signatures_agree_as_often_as_sets_are_similar():
+    rng = np.random.default_rng(12)
+    hashes, most = 2000, 1 << sh.HASH_BITS
+    for common, own in ((80, 10), (20, 40), (300, 37)):
+        shared, left, right = (rng.integers(0, most, n).astype(np.uint64) for n in (common, own, own))
+        sets = [np.sort(np.append(shared, x)) for x in (left, right)]
+        number = np.repeat([0, 1], [len(x) for x in sets])
+        a, b = sh.minhash(number, np.concatenate(sets), 2, hashes)
+        assert abs((a == b).mean() - sh.set_jaccard(*sets)) < 0.05
+    assert (sh.minhash(np.zeros(0, np.int64), np.zeros(0, np.uint64), 2, 3) == 0).all()
+
+
+def test_anchors_are_the_leftmost_least_half_runs():
+    rng = np.random.default_rng(13)
+    for width in (1, 2, 7, 20):
+        word = sh.mix(rng.integers(0, 3, 200).astype(np.uint64))
+        number = np.sort(rng.integers(0, 4, 200))
+        of, place, _, at, least = substring_dedup.word_runs(number, word, 4, width)
+        half, starts = (width + 1) // 2, np.searchsorted(number, np.arange(4))
+        values = {}
+        for d, p, a, v in zip(of, place, at, least):
+            assert p <= a <= p + width - half
+            assert values.setdefault(tuple(word[starts[d] + a : starts[d] + a + half].tolist()), v) == v
+        for d, p, a, v in zip(of, place, at, least):
+            inside = [values.get(tuple(word[starts[d] + q : starts[d] + q + half].tolist())) for q in range(p, p + width - half + 1)]
+            seen = [x for x in inside if x is not None]
+            assert v == min(np.array(seen).view(np.uint64)).view(np.int64) and inside.index(v) == a - p
